@@ -116,3 +116,10 @@ def draw(seed: str | int, *parts) -> Column:
 
 def draw_unit(seed, *parts) -> Column:
     return (draw(seed, *parts).cast("double") + 0.5) / F.lit(4294967296.0)
+
+
+def corr(a, b) -> Column:
+    """Pearson correlation over complete pairs, NULL for a constant series."""
+    ok = col(a).isNotNull() & col(b).isNotNull()
+    u, v = F.when(ok, col(a).cast("double")), F.when(ok, col(b).cast("double"))
+    return F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
 from .frames import attach, by_key, calendar
+from .ranks import quantiles
 
 SESSION_OPEN, SESSION_CLOSE = 9 * 3600 + 30 * 60, 16 * 3600
 
@@ -51,7 +52,7 @@ def clean_ticks(ticks: DataFrame, width: str = "10 minutes", tolerance: float =
         second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
         d = d.filter((second >= open_s) & (second <= close_s))
     d = d.withColumn("_w", F.window("ts", width).start)
-    med = d.groupBy("key", "_w").agg(F.percentile("price", 0.5).alias("_m"))
+    med = quantiles(d, ["key", "_w"], "price", [0.5], ["_m"])
     near = F.abs(F.log(ratio("price", "_m"))) <= tolerance
     return attach(d, med, ["key", "_w"], "inner").filter(near).drop("_w", "_m")
 
@@ -62,13 +63,13 @@ def realized_measures(ticks: DataFrame, step: int = 300, offsets: tuple[int, ...
     """Realized variance and bipower variation on a regular grid sampled by the
     last tick, averaged over the grid's offsets. Grid points without a new tick
     keep the previous price; the grid starts at the first tick of the day."""
-    sec = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("int")
+    sec = (F.unix_micros("ts") - F.unix_micros(F.date_trunc("day", "ts"))) / 1e6
     shifted = (ticks.withColumn("date", F.to_date("ts")).withColumn("_s", sec)
                .filter((F.col("_s") >= open_s) & (F.col("_s") <= close_s))
                .withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
                .withColumn("slot", F.greatest(F.lit(0), F.ceil(
                    (F.col("_s") - open_s - F.col("offset")) / F.lit(float(step)))).cast("int")))
-    n_slots = (close_s - open_s) // step
+    n_slots = F.floor((F.lit(close_s - open_s) - F.col("offset")) / step)
     sampled = (shifted.filter(F.col("slot") <= n_slots).groupBy("key", "date", "offset", "slot")
                .agg(F.max_by("price", F.struct(*order)).alias("price")))
     # A repeated price adds a zero return, so only sampled points matter for the
@@ -83,7 +84,7 @@ def realized_measures(ticks: DataFrame, step: int = 300, offsets: tuple[int, ...
     per = (r.groupBy("key", "date", "offset")
            .agg(F.sum(F.col("r") * F.col("r")).alias("rv"),
                 F.sum(F.coalesce("_pair", F.lit(0.0))).alias("bp"),
-                (F.lit(n_slots) - F.min("slot")).alias("n_returns")))
+                (F.max(n_slots) - F.min("slot")).alias("n_returns")))
     return (per.groupBy("key", "date")
             .agg(F.avg("rv").alias("rv"), (F.avg("bp") * (math.pi / 2)).alias("bpv"),
                  F.max("n_returns").cast("bigint").alias("n_returns")))

@@ -39,7 +39,7 @@ def value_counts(df: DataFrame, by: list[str], x: str, weight=None) -> DataFrame
 def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
               names: list[str]) -> DataFrame:
     """Linearly interpolated quantiles, one row per group."""
-    ranked = value_counts(df, by, x)
+    ranked = value_counts(df.select(*by, F.col(x).alias("_x")), by, "_x")
     cols = []
     for p, name in zip(probs, names):
         pos = (F.col("n") - 1) * F.lit(float(p))
@@ -47,7 +47,7 @@ def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
 
         def at(k):
             return F.max(F.when((F.col("n_lt") <= k) & (k < F.col("n_lt") + F.col("n_eq")),
-                                F.col(x).cast("double")))
+                                F.col("_x").cast("double")))
         frac = F.max(pos - lo)
         cols += [at(lo).alias(f"_l_{name}"), at(hi).alias(f"_h_{name}"), frac.alias(f"_f_{name}")]
     agg = ranked.groupBy(*by).agg(*cols)
@@ -58,6 +58,7 @@ def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],
 
 def with_rank(df: DataFrame, by: list[str], x: str, out: str = "rank") -> DataFrame:
     """Average-tie rank from 1, plus the group size in ``<out>_n``."""
-    ranked = value_counts(df, by, x).select(
-        *by, x, (F.col("n_lt") + (F.col("n_eq") + 1) / 2.0).alias(out), F.col("n").alias(out + "_n"))
+    plain = df.select(*by, F.col(x).alias("_x"))
+    ranked = value_counts(plain, by, "_x").select(
+        *by, F.col("_x").alias(x), (F.col("n_lt") + (F.col("n_eq") + 1) / 2.0).alias(out), F.col("n").alias(out + "_n"))
     return attach(df, ranked, [*by, x])
