@@ -131,8 +131,8 @@ _off = "tan(least(greatest(e * (ln(len::DOUBLE) / (20::DOUBLE * len)), -1.5::DOU
 def pid_sql():
     off = _off.replace("len", "w")
     d = "(CASE WHEN C_cast IS NULL THEN 0::DOUBLE ELSE C_cast - b END)"
-    miss = f"((CASE WHEN Z - {d} > q + {off} THEN 1::DOUBLE ELSE 0::DOUBLE END) - 0.05::DOUBLE)"
-    return recursion({"q": ("Q0", f"q + 0.05::DOUBLE * {miss}"), "e": ("0::DOUBLE", f"e + {miss}"), "b": ("Q0", "b"), "w": ("T", "w")}, f"q + {off} + {d}", PID_CTX)
+    miss = f"((CASE WHEN Z - {d} > k + {off} THEN 1::DOUBLE ELSE 0::DOUBLE END) - 0.05::DOUBLE)"
+    return recursion({"k": ("Q0", f"k + 0.05::DOUBLE * {miss}"), "e": ("0::DOUBLE", f"e + {miss}"), "b": ("Q0", "b"), "w": ("T", "w")}, f"k + {off} + {d}", PID_CTX)
 
 
 @query("cf_pid", pid_sql() + IV)
