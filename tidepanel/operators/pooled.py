@@ -156,6 +156,10 @@ class FixedWalk:
     def rates(self, side):
         return np.broadcast_to(self.eta, self.q[side].shape)
 
+    def state(self):
+        """Thresholds after the day, upper side first: the start of a later walk."""
+        return [float(v) for side in sorted(self.q, reverse=True) for v in self.q[side]]
+
 
 class AdaptiveWalk:
     """A bank of rates per regime, mixed by exponential weights on the day's mean
@@ -190,6 +194,9 @@ class AdaptiveWalk:
     def rates(self, side):
         return weights(self.logw[side]) @ self.rate
 
+    def state(self):
+        return []
+
 
 def _walk(pdf: pd.DataFrame, walk) -> list[tuple]:
     out = []
@@ -207,7 +214,7 @@ def _walk(pdf: pd.DataFrame, walk) -> list[tuple]:
                 day = Day(cells, s)
                 walk.learn(s, day, pi, issued[s])
                 touched |= day.open
-        out.append((issued.get(-1, math.nan), issued[1], rates, sorted(touched)))
+        out.append((issued.get(-1, math.nan), issued[1], rates, sorted(touched), walk.state()))
     return out
 
 
@@ -260,12 +267,12 @@ def calendar_frame(rows: DataFrame, membership: DataFrame | None, alpha: float,
     return d.withColumn("_q", q.scalar()).withColumn("q0_hi", F.col("_q.hi")).withColumn("q0_lo", F.col("_q.lo")).drop("_q")
 
 
-OUT = "arm string, date date, q_lo double, q_hi double, rates array<double>, touched array<string>"
+OUT = "arm string, date date, q_lo double, q_hi double, rates array<double>, touched array<string>, state array<double>"
 
 
 def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rounds: int = 40) -> DataFrame:
     """Walk all arms, splitting cells until every lookup is exact. ``walks`` maps
-    an arm to a function from its date frame to (q_lo, q_hi, rates, open cells)."""
+    an arm to a function from its date frame to (q_lo, q_hi, rates, open cells[, state])."""
     digest = first_digest(rows, root)
     arms = F.explode(F.array(*[F.lit(a) for a in walks]))
 
@@ -274,7 +281,8 @@ def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rou
         arm = pdf["arm"].iloc[0]
         res = walks[arm](pdf)
         return pd.DataFrame({"arm": arm, "date": pdf["date"], "q_lo": [r[0] for r in res], "q_hi": [r[1] for r in res],
-                             "rates": [r[2] for r in res], "touched": [r[3] for r in res]})
+                             "rates": [r[2] for r in res], "touched": [r[3] for r in res],
+                             "state": [r[4] if len(r) > 4 else [] for r in res]})
     cal = written(cal)
     for _ in range(rounds):
         digest = written(digest)
@@ -291,7 +299,7 @@ def issue(rows: DataFrame, path: DataFrame, cal: DataFrame, arms: list[str], one
     """Thresholds back onto the rows: interval flags and widths."""
     facts = path.join(cal.select("date", "warm"), "date")
     d = rows.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
-    d = attach(d, facts.drop("rates"), ["arm", "date"], "inner")
+    d = attach(d, facts.drop("rates", "state"), ["arm", "date"], "inner")
     hi = F.col("s_std") <= F.col("q_hi")
     lo = F.lit(True) if one_sided else -F.col("s_std") <= F.col("q_lo")
     width = F.col("q_hi") if one_sided else F.col("q_lo") + F.col("q_hi")
