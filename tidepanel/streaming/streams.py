@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import ratio
+from ..functions.columns import normalized, ratio
 from ..operators import pooled as PO
 from ..operators.steps import Rule
 from ..session import shared_folder, written
@@ -135,7 +135,8 @@ def entity_tracker(rows: DataFrame, rule: Rule, a: float, warmup: int) -> DataFr
             out.append((key[0], d, ql, qh, bool(s <= qh and -s <= ql), False, late))
             hi, lo = rule.learn(hi, none, s, qh), rule.learn(lo, none, -s, ql)
         state.update((warm, [float(v) for v in hi], [float(v) for v in lo], last, late))
-        yield pd.DataFrame(out, columns=["key", "date", "q_lo", "q_hi", "covered", "warmup", "late"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "date", "q_lo", "q_hi", "covered", "warmup", "late"])
     return rows.groupBy("key").applyInPandasWithState(step, TRACK, TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -154,65 +155,82 @@ def run_length(rows: DataFrame) -> DataFrame:
 
 # --- pooled tracker ----------------------------------------------------------------
 
+ROWS = "key string, date date, s_std double, sigma_hat double"
+GENERATION = "batch long, pending string, paths array<string>, state array<double>, closed date"
+THRESHOLDS = "arm string, date date, q_lo double, q_hi double, rates array<double>, state array<double>"
+
+
 class PanelTracker:
     """Pooled thresholds over a stream of scored rows (key, date, s_std, sigma_hat).
 
     A date closes when a later date has arrived. Rows of closed dates go to a side
     table and never change a threshold. Pending rows, thresholds and the state are
-    Parquet tables in the shared folder; each batch writes a new generation, so a
-    repeated batch starts from the generation before it.
+    Parquet tables under ``base`` in the shared folder. Every batch writes a new
+    generation and starts from the newest one before it, so a repeated batch, or a
+    new driver given the same ``base``, goes on where the tables end.
     """
 
-    def __init__(self, spark: SparkSession, walk: Callable[[], PO.FixedWalk], membership: DataFrame, k: int, start: dict[str, float]):
+    def __init__(self, spark: SparkSession, walk: Callable[[], PO.FixedWalk], membership: DataFrame, k: int,
+                 start: dict[str, float], base: str | None = None):
         self.spark, self.walk, self.membership, self.k, self.start = spark, walk, membership, k, start
-        self.base = f"{shared_folder(spark)}/tracker-{uuid.uuid4().hex}"
-        self.done: dict[int, tuple] = {}
+        self.base = base or f"{shared_folder(spark)}/tracker-{uuid.uuid4().hex}"
+        self._save(-1, "", [], [], None)
+
+    def _save(self, batch, pending, paths, state, closed) -> None:
+        row = self.spark.createDataFrame([(batch, pending, paths, state, closed)], GENERATION)
+        row.write.mode("ignore" if batch < 0 else "overwrite").parquet(f"{self.base}/state/g={batch}")
 
-    def _before(self, batch: int):
-        prev = [b for b in self.done if b < batch]
-        return self.done[max(prev)] if prev else (None, [], None, None)
+    def _latest(self, before: int | None = None):
+        g = self.spark.read.schema(GENERATION).parquet(f"{self.base}/state/*")
+        g = g if before is None else g.filter(F.col("batch") < before)
+        return g.orderBy(F.desc("batch")).first()
+
+    def _table(self, path: str, schema: str = ROWS) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path)
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        pending, paths, state, closed_to = self._before(batch)
-        fresh = rows.select("key", "date", "s_std", "sigma_hat")
-        if closed_to is not None:
-            late = fresh.filter(F.col("date") <= F.lit(closed_to))
-            late.write.mode("overwrite").parquet(f"{self.base}/late/batch={batch}")
-            fresh = fresh.filter(F.col("date") > F.lit(closed_to))
-        if pending is not None:
-            fresh = fresh.unionByName(self.spark.read.schema(fresh.schema).parquet(pending))
-        path = f"{self.base}/pending/batch={batch}"
-        fresh.write.mode("overwrite").parquet(path)
-        held = self.spark.read.schema(fresh.schema).parquet(path)
+        last = self._latest(batch)
+        arrived = f"{self.base}/arrived/batch={batch}"
+        rows.select("key", "date", "s_std", "sigma_hat").write.mode("overwrite").parquet(arrived)
+        held = self._table(arrived)
+        if last["closed"] is not None:
+            held.filter(F.col("date") <= F.lit(last["closed"])).write.mode("overwrite").parquet(f"{self.base}/late/batch={batch}")
+            held = held.filter(F.col("date") > F.lit(last["closed"]))
+        if last["pending"]:
+            held = held.unionByName(self._table(last["pending"]))
         newest = held.agg(F.max("date").alias("d")).first()["d"]
-        ready = held.filter(F.col("date") < F.lit(newest)) if newest else held.limit(0)
-        if ready.isEmpty():
-            self.done[batch] = (path, paths, state, closed_to)
+        if newest is None:
+            self._save(batch, last["pending"], last["paths"], last["state"], last["closed"])
             return
-        out, state = self._advance(ready, state)
-        keep = f"{self.base}/open/batch={batch}"
+        keep = f"{self.base}/pending/batch={batch}"
         held.filter(F.col("date") == F.lit(newest)).write.mode("overwrite").parquet(keep)
-        last = ready.agg(F.max("date").alias("d")).first()["d"]
-        self.done[batch] = (keep, paths + [out], state, last)
+        ready = held.filter(F.col("date") < F.lit(newest))
+        closed = ready.agg(F.max("date").alias("d")).first()["d"]
+        if closed is None:
+            self._save(batch, keep, last["paths"], last["state"], last["closed"])
+            return
+        out = f"{self.base}/thresholds/batch={batch}"
+        path = self._advance(ready, last["state"])
+        path.write.mode("overwrite").parquet(out)
+        end = self._table(out, THRESHOLDS).agg(F.max_by("state", "date").alias("s")).first()["s"]
+        self._save(batch, keep, last["paths"] + [out], list(end), closed)
 
-    def _advance(self, ready: DataFrame, state):
+    def _advance(self, ready: DataFrame, state) -> DataFrame:
         hi = F.array(*[F.lit(float(v)) for v in (state[:self.k] if state else [self.start["hi"]] * self.k)])
         lo = F.array(*[F.lit(float(v)) for v in (state[self.k:] if state else [self.start["lo"]] * self.k)])
         dates = ready.select("date").distinct().join(self.membership.select("date", "pi"), "date", "left")
-        from ..functions.columns import normalized
         cal = dates.withColumn("pi", normalized(F.col("pi"), self.k)).withColumn("warm", F.lit(False)) \
             .withColumn("q0_hi", hi).withColumn("q0_lo", lo)
-        path = PO.thresholds(ready, written(cal), {"stream": lambda pdf: PO._walk(pdf, self.walk())})
-        end = path.agg(F.max_by("state", "date").alias("s")).first()["s"]
-        return path, list(end)
+        make = self.walk
+        return PO.thresholds(ready, written(cal), {"stream": lambda pdf: PO._walk(pdf, make())})
 
     def finish(self) -> DataFrame:
         """Thresholds of all closed dates."""
-        parts = self.done[max(self.done)][1]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.select("date", "q_lo", "q_hi")
+        return self.spark.read.schema(THRESHOLDS).parquet(*self._latest()["paths"]).select("date", "q_lo", "q_hi")
+
+    def late(self) -> DataFrame:
+        """Rows that arrived after their date had closed."""
+        return self.spark.read.schema(ROWS).parquet(f"{self.base}/late/*")
 
 
 def run_panel_tracker(stream: DataFrame, tracker: PanelTracker) -> DataFrame:
