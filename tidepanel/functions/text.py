@@ -50,8 +50,8 @@ def shock(text, high=HIGH_SEVERITY, medium=MEDIUM_SEVERITY) -> Column:
     low = F.lower(F.coalesce(col(text), F.lit("")))
     total = F.lit(0.0)
     for words, weight in ((high, HIGH_WEIGHT), (medium, MEDIUM_WEIGHT)):
-        hits = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-        total = total + F.size(hits) * F.lit(weight)
+        for word in words:
+            total = total + F.contains(low, F.lit(word)).cast("double") * F.lit(weight)
     return F.least(total, F.lit(SHOCK_CAP))
 
 

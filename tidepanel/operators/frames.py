@@ -13,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
+
 SALTS = 8
 BUCKETS = 64
+BROADCAST_ROWS = 200_000
 
 
 def by_key(*order: str, key: str | list[str] = "key"):
@@ -27,18 +30,21 @@ def calendar(*order: str):
     return Window.partitionBy(F.lit(0)).orderBy(*(order or ("date",)))
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
-           salts: int = SALTS) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = SALTS,
+           most: int = BROADCAST_ROWS) -> DataFrame:
     """Join per-group facts (one row per group) to rows whose groups may be hot.
 
-    The rows of a group are spread over ``salts`` hash buckets and the facts are
-    repeated that often, so no task receives a whole group. AQE still turns the
-    join into a broadcast when the measured size of the facts allows it.
+    The facts are written once and counted. Up to ``most`` rows they are broadcast,
+    so the rows are not shuffled at all. Beyond that the rows of a group are spread
+    over ``salts`` hash buckets and the facts are repeated that often, so no task
+    receives a whole group.
     """
-    plain = [c for c in big.columns
-             if not big.schema[c].dataType.simpleString().startswith("map")]
+    facts, n = measured(small)
+    if n <= most:
+        return big.join(F.broadcast(facts), on, how)
+    plain = [c for c in big.columns if not big.schema[c].dataType.simpleString().startswith("map")]
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    right = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
 
@@ -62,44 +68,35 @@ def rows_of(df: DataFrame, items: list, name: str) -> DataFrame:
 # split into (key, bucket) pieces in order, each piece is scanned on its own, and
 # one summary row per piece carries the state across the borders.
 
-def scan_last(df: DataFrame, keys: list[str], bucket: str, order: list[str],
-              value: Column, out: str, include_current: bool = False) -> DataFrame:
+def scan_last(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, out: str,
+              include_current: bool = False) -> DataFrame:
     """Last non-NULL ``value`` before each row of its key (or up to it)."""
+    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     d = df.withColumn("_v", value)
-    w = Window.partitionBy(*keys, bucket).orderBy(*order)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    local = d.withColumn("_local", F.last("_v", ignorenulls=True).over(frame))
-    ends = (d.filter(F.col("_v").isNotNull()).groupBy(*keys, bucket)
-            .agg(F.max_by("_v", F.struct(*order)).alias("_end")))
-    return _carry(df, local, ends, keys, bucket, out)
-
-
-def _carry(df, local, ends, keys, bucket, out):
-    pieces = df.select(*keys, bucket).distinct().join(ends, keys + [bucket], "left")
-    wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = pieces.select(*keys, bucket,
-                           F.last("_end", ignorenulls=True).over(wb).alias("_before"))
-    joined = attach(local, before, keys + [bucket])
-    return (joined.withColumn(out, F.coalesce("_local", "_before"))
-            .drop("_v", "_local", "_before"))
-
-
-def scan_next(df: DataFrame, keys: list[str], bucket: str, order: list[str],
-              value: Column, out: str) -> DataFrame:
+    known = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    ends = d.groupBy(*keys, bucket).agg(F.max_by("_v", known).alias("_end"))
+    carry = ends.select(*keys, bucket, F.last("_end", ignorenulls=True).over(w).alias("_v"), F.lit(0).alias("_row"))
+    piece = Window.partitionBy(*keys, bucket).orderBy("_row", *order)
+    frame = piece.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    return _scan(d, carry, F.last("_v", ignorenulls=True).over(frame), out)
+
+
+def scan_next(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
     """First non-NULL ``value`` strictly after each row of its key."""
+    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
     d = df.withColumn("_v", value)
-    w = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = d.withColumn("_local", F.first("_v", ignorenulls=True)
-                         .over(w.rowsBetween(1, Window.unboundedFollowing)))
-    ends = (d.filter(F.col("_v").isNotNull()).groupBy(*keys, bucket)
-            .agg(F.min_by("_v", F.struct(*order)).alias("_end")))
-    pieces = df.select(*keys, bucket).distinct().join(ends, keys + [bucket], "left")
-    wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
-    after = pieces.select(*keys, bucket,
-                          F.first("_end", ignorenulls=True).over(wb).alias("_before"))
-    joined = attach(local, after, keys + [bucket])
-    return (joined.withColumn(out, F.coalesce("_local", "_before"))
-            .drop("_v", "_local", "_before"))
+    known = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    ends = d.groupBy(*keys, bucket).agg(F.min_by("_v", known).alias("_end"))
+    carry = ends.select(*keys, bucket, F.first("_end", ignorenulls=True).over(w).alias("_v"), F.lit(2).alias("_row"))
+    piece = Window.partitionBy(*keys, bucket).orderBy("_row", *order)
+    return _scan(d, carry, F.first("_v", ignorenulls=True).over(piece.rowsBetween(1, Window.unboundedFollowing)), out)
+
+
+def _scan(d, carry, value, out):
+    """One pass over the pieces: the carried state of a piece is one extra row at
+    its border, so the rows are shuffled once."""
+    both = d.withColumn("_row", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    return both.withColumn(out, value).filter(F.col("_row") == 1).drop("_v", "_row")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str], prefix: str = "_r") -> DataFrame:

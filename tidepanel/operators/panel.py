@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
 from .frames import attach, by_key, calendar
-from .ranks import quantiles
 
 SESSION_OPEN, SESSION_CLOSE = 9 * 3600 + 30 * 60, 16 * 3600
 
@@ -52,7 +51,8 @@ def clean_ticks(ticks: DataFrame, width: str = "10 minutes", tolerance: float =
         second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
         d = d.filter((second >= open_s) & (second <= close_s))
     d = d.withColumn("_w", F.window("ts", width).start)
-    med = quantiles(d, ["key", "_w"], "price", [0.5], ["_m"])
+    # a (key, window) group is bounded by the ticks of one short time window
+    med = d.groupBy("key", "_w").agg(F.percentile("price", 0.5).alias("_m"))
     near = F.abs(F.log(ratio("price", "_m"))) <= tolerance
     return attach(d, med, ["key", "_w"], "inner").filter(near).drop("_w", "_m")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .frames import BUCKETS, attach
 
 
@@ -17,8 +18,8 @@ def value_counts(df: DataFrame, by: list[str], x: str, weight=None) -> DataFrame
     """Distinct values with ``n_eq`` copies, ``n_lt`` smaller values and the group
     total ``n`` (NULL values are left out)."""
     c = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = (df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(c.alias("n_eq"))
-              .withColumn("_all", F.lit(0)))
+    counts = written(df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(c.alias("n_eq"))
+                     .withColumn("_all", F.lit(0)))
     keys = [*by, "_all"]
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
     cuts = counts.groupBy(*keys).agg(

@@ -21,7 +21,7 @@ SCORE_SQL = f"""{PANEL_B}, sc0 AS (SELECT key, date, lead(x) {OVER} AS target, a
 
 
 def preds(t):
-    d = t.panel_b().select("key", "date", F.lead("x").over(fr.by_key()).alias("target"), W.mean("x", 5).alias("m"))
+    d = t.table_b().select("key", "date", F.lead("x").over(fr.by_key()).alias("target"), W.mean("x", 5).alias("m"))
     return d.filter(F.col("target").isNotNull()).withColumn("s", F.col("target") - F.col("m"))
 
 

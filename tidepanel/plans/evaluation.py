@@ -84,7 +84,7 @@ def ev_by_state(t):
 @query("ev_point_table", f"""{BASE}, d AS (SELECT * FROM h WHERE y IS NOT NULL AND rv_m IS NOT NULL), u AS (SELECT 'rv_d' AS model, y, rv_d AS p FROM d UNION ALL SELECT 'rv_w', y, rv_w FROM d UNION ALL SELECT 'rv_m', y, rv_m FROM d)
  SELECT model, r6(avg(exp(y - p) - (y - p) - 1)) AS qlike, r6(sqrt(avg((y - p) * (y - p)))) AS rmse, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY 1""")
 def ev_point_table(t):
-    return six(EV.point_table(FC.design(t.panel_a()), H3, "y"), "qlike", "rmse", keep=("model", "n"))
+    return six(EV.point_table(FC.design(t.table_a()), H3, "y"), "qlike", "rmse", keep=("model", "n"))
 
 
 @query("ev_var_table")
@@ -376,7 +376,7 @@ def grouped_r2(d, by, feats, part, lam=0.0, digits=4):
 def ev_purged_cv(t):
     """Year-forward folds with the last five training dates purged. The rank of a
     date comes from the calendar, and each row belongs to at most all folds."""
-    d = FC.design(t.panel_a())
+    d = FC.design(t.table_a())
     cal = d.select("date").distinct().withColumn("dr", F.row_number().over(fr.calendar()))
     years = list(range(1997, 2001))
     first = cal.agg(*[F.min(F.when(F.year("date") == y, F.col("dr"))).alias(f"f{y}") for y in years])

@@ -47,7 +47,7 @@ HAR_FIT = (f"hq AS (SELECT DISTINCT key, CAST(date_trunc('quarter', date) AS DAT
 
 
 def har_forecasts(t, p=None):
-    return FC.walk_forward(FC.design(p if p is not None else t.panel_a()), H3, START)
+    return FC.walk_forward(FC.design(p if p is not None else t.table_a()), H3, START)
 
 
 @query("fc_har", f"{BASE}, {HAR_FIT} SELECT key, date, r4(y) AS target, r4(har) AS har FROM fcst")
@@ -61,7 +61,7 @@ RIDGE = f"{BASE}, {RDG_SRC}, " + gram_cte("g", "hh", [], F4, "y", f"date < DATE
 
 
 def design_a(t):
-    return FC.design(t.panel_a()).withColumn("n", F.col("n").cast("double"))
+    return FC.design(t.table_a()).withColumn("n", F.col("n").cast("double"))
 
 
 def train(d):
@@ -104,7 +104,7 @@ def fc_sector_models(t):
 def fc_stack(t):
     d = design_a(t)
     tech = G.fit_predict(train(d), d, [], F4, "y", 100.0).select("key", "date", F.col("pred").alias("tech"))
-    risk = t.panel_a().filter("n % 2 = 0").select("key", "date", (F.col("qty") / 100.0).alias("risk"))
+    risk = t.table_a().filter("n % 2 = 0").select("key", "date", (F.col("qty") / 100.0).alias("risk"))
     s = tech.join(risk, ["key", "date"], "left").withColumn("risk", F.coalesce("risk", F.lit(0.2)))
     return s.select("key", "date", rnd("tech", 4).alias("tech"), rnd("risk", 4).alias("risk"), rnd(F.col("risk") * F.col("tech"), 4).alias("inter"))
 
@@ -116,7 +116,7 @@ GRID = [i / 10 for i in range(11)]
     f"SELECT {w}::DOUBLE AS w, 1 - sum((y - ({w} * rv_d + (1 - {w}) * rv_m)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM d" for w in GRID) +
     "), v AS (SELECT 1 - sum((y - (rv_d + rv_w + rv_m) / 3) ** 2) / (var_pop(y) * count(*)) AS mean_r2 FROM d) SELECT w, r6(r2) AS r2, w = (SELECT arg_max(w, r2) FROM c) AS best, r6(mean_r2) AS mean_r2 FROM c, v")
 def fc_ens_weights(t):
-    d = FC.design(t.panel_a()).dropna(subset=["y", "rv_m"])
+    d = FC.design(t.table_a()).dropna(subset=["y", "rv_m"])
     g = FC.grid_r2(d, "y", GRID, lambda w: w * F.col("rv_d") + (1 - w) * F.col("rv_m"))
     mean = d.withColumn("m", (F.col("rv_d") + F.col("rv_w") + F.col("rv_m")) / 3).agg(r2("y", "m")).scalar()
     best = g.agg(F.max_by("w", "r2")).scalar()
@@ -130,7 +130,7 @@ HEDGE_SQL = """dl AS (SELECT date, least(avg(exp(y - rv_d) - (y - rv_d) - 1), 10
 
 @query("fc_hedge", f"{BASE}, {HEDGE_SQL} SELECT key, h.date AS date, r6(w1) AS w1, r6(CASE WHEN rv_w IS NULL THEN rv_d ELSE (w1 * rv_d + w2 * rv_w) / (w1 + w2) END) AS pool FROM h JOIN dw ON h.date = dw.date")
 def fc_hedge(t):
-    d = FC.hedge(FC.design(t.panel_a()), ["rv_d", "rv_w"], 2.0, "y")
+    d = FC.hedge(FC.design(t.table_a()), ["rv_d", "rv_w"], 2.0, "y")
     return d.select("key", "date", rnd("w_rv_d").alias("w1"), rnd("pool").alias("pool"))
 
 
@@ -165,14 +165,14 @@ def fc_caviar_grid(t):
 
 @query("fc_har_qreg")
 def fc_har_qreg(t):
-    d = FC.har_quantiles(FC.design(t.panel_a()), [0.05, 0.5, 0.95], 500, 252).filter(~F.isnan("q500"))
+    d = FC.har_quantiles(FC.design(t.table_a()), [0.05, 0.5, 0.95], 500, 252).filter(~F.isnan("q500"))
     return d.select("key", "date", rnd("q050", 4).alias("q050"), rnd("q500", 4).alias("q500"), rnd("q950", 4).alias("q950"))
 
 
 @query("fc_vol_surprise", f"{BASE}, s AS (SELECT key, date, y - rv_w AS surprise FROM h) SELECT key, date, r6(surprise) AS surprise, abs(surprise) > 1 AS extreme, CAST(sign(surprise) AS INTEGER) AS direction FROM s WHERE surprise IS NOT NULL")
 def fc_vol_surprise(t):
     s = F.col("y") - F.col("rv_w")
-    return FC.design(t.panel_a()).withColumn("s", s).dropna(subset=["s"]).select(
+    return FC.design(t.table_a()).withColumn("s", s).dropna(subset=["s"]).select(
         "key", "date", rnd("s").alias("surprise"), (F.abs("s") > 1).alias("extreme"), F.signum("s").cast("int").alias("direction"))
 
 
@@ -252,7 +252,7 @@ POLY = ["rv_d", "rv_m", "d2", "m2", "dm"]
        + f" SELECT key, date, r4({predict_sql(POLY)}) AS pred FROM hp, b WHERE date >= DATE '{SPLIT}' AND rv_m IS NOT NULL")
 def fc_poly(t):
     u, v = F.col("rv_d") - 11, F.col("rv_m") - 11
-    d = FC.design(t.panel_a()).withColumn("d2", u * u).withColumn("m2", v * v).withColumn("dm", u * v)
+    d = FC.design(t.table_a()).withColumn("d2", u * u).withColumn("m2", v * v).withColumn("dm", u * v)
     out = G.fit_predict(train(d), test(d), [], POLY, "y", 1.0)
     return out.filter("rv_m is not null").select("key", "date", rnd("pred", 4).alias("pred"))
 

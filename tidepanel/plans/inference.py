@@ -7,6 +7,7 @@ from ..operators import evaluate as EV
 from ..operators import forecast as FC
 from ..operators import frames as fr
 from ..operators import inference as IN
+from ..session import written
 from .evaluation import EP_SQL, RUN_SQL, bounds, bq, daily, predicted, six, stress_runs
 from .forecasts import BASE
 from .registry import query
@@ -32,7 +33,7 @@ DM_SRC = f"{BASE}, d AS (SELECT date, avg((exp(y - rv_w) - (y - rv_w) - 1) - (ex
 
 def dm_daily(t):
     from ..functions.columns import qlike
-    d = FC.design(t.panel_a()).dropna(subset=["y", "rv_m"])
+    d = FC.design(t.table_a()).dropna(subset=["y", "rv_m"])
     return IN.daily_mean(d, qlike("y", "rv_w") - qlike("y", "rv_m"), [])
 
 
@@ -44,7 +45,7 @@ def in_dm(t):
 @query("in_dm_h", f"{BASE}, e AS (SELECT key, date, (y - rv_w) ** 2 - (y - rv_m) ** 2 AS v FROM h WHERE y IS NOT NULL AND rv_m IS NOT NULL), " + hac_sql("e", "key", "2", most=2) + " SELECT key, n, r4(mean / se) AS dm FROM hm")
 def in_dm_h(t):
     """Unclustered, squared errors, horizon 3 (bandwidth 2), one test per key."""
-    d = FC.design(t.panel_a()).dropna(subset=["y", "rv_m"])
+    d = FC.design(t.table_a()).dropna(subset=["y", "rv_m"])
     e = d.select("key", "date", (F.pow(F.col("y") - F.col("rv_w"), 2) - F.pow(F.col("y") - F.col("rv_m"), 2)).alias("v"))
     return IN.dm_test(e, ["key"], 2).select("key", "n", rnd("dm", 4).alias("dm"))
 
@@ -59,7 +60,7 @@ PAIR = ", sl AS (SELECT a.method AS method, a.date AS date, a.cov - r.cov AS v,
 
 def gaps(t):
     """Differences to the reference method per date."""
-    d = daily(t)
+    d = written(daily(t))
     ref = d.filter("method = 'aci'").select("date", F.col("cov").alias("ref"), F.col("cov_hi").alias("ref_hi"), F.col("isc").alias("ref_isc"))
     return d.filter("method <> 'aci'").join(ref, "date").withColumn("v", F.col("cov") - F.col("ref"))
 
@@ -233,7 +234,7 @@ RW = draws_sql("rw").split(", drw AS")[0] + f""", rwp AS (SELECT rep, b * 20 + k
 def in_romano_wolf(t):
     """Every replicate keeps its own date order, so the HAC error is recomputed
     on the bootstrap series itself."""
-    d = gaps(t).select("method", "date", "v", "stress").transform(_written)
+    d = gaps(t).select("method", "date", "v", "stress")
     obs = IN.hac_beta(d, ["method"]).select("method", F.col("b1").alias("b1_obs"), ratio("b1", "se").alias("t"))
     pos = IN.positions(d)
     paths = IN.block_paths(pos, REPS, 20, "rw")
@@ -243,11 +244,6 @@ def in_romano_wolf(t):
     return out.select("method", rnd(F.abs("t"), 4).alias("t"), rnd("p_adj").alias("p_adj"))
 
 
-def _written(df):
-    from ..session import written
-    return written(df)
-
-
 @query("in_mcs")
 def in_mcs(t):
     d = IN.confidence_set(daily(t), "isc", 0.1, REPS, 20)

@@ -12,7 +12,7 @@ HALF_SQL = f"WITH {PANEL_A}, a AS (SELECT key, date, x FROM pa WHERE n % 2 = 0),
 
 
 def halves(t):
-    p = t.panel_a()
+    p = t.table_a()
     return p.filter("n % 2 = 0").select("key", "date", "x"), p.filter("n % 3 = 0").select("key", "date", "qty")
 
 
@@ -31,7 +31,7 @@ def jn_left(t):
 @query("jn_date_bcast", f"""WITH {PANEL_A}, m AS (SELECT date, avg(x) AS lvl FROM pa GROUP BY 1)
  SELECT key, pa.date AS date, r6(x - lvl) AS rel FROM pa LEFT JOIN m ON pa.date = m.date""")
 def jn_date_bcast(t):
-    p = t.panel_a()
+    p = t.table_a()
     m = p.groupBy("date").agg(F.avg("x").alias("lvl"))
     return J.with_market(p, m).select("key", "date", rnd(F.col("x") - F.col("lvl")).alias("rel"))
 
@@ -65,7 +65,7 @@ def jn_semi_keys(t):
 @query("jn_semi_slice", f"""WITH {PANEL_A}, s AS (SELECT date FROM pa GROUP BY 1 HAVING avg(x) > 11)
  SELECT key, date FROM pa WHERE date IN (SELECT date FROM s)""")
 def jn_semi_slice(t):
-    p = t.panel_a()
+    p = t.table_a()
     s = p.groupBy("date").agg(F.avg("x").alias("a")).filter("a > 11").select("date")
     return p.join(s, "date", "left_semi").select("key", "date")
 
@@ -85,7 +85,7 @@ def jn_pair(t):
 @query("jn_next_obs", f"""WITH {PANEL_A}, s AS (SELECT key, lag(date) OVER (PARTITION BY key ORDER BY date) AS date, x AS x_next FROM pa)
  SELECT key, date, r6(x) AS x, r6(x_next) AS x_next FROM pa JOIN s USING (key, date)""")
 def jn_next_obs(t):
-    p = t.panel_a()
+    p = t.table_a()
     return p.join(J.next_observation(p, "x", "x_next"), ["key", "date"]).select(
         "key", "date", rnd("x").alias("x"), rnd("x_next").alias("x_next"))
 

@@ -57,7 +57,7 @@ def fc_other_models(t):
 @query("fc_rank_cls")
 def fc_rank_cls(t):
     """Next period's cross-sectional quintile from this period's features."""
-    p = t.panel_b().withColumn("mom", F.col("x") - F.lag("x", 4).over(fr.by_key()))
+    p = t.table_b().withColumn("mom", F.col("x") - F.lag("x", 4).over(fr.by_key()))
     r = with_rank(p, ["date"], "x").withColumn("q", F.least(F.floor(F.col("rank") / F.col("rank_n") * 5 - 1e-9), F.lit(4)).cast("double"))
     d = r.withColumn("label", F.lead("q").over(fr.by_key())).dropna(subset=["label", "mom"])
     out = ml.forest_classifier(train(d), test(d), ["x", "qty", "mom", "q"], "label", trees=10, depth=4)

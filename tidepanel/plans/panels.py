@@ -93,7 +93,7 @@ def pn_rv_ticks(t):
 @query("pn_macro", f"""WITH {PANEL_A}, m AS (SELECT date, max(CASE WHEN key = '0' THEN x END) AS idx, max(CASE WHEN key = '1' THEN qty END) AS fear FROM pa WHERE key IN ('0', '1') GROUP BY 1)
  SELECT key, pa.date AS date, r6(idx) AS idx, r6(fear) AS fear FROM pa LEFT JOIN m ON pa.date = m.date""")
 def pn_macro(t):
-    p = t.panel_a()
+    p = t.table_a()
     m = p.filter(F.col("key").isin("0", "1")).groupBy("date").agg(F.max(F.when(F.col("key") == "0", F.col("x"))).alias("idx"),
                                                                   F.max(F.when(F.col("key") == "1", F.col("qty"))).alias("fear"))
     return fr.attach(p, m, ["date"]).select("key", "date", rnd("idx").alias("idx"), rnd("fear").alias("fear"))
@@ -117,12 +117,12 @@ STATE_SQL = f"""m0 AS (SELECT date, avg(x) AS level, stddev_samp(x) AS sd FROM p
 
 
 def state_b(t):
-    return P.market_state(t.panel_b(), "x", 60, 20)
+    return P.market_state(t.table_b(), "x", 60, 20)
 
 
 @query("pn_state", f"WITH {PANEL_B}, {STATE_SQL} SELECT key, pb.date AS date, r6(level) AS level, r6(dispersion) AS dispersion, r6(level_pctl) AS level_pctl, r6(disp_pctl) AS disp_pctl FROM pb LEFT JOIN st ON pb.date = st.date")
 def pn_state(t):
-    d = fr.attach(t.panel_b().select("key", "date"), state_b(t), ["date"])
+    d = fr.attach(t.table_b().select("key", "date"), state_b(t), ["date"])
     return d.select("key", "date", *[rnd(c).alias(c) for c in ("level", "dispersion", "level_pctl", "disp_pctl")])
 
 
@@ -150,7 +150,7 @@ def ft_har_x(t):
 @query("ft_deseason", f"""WITH {PANEL_A}, s AS (SELECT key, isodow(date) AS dow, median(x) AS m FROM pa GROUP BY 1, 2)
  SELECT pa.key AS key, date, r6(m) AS seasonal, r6(x - m) AS excess, r6((x - m) * 0.9 + m) AS restored FROM pa JOIN s ON pa.key = s.key AND isodow(date) = dow""")
 def ft_deseason(t):
-    d = FT.deseasonalize(t.panel_a(), "x", ["key"])
+    d = FT.deseasonalize(t.table_a(), "x", ["key"])
     return d.select("key", "date", rnd("seasonal").alias("seasonal"), rnd("excess").alias("excess"),
                     rnd(F.col("excess") * 0.9 + F.col("seasonal")).alias("restored"))
 
@@ -162,7 +162,7 @@ def ft_deseason_sector(t):
     """Weekly dates share one weekday, so the month stands in for it here. A
     sector's rows are counted per value first, whatever their number."""
     sec = t.nation.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_regionkey").cast("string").alias("sector"))
-    p = fr.attach(t.panel_b(), sec, ["key"], "inner").withColumn("dow", F.month("date") % 7)
+    p = fr.attach(t.table_b(), sec, ["key"], "inner").withColumn("dow", F.month("date") % 7)
     s = quantiles(p, ["sector", "dow"], "n", [0.5], ["m"])
     return fr.attach(p, s, ["sector", "dow"]).select("key", "date", rnd("m").alias("seasonal"), rnd(F.col("n") - F.col("m")).alias("excess"))
 
@@ -202,7 +202,7 @@ def ft_momentum(t):
 
 @query("ft_market_attention", f"WITH {PANEL_A} SELECT key, date, r6(avg(qty) OVER (PARTITION BY date)) AS mkt_qty, r6(avg(n) OVER (PARTITION BY date)) AS mkt_n FROM pa")
 def ft_market_attention(t):
-    return FT.date_means(t.panel_a(), ["qty", "n"]).select("key", "date", rnd("mkt_qty").alias("mkt_qty"), rnd("mkt_n").alias("mkt_n"))
+    return FT.date_means(t.table_a(), ["qty", "n"]).select("key", "date", rnd("mkt_qty").alias("mkt_qty"), rnd("mkt_n").alias("mkt_n"))
 
 
 @query("ft_contagion", f"""WITH {PANEL_B}, p AS (SELECT pb.*, n_regionkey AS sector FROM pb JOIN nation ON CAST(n_nationkey AS VARCHAR) = key),
@@ -210,7 +210,7 @@ def ft_market_attention(t):
  SELECT key, date, r4(s - x) AS sector_others, r4(x / (s + 1)) AS own_vs_sector, r4(x / (m + 1)) AS own_vs_market FROM c""")
 def ft_contagion(t):
     sec = t.nation.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_regionkey").alias("sector"))
-    d = FT.contagion(fr.attach(t.panel_b(), sec, ["key"], "inner"), "x", "sector")
+    d = FT.contagion(fr.attach(t.table_b(), sec, ["key"], "inner"), "x", "sector")
     return d.select("key", "date", *[rnd(c, 4).alias(c) for c in ("sector_others", "own_vs_sector", "own_vs_market")])
 
 
@@ -263,7 +263,7 @@ def ft_pca_train_only(t):
 @query("ft_assemble", f"""WITH {PANEL_A}, {HAR_SQL}, m AS (SELECT key, date, avg(x) {rows(5, 1)} AS mom_5 FROM pa), b AS (SELECT key, date, qty AS busy FROM pa WHERE n >= 5)
  SELECT h.key AS key, h.date AS date, r6(rv_w) AS rv_w, r6(coalesce(mom_5, 0)) AS mom_5, r6(coalesce(busy, 20)) AS busy FROM h LEFT JOIN m USING (key, date) LEFT JOIN b USING (key, date)""")
 def ft_assemble(t):
-    p = t.panel_a()
+    p = t.table_a()
     base = FT.har(p).select("key", "date", "rv_w")
     mom = FT.momentum(p, "x").select("key", "date", "mom_5")
     busy = p.filter("n >= 5").select("key", "date", F.col("qty").alias("busy"))
@@ -274,7 +274,7 @@ def ft_assemble(t):
 @query("ft_extreme_label", f"""WITH {PANEL_A}, l AS (SELECT key, date, x - lag(x) {OVER} AS r FROM pa), q AS (SELECT quantile_cont(r, 0.8) AS q FROM l WHERE date < DATE '1999-01-01')
  SELECT key, date, CAST(coalesce(r > q, false) AS INTEGER) AS extreme FROM l, q""")
 def ft_extreme_label(t):
-    d = t.panel_a().withColumn("r", F.col("x") - F.lag("x").over(fr.by_key()))
+    d = t.table_a().withColumn("r", F.col("x") - F.lag("x").over(fr.by_key()))
     q = quantiles(d.filter(F.col("date") < F.lit("1999-01-01").cast("date")), [], "r", [0.8], ["q"])
     d = fr.with_scalars(d, q)
     return d.select("key", "date", F.coalesce(F.col("r") > F.col("_g.q"), F.lit(False)).cast("int").alias("extreme"))

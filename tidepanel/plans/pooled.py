@@ -127,7 +127,7 @@ def cf_panel_xs(t):
  pool AS (SELECT date, unnest(v) AS v FROM nn WHERE rk <= 30), th AS (SELECT date, quantile_cont(v, 0.95) AS q_hi, quantile_cont(-v, 0.95) AS q_lo FROM pool GROUP BY 1)
  SELECT key, z.date AS date, r4(q_lo) AS q_lo, r4(q_hi) AS q_hi, coalesce(s_std <= q_hi AND -s_std <= q_lo, false) AS covered, q_hi IS NULL AS warmup, r4((q_lo + q_hi) * sigma) AS width FROM z LEFT JOIN th ON z.date = th.date WHERE s_std IS NOT NULL""")
 def cf_knn(t):
-    m = t.panel_b().groupBy("date").agg(F.avg("x").alias("a"), F.sum("n").cast("double").alias("b"))
+    m = t.table_b().groupBy("date").agg(F.avg("x").alias("a"), F.sum("n").cast("double").alias("b"))
     return shown(PO.run_knn(std_rows(t), m, ["a", "b"], 0.1, 30, DAYS))
 
 

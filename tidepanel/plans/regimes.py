@@ -75,7 +75,7 @@ def rg_hmm_filter(t):
 
 
 def hmm_input(t):
-    return t.panel_b().withColumn("vol", W.std("x", 8, 4)).select("key", "date", "x", "vol")
+    return t.table_b().withColumn("vol", W.std("x", 8, 4)).select("key", "date", "x", "vol")
 
 
 @query("rg_hmm_online")

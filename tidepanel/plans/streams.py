@@ -83,7 +83,7 @@ def st_panel_tracker(t):
  dc AS (SELECT date, -2.0 * coalesce(sum(l1) OVER w, 0) AS c1, -2.0 * coalesce(sum(l2) OVER w, 0) AS c2 FROM dl WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT date, r6(1 / (1 + exp(c2 - c1))) AS w1 FROM dc""")
 def st_hedge(t):
     """Daily losses come from the stream; the weights are their running softmax."""
-    d = FC.design(t.panel_a()).filter(F.col("y").isNotNull() & F.col("rv_w").isNotNull()).select("key", "date", "y", "rv_d", "rv_w")
+    d = FC.design(t.table_a()).filter(F.col("y").isNotNull() & F.col("rv_w").isNotNull()).select("key", "date", "y", "rv_d", "rv_w")
     losses = {"l1": qlike("y", "rv_d"), "l2": qlike("y", "rv_w")}
     daily = ST.run_to_table(ST.expert_losses(landed(t, d, "experts"), losses, "1 day"))
     w = fr.calendar().rowsBetween(-(2 ** 31), -1)

@@ -203,7 +203,7 @@ def win_episodes(t):
  count(*) OVER (PARTITION BY date) AS c FROM pb)
  SELECT key, date, r6(rk / c) AS pct, CAST(least(floor(rk / c * 5 - 1e-9), 4) AS INTEGER) AS quintile FROM a""")
 def win_rank_xs(t):
-    d = with_rank(t.panel_b(), ["date"], "x")
+    d = with_rank(t.table_b(), ["date"], "x")
     pct = F.col("rank") / F.col("rank_n")
     return d.select("key", "date", rnd(pct).alias("pct"), F.least(F.floor(pct * 5 - 1e-9), F.lit(4)).cast("int").alias("quintile"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..operators.frames import BROADCAST_ROWS
+from ..session import prepare, written
 
 NAMES = ("region nation customer supplier part orders lineitem events documents embeddings "
          "pages benchmark labels conversations").split()
@@ -18,6 +19,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -34,21 +36,22 @@ class Tables:
             return self.read(name)
         raise AttributeError(name)
 
-    def _shipments(self, day) -> DataFrame:
-        """Sums per (supplier, day): a hot supplier collapses map-side before the
-        join with its attributes."""
-        return (self.lineitem.withColumn("date", day)
-                .groupBy("l_suppkey", "date")
-                .agg(F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("qty"),
-                     F.count(F.lit(1)).alias("n")))
-
     def _panel(self, day, key) -> DataFrame:
+        """Shipments per (place, day). A short list of suppliers is broadcast, so
+        one map-side aggregate does all the work. A long one is joined after the
+        sums per (supplier, day), which collapse a hot supplier before the shuffle."""
         place = (self.supplier.join(self.nation, F.col("s_nationkey") == F.col("n_nationkey"))
                  .select("s_suppkey", key.cast("string").alias("key")))
-        return (self._shipments(day).join(place, F.col("l_suppkey") == F.col("s_suppkey"))
-                .groupBy("key", "date")
-                .agg(F.log(F.sum("price")).alias("x"), F.sum("qty").alias("qty"),
-                     F.sum("n").alias("n")))
+        rows = self.lineitem.select("l_suppkey", day.alias("date"), "l_extendedprice", "l_quantity")
+        same = F.col("l_suppkey") == F.col("s_suppkey")
+        if self.supplier.count() <= BROADCAST_ROWS:
+            parts = rows.join(F.broadcast(place), same).select(
+                "key", "date", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"), F.lit(1).alias("n"))
+        else:
+            parts = rows.groupBy("l_suppkey", "date").agg(
+                F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n")
+            ).join(place, same)
+        return parts.groupBy("key", "date").agg(F.log(F.sum("price")).alias("x"), F.sum("qty").alias("qty"), F.sum("n").alias("n"))
 
     def panel_a(self) -> DataFrame:
         """Region x day: key, date, x (log value), qty, n."""
@@ -58,6 +61,18 @@ class Tables:
         """Nation x week: a wider cross-section for the pooled operators."""
         return self._panel(F.to_date(F.date_trunc("week", "l_shipdate")), F.col("s_nationkey"))
 
+    def table_a(self) -> DataFrame:
+        """Panel A written once, for chains that read it several times."""
+        return self._once("a", self.panel_a)
+
+    def table_b(self) -> DataFrame:
+        return self._once("b", self.panel_b)
+
+    def _once(self, name, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = written(make())
+        return self._kept[name]
+
     def ticks(self) -> DataFrame:
         return self.events.select(F.col("event_type").alias("key"), "ts", "event_id",
                                   F.col("value").alias("price"))
