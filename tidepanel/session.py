@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidepanel", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,13 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing a table to the shared folder and reading it
     back. Survives the loss of executors, unlike cached blocks."""
-    return measured(df)[0]
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """The written table and its number of rows, counted while writing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    """The written table and its number of rows, read from the file footers."""
+    table = written(df)
+    return table, table.count()
