@@ -105,11 +105,12 @@ def contagion(panel: DataFrame, x: str, sector: str) -> DataFrame:
 
 def news_daily(news: DataFrame, dims: int, cutoff: int | Column = 16, by: tuple[str, ...] = (),
                words: tuple = (tx.HIGH_SEVERITY, tx.MEDIUM_SEVERITY)) -> DataFrame:
-    """Text rows (key, ts, text, polarity, vec) to entity-days by effective date.
-    Vector means are plain column averages, combined map-side."""
-    d = (news.withColumn("date", tx.effective_date("ts", cutoff)).withColumn("_s", tx.shock("text", *words))
-         .withColumn("_h", F.hour(tx.eastern("ts"))))
-    aggs = [F.sum("_s").alias("shock_index"), F.avg("polarity").alias("sentiment_avg"), F.count(F.lit(1)).alias("news_count"),
+    """Text rows (key, ts, text or shock, polarity, vec) to entity-days by effective
+    date. Rows that already carry their score need no text, which keeps texts out of
+    every shuffle. Vector means are plain column averages, combined map-side."""
+    scored = news if "shock" in news.columns else news.withColumn("shock", tx.shock("text", *words))
+    d = scored.withColumn("date", tx.effective_date("ts", cutoff)).withColumn("_h", F.hour(tx.eastern("ts")))
+    aggs = [F.sum("shock").alias("shock_index"), F.avg("polarity").alias("sentiment_avg"), F.count(F.lit(1)).alias("news_count"),
             F.percentile("_h", 0.5).alias("median_hour")]
     if dims:
         aggs.append(F.array(*[F.avg(F.col("vec")[i].cast("double")) for i in range(dims)]).alias("vec"))

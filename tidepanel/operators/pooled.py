@@ -32,6 +32,7 @@ from .steps import weights
 from .windows import mad_scale
 
 CELLS, SPLIT = 512, 128
+CELL = ("lo", "hi", "c", "t", "path")
 POOL_RATES = (0.0005, 0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.064)  # fixed values: candidate rates
 XS_DAYS, XS_GAMMA, XS_LOW, XS_HIGH = 5, 0.005, 1e-4, 0.499  # fixed values
 
@@ -79,16 +80,11 @@ class Day:
     """Counts and sums beyond a threshold for one date and one side."""
 
     def __init__(self, cells, side: int):
-        lo = np.array([c["lo"] for c in cells], dtype=float)
-        hi = np.array([c["hi"] for c in cells], dtype=float)
-        t = np.array([c["t"] for c in cells], dtype=float)
+        """``cells``: the arrays lo, hi, c, t, path of a date, sorted by lo."""
+        lo, hi, c, t, self.path = cells
         if side < 0:
-            lo, hi, t = -hi, -lo, -t
-        o = np.argsort(lo, kind="stable")
-        self.lo, self.hi = lo[o], hi[o]
-        self.c = np.array([c["c"] for c in cells], dtype=float)[o]
-        self.t = t[o]
-        self.path = [cells[i]["path"] for i in o]
+            lo, hi, t, c, self.path = -hi[::-1], -lo[::-1], -t[::-1], c[::-1], self.path[::-1]
+        self.lo, self.hi, self.c, self.t = lo, hi, c.astype(float), t
         self.above_c = np.concatenate([np.cumsum(self.c[::-1])[::-1], [0.0]])
         self.above_t = np.concatenate([np.cumsum(self.t[::-1])[::-1], [0.0]])
         self.n, self.total = self.above_c[0], self.above_t[0]
@@ -279,6 +275,7 @@ def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rou
     def run(pdf):
         pdf = pdf.sort_values("date").reset_index(drop=True)
         arm = pdf["arm"].iloc[0]
+        pdf["cells"] = list(zip(*[pdf["cell_" + c] for c in CELL]))
         res = walks[arm](pdf)
         return pd.DataFrame({"arm": arm, "date": pdf["date"], "q_lo": [r[0] for r in res], "q_hi": [r[1] for r in res],
                              "rates": [r[2] for r in res], "touched": [r[3] for r in res],
@@ -286,7 +283,8 @@ def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rou
     cal = written(cal)
     for _ in range(rounds):
         digest = written(digest)
-        cells = digest.groupBy("date").agg(F.collect_list(F.struct("path", "lo", "hi", "c", "t")).alias("cells"))
+        cells = digest.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "c", "t", "path"))).alias("x"))
+        cells = cells.select("date", *[F.col(f"x.{c}").alias("cell_" + c) for c in CELL])
         path = written(cal.join(cells, "date").withColumn("arm", arms).groupBy("arm").applyInPandas(run, OUT))
         open_cells = path.select("date", F.explode("touched").alias("path")).distinct()
         if open_cells.isEmpty():

@@ -22,18 +22,22 @@ def value_counts(df: DataFrame, by: list[str], x: str, weight=None) -> DataFrame
                      .withColumn("_all", F.lit(0)))
     keys = [*by, "_all"]
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), F.lit(1000)).alias("_cuts"))
-    placed = (attach(counts, cuts, keys)
-              .withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(x)))).drop("_cuts"))
+    sketch = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), F.lit(1000))
+    cuts = counts.groupBy(*keys).agg(sketch.alias("_cuts"))
+    if by:
+        placed = attach(counts, cuts, keys)
+    else:
+        placed = counts.withColumn("_cuts", cuts.select("_cuts").scalar())
+    placed = placed.withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(x)))).drop("_cuts")
     sums = placed.groupBy(*keys, "_b").agg(F.sum("n_eq").alias("_nb"))
     wk = Window.partitionBy(*keys)
     run = wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_nb").over(run), F.lit(0)).alias("_off"),
                           F.sum("_nb").over(wk).alias("n"))
     local = Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return (attach(placed, offsets, keys + ["_b"])
-            .withColumn("n_lt", F.col("_off") + F.coalesce(F.sum("n_eq").over(local), F.lit(0)))
+    # without groups there are at most BUCKETS offsets
+    joined = attach(placed, offsets, keys + ["_b"]) if by else placed.join(F.broadcast(offsets), keys + ["_b"], "left")
+    return (joined.withColumn("n_lt", F.col("_off") + F.coalesce(F.sum("n_eq").over(local), F.lit(0)))
             .select(*by, x, "n_lt", "n_eq", "n"))
 
 

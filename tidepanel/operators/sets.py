@@ -29,10 +29,11 @@ def jaccard_with_previous(members: DataFrame) -> DataFrame:
     return d.select("year", rnd(ratio("both", F.col("n") + F.col("n_prev") - F.col("both"))).alias("jaccard"))
 
 
-def dedup_prefix(df: DataFrame, keys: list[str], text: str, order: list[str], length: int = 100) -> DataFrame:
-    """Keep the first of texts that agree on their lower-cased opening."""
-    d = df.withColumn("_p", F.substring(F.lower(text), 1, length))
-    return first_per(d, [*keys, "_p"], order).drop("_p")
+def dedup_prefix(df: DataFrame, keys: list[str], text: str, order: list[str], columns: list[str], length: int = 100) -> DataFrame:
+    """Keep the first of texts that agree on their lower-cased opening. Only the
+    named columns and the opening travel, not the texts."""
+    d = df.select(*keys, *order, *[c for c in columns if c not in (*keys, *order)], F.substring(F.lower(text), 1, length).alias("_p"))
+    return first_per(d, [*keys, "_p"], order).select(*dict.fromkeys([*order, *columns]))
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:

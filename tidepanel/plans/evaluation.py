@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import corr, draw, draw_unit, interval_score, ratio, rnd
+from ..functions.columns import corr, draw_unit, interval_score, ratio, rnd
 from ..operators import evaluate as EV
 from ..operators import forecast as FC
 from ..operators import frames as fr
@@ -12,7 +12,8 @@ from ..operators import inference as IN
 from ..operators import steps as S
 from ..operators import windows as W
 from ..operators.joins import window_label
-from ..operators.ranks import quantiles
+from ..operators.ranks import quantiles, with_rank
+from ..session import written
 from .calibration import ACI, SCORE_SQL, WARM, preds, recursion
 from .forecasts import ALL5, BASE, F4, H3, RDG_SRC, SPLIT, design_a, r2_sql, split_day, test, train
 from .joins import WINDOWS, WINDOWS_SQL
@@ -388,23 +389,20 @@ def ev_purged_cv(t):
 
 @query("ev_placebo")
 def ev_placebo(t):
-    """Fit on a target moved within its date by hashed order, for several seeds;
-    z of the true fit against the shuffled ones."""
+    """Fit on a shuffled target for several seeds; z of the true fit against the
+    shuffled ones. The permutation pairs two hashed orders, whose positions come
+    from range-wise ranks, so no task sorts the whole target."""
+    part = F.when(F.col("date") < split_day(), "tr").otherwise("te")
     d = design_a(t).dropna(subset=["y", "rv_m"]).select("key", "date", "y", *H3)
-    true = grouped_r2(d.withColumn("seed", F.lit(0)), ["seed"], H3, F.when(F.col("date") < split_day(), "tr").otherwise("te"))
+    true = grouped_r2(d.withColumn("seed", F.lit(0)), ["seed"], H3, part).agg(F.max("r2")).scalar()
     e = fr.rows_of(d, list(range(1, 11)), "seed")
-    # a hashed order inside each (seed, quarter) block: bounded groups, no global sort
-    blk = F.trunc("date", "quarter")
-    e = e.withColumn("b", blk)
-    wh = Window.partitionBy("seed", "b").orderBy(draw("placebo", "seed", "key", "date"), "key", "date")
-    wo = Window.partitionBy("seed", "b").orderBy("key", "date")
-    src = e.select("seed", "b", F.row_number().over(wh).alias("i"), F.col("y").alias("ys"))
-    dst = e.drop("y").withColumn("i", F.row_number().over(wo))
-    j = dst.join(src, ["seed", "b", "i"]).withColumnRenamed("ys", "y")
-    r = grouped_r2(j, ["seed"], H3, F.when(F.col("date") < split_day(), "tr").otherwise("te"))
-    tr = true.agg(F.max("r2")).scalar()
-    return r.agg(F.max(tr).alias("true_r2"), rnd(F.avg("r2"), 4).alias("shuffled_mean"), rnd(F.max("r2"), 4).alias("shuffled_max"),
-                 rnd(F.try_divide(F.max(tr) - F.avg("r2"), F.stddev_samp("r2")), 2).alias("z"))
+    e = e.withColumn("to", F.xxhash64(F.lit("to"), "seed", "key", "date")).withColumn("from", F.xxhash64(F.lit("from"), "seed", "key", "date"))
+    e = written(e)
+    src = with_rank(e.select("seed", "y", "from"), ["seed"], "from", "i").select("seed", "i", "y")
+    dst = with_rank(e.drop("y", "from"), ["seed"], "to", "i").drop("to", "i_n")
+    r = grouped_r2(dst.join(src, ["seed", "i"]), ["seed"], H3, part)
+    return r.agg(F.max(true).alias("true_r2"), rnd(F.avg("r2"), 4).alias("shuffled_mean"), rnd(F.max("r2"), 4).alias("shuffled_max"),
+                 rnd(F.try_divide(F.max(true) - F.avg("r2"), F.stddev_samp("r2")), 2).alias("z"))
 
 
 @query("ev_noise")

@@ -3,11 +3,13 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.columns import corr, rnd
 from ..operators import features as FT
 from ..operators import frames as fr
 from ..operators import panel as P
 from ..operators.ranks import quantiles
+from ..session import written
 from .joins import FILINGS_SQL, filings
 from .registry import PANEL_A, PANEL_B, query
 from .rows import VALID_SQL, validity_spans
@@ -38,7 +40,7 @@ def pn_universe_pit(t):
  SELECT CAST((SELECT count(DISTINCT company) FROM uni) AS BIGINT) AS members, r6((SELECT avg(n_new) FROM n)) AS mean_turnover,
  CAST((SELECT count(DISTINCT company) FROM uni WHERE company NOT IN (SELECT company FROM uni WHERE year = (SELECT max(year) FROM uni))) AS BIGINT) AS dropped""")
 def pn_universe_summary(t):
-    u = pit(t)
+    u = written(pit(t))
     last = u.groupBy("company").agg(F.max("year").alias("last"))
     top = u.agg(F.max("year")).scalar()
     s = last.withColumn("_top", top).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("last") < F.col("_top")).alias("dropped"))
@@ -214,14 +216,15 @@ def ft_contagion(t):
     return d.select("key", "date", *[rnd(c, 4).alias(c) for c in ("sector_others", "own_vs_sector", "own_vs_market")])
 
 
-def news_rows(t):
+def news_rows(t, words=WORDS):
     """Documents as news: the event of the same id gives the time, the label the
-    polarity, the vector of the same id the embedding."""
+    polarity, the vector of the same id the embedding. Texts are scored before the
+    joins and dropped."""
     ev = t.events.select(F.col("event_id").alias("doc_id"), "ts", "value")
     lb = t.labels.select("doc_id", (F.col("quality") * 2 - 1).cast("double").alias("polarity"))
     em = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    return (t.documents.join(ev, "doc_id").join(lb, "doc_id", "left").join(em, "doc_id", "left")
-            .select("doc_id", F.col("lang").alias("key"), "ts", "text", "polarity", "vec", "value"))
+    docs = t.documents.select("doc_id", F.col("lang").alias("key"), tx.shock("text", *words).alias("shock"))
+    return docs.join(ev, "doc_id").join(lb, "doc_id", "left").join(em, "doc_id", "left")
 
 
 NEWS_SQL = f"""{ET_SQL}, nw AS (SELECT doc_id, lang AS key, et.ts AS ts, et.et AS et, text, quality * 2 - 1 AS polarity, CAST(embedding AS DOUBLE[]) AS vec, value, {{eff}} AS date
@@ -232,7 +235,7 @@ EFF16 = EFFECTIVE.format(c=16)
 @query("ft_news_daily", f"""WITH {NEWS_SQL.format(eff=EFF16)} SELECT key, date, r6(sum({shock_sql('text', *WORDS)})) AS shock_index, r6(avg(polarity)) AS sentiment_avg, CAST(count(*) AS BIGINT) AS news_count,
  r6(median(hour(et))) AS median_hour, r6(avg(vec[1])) AS v0, r6(avg(vec[8])) AS v7 FROM nw GROUP BY 1, 2""")
 def ft_news_daily(t):
-    d = FT.news_daily(news_rows(t), 8, words=WORDS)
+    d = FT.news_daily(news_rows(t), 8)
     return d.select("key", "date", rnd("shock_index").alias("shock_index"), rnd("sentiment_avg").alias("sentiment_avg"), "news_count",
                     rnd("median_hour").alias("median_hour"), rnd(F.col("vec")[0]).alias("v0"), rnd(F.col("vec")[7]).alias("v7"))
 
@@ -281,7 +284,7 @@ def ft_extreme_label(t):
 
 
 @query("ft_cutoff_sweep", "WITH " + ET_SQL + ", s AS (" + " UNION ALL ".join(
-    f"SELECT {c} AS cutoff, lang AS key, {EFFECTIVE.format(c=c)} AS date, {shock_sql('text')} AS s, value FROM documents JOIN et ON event_id = doc_id" for c in (9, 12, 16)) +
+    f"SELECT {c} AS cutoff, lang AS key, {EFFECTIVE.format(c=c)} AS date, {shock_sql('text', *WORDS)} AS s, value FROM documents JOIN et ON event_id = doc_id" for c in (9, 12, 16)) +
     "), d AS (SELECT cutoff, key, date, sum(s) AS shock, count(*) AS n, avg(value) AS v FROM s GROUP BY 1, 2, 3) SELECT cutoff, r6(corr(n, v)) AS corr, CAST(count(*) AS BIGINT) AS days, r6(avg(n)) AS mean_n FROM d GROUP BY 1")
 def ft_cutoff_sweep(t):
     news = news_rows(t).withColumn("polarity", F.col("value"))

@@ -58,7 +58,7 @@ def set_dedup_key(t):
 @query("set_dedup_news", """SELECT doc_id, source FROM documents
  QUALIFY row_number() OVER (PARTITION BY lang, substr(lower(text), 1, 100) ORDER BY doc_id) = 1""")
 def set_dedup_news(t):
-    return S.dedup_prefix(t.documents.select("doc_id", "source", "lang", "text"), ["lang"], "text", ["doc_id"]).select("doc_id", "source")
+    return S.dedup_prefix(t.documents, ["lang"], "text", ["doc_id"], ["source"])
 
 
 @query("set_unique_assert", f"WITH {PANEL_A}, d AS (SELECT key, date, count(*) AS c FROM pa GROUP BY 1, 2) SELECT CAST(count_if(c > 1) AS BIGINT) AS duplicates, CAST(count(*) AS BIGINT) AS keys FROM d")
