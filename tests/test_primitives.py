@@ -12,6 +12,12 @@ from tidepanel.operators import ranks, sets
 from tidepanel.operators import gram as G
 
 
+@pytest.fixture(params=[10 ** 6, 0], ids=["window", "ranges"])
+def route(request, monkeypatch):
+    """Both ways of ranking: one window per group, and value ranges."""
+    monkeypatch.setattr(ranks, "ONE_TASK_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     g = np.random.default_rng(0)
@@ -21,14 +27,14 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None).cast("double"))).repartition(5)
 
 
-def test_quantiles_match(skewed):
+def test_quantiles_match(skewed, route):
     pdf, d = skewed
     q = ranks.quantiles(d, ["key"], "x", [0.05, 0.5, 0.9], ["a", "b", "c"]).toPandas().set_index("key").sort_index()
     want = pdf.groupby("key")["x"].quantile([0.05, 0.5, 0.9]).unstack().sort_index()
     assert np.allclose(q[["a", "b", "c"]], want)
 
 
-def test_ranks_match_with_ties(skewed):
+def test_ranks_match_with_ties(skewed, route):
     pdf, d = skewed
     r = ranks.with_rank(d, ["key"], "x").filter(F.col("x").isNotNull()).toPandas().set_index("i").sort_index()
     want = pdf.dropna().assign(r=lambda p: p.groupby("key")["x"].rank()).set_index("i").sort_index()
@@ -36,6 +42,19 @@ def test_ranks_match_with_ties(skewed):
     assert len(ranks.with_rank(d, ["key"], "x").collect()) == len(pdf)
 
 
+def test_global_quantiles_and_ks(skewed, route):
+    from tidepanel.operators import evaluate as EV
+    pdf, d = skewed
+    q = ranks.quantiles(d, [], "x", [0.3, 0.98], ["a", "b"]).first()
+    assert np.allclose([q["a"], q["b"]], pdf["x"].quantile([0.3, 0.98]))
+    k = EV.ks_shift(d, "x", F.col("key") == "hot").first()
+    v = pdf.dropna()
+    grid = np.sort(v["x"].unique())
+    a, b = v[v["key"] == "hot"]["x"], v[v["key"] != "hot"]["x"]
+    ks = max(abs((a <= z).mean() - (b <= z).mean()) for z in grid)
+    assert k["ks"] == pytest.approx(ks) and k["mean_shift"] == pytest.approx((b.mean() - a.mean()) / a.std())
+
+
 def test_salted_join_equals_broadcast_join(skewed, spark):
     pdf, d = skewed
     facts = d.groupBy("key").agg(F.avg("x").alias("m"))

@@ -31,15 +31,15 @@ def calendar(*order: str):
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = SALTS,
-           most: int = BROADCAST_ROWS) -> DataFrame:
+           most: int = BROADCAST_ROWS, stored: bool = False) -> DataFrame:
     """Join per-group facts (one row per group) to rows whose groups may be hot.
 
-    The facts are written once and counted. Up to ``most`` rows they are broadcast,
+    The facts are written once (unless ``stored`` already) and counted. Up to ``most`` rows they are broadcast,
     so the rows are not shuffled at all. Beyond that the rows of a group are spread
     over ``salts`` hash buckets and the facts are repeated that often, so no task
     receives a whole group.
     """
-    facts, n = measured(small)
+    facts, n = (small, small.count()) if stored else measured(small)
     if n <= most:
         return big.join(F.broadcast(facts), on, how)
     plain = [c for c in big.columns if not big.schema[c].dataType.simpleString().startswith("map")]

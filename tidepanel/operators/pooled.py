@@ -263,7 +263,7 @@ def calendar_frame(rows: DataFrame, membership: DataFrame | None, alpha: float,
     return d.withColumn("_q", q.scalar()).withColumn("q0_hi", F.col("_q.hi")).withColumn("q0_lo", F.col("_q.lo")).drop("_q")
 
 
-OUT = "arm string, date date, q_lo double, q_hi double, rates array<double>, touched array<string>, state array<double>"
+OUT = "arm string, date date, warm boolean, q_lo double, q_hi double, rates array<double>, touched array<string>, state array<double>"
 
 
 def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rounds: int = 40) -> DataFrame:
@@ -277,10 +277,9 @@ def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rou
         arm = pdf["arm"].iloc[0]
         pdf["cells"] = list(zip(*[pdf["cell_" + c] for c in CELL]))
         res = walks[arm](pdf)
-        return pd.DataFrame({"arm": arm, "date": pdf["date"], "q_lo": [r[0] for r in res], "q_hi": [r[1] for r in res],
+        return pd.DataFrame({"arm": arm, "date": pdf["date"], "warm": pdf["warm"], "q_lo": [r[0] for r in res], "q_hi": [r[1] for r in res],
                              "rates": [r[2] for r in res], "touched": [r[3] for r in res],
                              "state": [r[4] if len(r) > 4 else [] for r in res]})
-    cal = written(cal)
     for _ in range(rounds):
         digest = written(digest)
         cells = digest.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "c", "t", "path"))).alias("x"))
@@ -293,11 +292,10 @@ def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rou
     raise RuntimeError("cells were still open after the last round")
 
 
-def issue(rows: DataFrame, path: DataFrame, cal: DataFrame, arms: list[str], one_sided: bool = False) -> DataFrame:
+def issue(rows: DataFrame, path: DataFrame, arms: list[str], one_sided: bool = False) -> DataFrame:
     """Thresholds back onto the rows: interval flags and widths."""
-    facts = path.join(cal.select("date", "warm"), "date")
     d = rows.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
-    d = attach(d, facts.drop("rates", "state"), ["arm", "date"], "inner")
+    d = attach(d, path.drop("rates", "state"), ["arm", "date"], "inner", stored=True)
     hi = F.col("s_std") <= F.col("q_hi")
     lo = F.lit(True) if one_sided else -F.col("s_std") <= F.col("q_lo")
     width = F.col("q_hi") if one_sided else F.col("q_lo") + F.col("q_hi")
@@ -314,7 +312,7 @@ def run_pooled(rows: DataFrame, membership: DataFrame | None, k: int, walks: dic
     cal = written(calendar_frame(rows, membership, alpha, k, warmup_days, one_sided))
     named = {arm: (lambda pdf, w=w: _walk(pdf, w)) if not callable(w) else w for arm, w in walks.items()}
     path = thresholds(rows, cal, named, root)
-    return issue(rows, path, cal, list(walks), one_sided), path
+    return issue(rows, path, list(walks), one_sided), path
 
 
 def run_xs(rows: DataFrame, alpha: float = 0.1, warmup_days: int = 100, root=root_cell):

@@ -1,8 +1,10 @@
 """Exact ranks and quantiles of unbounded groups.
 
-Ties are collapsed first (one row per distinct value with its count), groups are
-cut into value ranges by a quantile sketch of fixed size, and the ranges' counts
-give each range its offset. No task holds more than one range of one group.
+Ties are collapsed first: one row per distinct value with its count. While all
+groups together have few distinct values (counted), one window per group ranks
+them. Beyond that, groups are cut into value ranges by a quantile sketch of fixed
+size, and the ranges' counts give each range its offset, so that no task holds
+more than one range of one group.
 """
 
 from __future__ import annotations
@@ -10,19 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import measured
 from .frames import BUCKETS, attach
 
+ONE_TASK_ROWS = 1_000_000
+
 
 def value_counts(df: DataFrame, by: list[str], x: str, weight=None) -> DataFrame:
     """Distinct values with ``n_eq`` copies, ``n_lt`` smaller values and the group
     total ``n`` (NULL values are left out)."""
     c = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = written(df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(c.alias("n_eq"))
+    counts, rows = measured(df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(c.alias("n_eq"))
                      .withColumn("_all", F.lit(0)))
     keys = [*by, "_all"]
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    sketch = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), F.lit(1000))
+    wk = Window.partitionBy(*keys)
+    if rows <= ONE_TASK_ROWS:
+        below = wk.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(*by, x, F.coalesce(F.sum("n_eq").over(below), F.lit(0)).alias("n_lt"), "n_eq",
+                             F.sum("n_eq").over(wk).alias("n"))
+    probs = ", ".join(str(i / BUCKETS) for i in range(1, BUCKETS))
+    sketch = F.expr(f"percentile_approx(`{x}`, array({probs}), 1000)")
     cuts = counts.groupBy(*keys).agg(sketch.alias("_cuts"))
     if by:
         placed = attach(counts, cuts, keys)
@@ -30,7 +39,6 @@ def value_counts(df: DataFrame, by: list[str], x: str, weight=None) -> DataFrame
         placed = counts.withColumn("_cuts", cuts.select("_cuts").scalar())
     placed = placed.withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(x)))).drop("_cuts")
     sums = placed.groupBy(*keys, "_b").agg(F.sum("n_eq").alias("_nb"))
-    wk = Window.partitionBy(*keys)
     run = wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_nb").over(run), F.lit(0)).alias("_off"),
                           F.sum("_nb").over(wk).alias("n"))

@@ -157,7 +157,7 @@ def run_length(rows: DataFrame) -> DataFrame:
 
 ROWS = "key string, date date, s_std double, sigma_hat double"
 GENERATION = "batch long, pending string, paths array<string>, state array<double>, closed date"
-THRESHOLDS = "arm string, date date, q_lo double, q_hi double, rates array<double>, state array<double>"
+THRESHOLDS = "arm string, date date, warm boolean, q_lo double, q_hi double, rates array<double>, state array<double>"
 
 
 class PanelTracker:
