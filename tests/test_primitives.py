@@ -121,3 +121,22 @@ def test_distribution_functions():
     assert sp.chi2_sf(5.991464547, 2) == pytest.approx(0.05, abs=1e-9)
     assert sp.t_ppf(0.975, 10) == pytest.approx(2.228138852, abs=1e-8)
     assert sp.f_sf(4.102821015, 2, 10) == pytest.approx(0.05, abs=1e-8)
+
+
+def test_elastic_net_from_sums(spark):
+    """Against coordinate descent on the raw standardized rows."""
+    g = np.random.default_rng(3)
+    n = 600
+    x = g.normal(size=(n, 3)) * [1, 2, 5] + 4
+    y = x @ [1.0, 0.0, 0.2] + g.normal(size=n) * 0.5
+    dates = pd.date_range("2020-01-01", periods=n).date
+    pdf = pd.DataFrame({"key": "a", "date": dates, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    d = spark.createDataFrame(pdf)
+    out = G.elastic_net(d, d, ["a", "b", "c"], "y", "date", l1=(0.5,), alphas=(0.05,)).orderBy("date").toPandas()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    b, yc = np.zeros(3), y - y.mean()
+    for _ in range(2000):
+        for j in range(3):
+            r = z[:, j] @ (yc - z @ b + z[:, j] * b[j]) / n
+            b[j] = np.sign(r) * max(abs(r) - 0.05 * 0.5, 0) / (1 + 0.05 * 0.5)
+    assert np.allclose(out["enet"], np.clip(y.mean() + z @ b, y.min(), y.max()), atol=1e-6)

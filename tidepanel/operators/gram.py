@@ -77,25 +77,27 @@ def solve_one(a: np.ndarray, keep: list[int], lam: float) -> np.ndarray:
 
 
 def solve(g: DataFrame, p: int, lam: Column | float = 0.0, subset: list[int] | None = None, out: str = "beta",
-          lasso: bool = False) -> DataFrame:
-    """Add the coefficient array to every row of sums."""
+          lasso: bool = False, l1: Column | float = 1.0) -> DataFrame:
+    """Add the coefficient array to every row of sums. ``lasso`` solves the elastic
+    net of standardized features with mixing ``l1``."""
     keep = list(range(p)) if subset is None else subset
 
     @F.pandas_udf("array<double>")
-    def fn(g: pd.Series, lam: pd.Series) -> pd.Series:
+    def fn(g: pd.Series, lam: pd.Series, l1: pd.Series) -> pd.Series:
         res = []
-        for row, l in zip(g, lam):
+        for row, l, mix in zip(g, lam, l1):
             row = np.asarray(row, dtype=float)
             if np.isnan(row).any() or row[0] <= len(keep):
                 res.append(None)
             elif lasso:
-                res.append(_lasso(unpack(row, p), keep, l).tolist())
+                res.append(_lasso(unpack(row, p), keep, l, mix).tolist())
             else:
                 res.append(solve_one(unpack(row, p), keep, l).tolist())
         return pd.Series(res)
     lam = lam if isinstance(lam, Column) else F.lit(float(lam))
+    l1 = l1 if isinstance(l1, Column) else F.lit(float(l1))
     packed = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in g_columns(p)])
-    return g.withColumn(out, fn(packed, lam.cast("double")))
+    return g.withColumn(out, fn(packed, lam.cast("double"), l1.cast("double")))
 
 
 def _lasso(a: np.ndarray, keep: list[int], lam: float, l1: float = 1.0, rounds: int = 500) -> np.ndarray:
@@ -167,3 +169,29 @@ def r2_from_sums(g: DataFrame, p: int, keep: list[int] | None = None, beta: str
     e = error_sums(p, keep)(packed(p, sums_prefix), F.col(beta))
     d = g.withColumn("_e", e)
     return d.withColumn(out, 1 - F.try_divide(F.col("_e.sse"), F.col("_e.sst"))).drop("_e")
+
+
+def elastic_net(train: DataFrame, test: DataFrame, features: list[str], y: str, time: str, folds: int = 3,
+                l1=(0.1, 0.5, 0.9), alphas=(0.001, 0.01, 0.1), out: str = "enet") -> DataFrame:
+    """Elastic net with the penalty chosen by time-ordered folds of the training
+    rows, forecasts clipped to the training range. Sums per time part are taken in
+    one scan: fold k fits on the parts before k and is judged on part k, for every
+    penalty, from those few rows."""
+    p, cols = len(features), ["n_train", *g_columns(len(features))]
+    span = train.agg(F.struct(F.min(time).alias("a"), F.max(time).alias("b"))).scalar()
+    share = F.datediff(time, F.col("_s.a")) / (F.datediff(F.col("_s.b"), F.col("_s.a")) + 1.0)
+    part = F.floor(share * (folds + 1)).cast("int")
+    g = sums(train.withColumn("_s", span).withColumn("part", part), ["part"], features, y)
+    w = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    fold = g.select("part", *[F.col(c).alias("t_" + c) for c in cols], *[F.sum(c).over(w).alias(c) for c in cols])
+    grid = F.explode(F.array(*[F.struct(F.lit(m).alias("l1"), F.lit(a).alias("alpha")) for m in l1 for a in alphas]))
+    tried = fold.filter(F.col("part") > 0).withColumn("p", grid)
+    tried = solve(tried, p, F.col("p.alpha"), lasso=True, l1=F.col("p.l1"))
+    e = error_sums(p)(packed(p, "t_"), F.col("beta"))
+    score = tried.withColumn("_e", e).groupBy("p.l1", "p.alpha").agg(F.avg(F.sqrt(F.col("_e.sse") / F.col("t_n_train"))).alias("rmse"))
+    best = score.agg(F.min_by(F.struct("l1", "alpha"), F.struct("rmse", "l1", "alpha"))).scalar()
+    total = g.agg(*[F.sum(c).alias(c) for c in cols]).withColumn("p", best)
+    beta = solve(total, p, F.col("p.alpha"), lasso=True, l1=F.col("p.l1")).select("beta").scalar()
+    lim = train.agg(F.struct(F.min(y).alias("lo"), F.max(y).alias("hi"))).scalar()
+    d = test.withColumn("beta", beta).withColumn("_l", lim).withColumn(out, predict(features))
+    return d.withColumn(out, F.when(F.col(out).isNotNull(), F.least(F.greatest(out, F.col("_l.lo")), F.col("_l.hi")))).drop("beta", "_l")

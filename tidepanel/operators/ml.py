@@ -7,7 +7,7 @@ on metric level (fit quality, rank quality), not tree by tree.
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -61,34 +61,6 @@ def forest_classifier(train, test, features, y, out="prediction", trees=30, dept
     return model.transform(vectors(test, features)).drop("features", "rawPrediction", "probability")
 
 
-def elastic_net(train: DataFrame, test: DataFrame, features: list[str], y: str, time: str, folds: int = 3,
-                l1=(0.1, 0.5, 0.9), alphas=(0.001, 0.01, 0.1), out: str = "enet") -> DataFrame:
-    """Standardize on the training rows, pick the penalty by time-ordered folds of
-    the training rows, clip the forecasts to the training range."""
-    tr = vectors(train.dropna(subset=[y]), features)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(tr)
-    tr = scaler.transform(tr)
-    cuts = tr.select(F.unix_date(time).alias("t")).approxQuantile("t", [i / (folds + 1) for i in range(1, folds + 1)], 0.001)
-    t = F.unix_date(time)
-    tr = tr.withColumn("_part", sum(((t > c).cast("int") for c in cuts), F.lit(0))).persist()
-    best, best_err = None, float("inf")
-    for mix in l1:
-        for a in alphas:
-            est = LinearRegression(elasticNetParam=mix, regParam=a, featuresCol="scaled", labelCol=y, maxIter=50)
-            errs = []
-            for k in range(1, folds + 1):
-                m = est.fit(tr.filter(F.col("_part") < k))
-                errs.append(m.evaluate(tr.filter(F.col("_part") == k)).rootMeanSquaredError)
-            err = sum(errs) / len(errs)
-            if err < best_err:
-                best, best_err = est, err
-    model = best.fit(tr)
-    lo, hi = tr.agg(F.min(y), F.max(y)).first()
-    res = model.transform(scaler.transform(vectors(test, features)))
-    tr.unpersist()
-    return res.withColumn(out, F.least(F.greatest("prediction", F.lit(lo)), F.lit(hi))).drop("features", "scaled", "prediction")
-
-
 def univariate(train: DataFrame, features: list[str], y: str, k: int) -> list[str]:
     sel = UnivariateFeatureSelector(featuresCol="features", labelCol=y, outputCol="sel", selectionMode="numTopFeatures")
     sel.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(k)

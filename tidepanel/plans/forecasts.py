@@ -100,11 +100,11 @@ def fc_sector_models(t):
     return r2_of(G.fit_predict(train(d), test(d), ["key"], H3, "y", 1.0, least=100), by=["key"])
 
 
-@query("fc_stack", f"{RIDGE}, risk AS (SELECT key, date, qty / 100.0 AS risk FROM pa WHERE n % 2 = 0) SELECT hh.key AS key, hh.date AS date, r4({predict_sql(F4)}) AS tech, r4(coalesce(risk, 0.2)) AS risk, r4(coalesce(risk, 0.2) * {predict_sql(F4)}) AS inter FROM hh CROSS JOIN b LEFT JOIN risk ON risk.key = hh.key AND risk.date = hh.date")
+@query("fc_stack", f"{RIDGE}, risk AS (SELECT key, date, qty / 100.0 AS risk FROM pa WHERE qty > 50) SELECT hh.key AS key, hh.date AS date, r4({predict_sql(F4)}) AS tech, r4(coalesce(risk, 0.2)) AS risk, r4(coalesce(risk, 0.2) * {predict_sql(F4)}) AS inter FROM hh CROSS JOIN b LEFT JOIN risk ON risk.key = hh.key AND risk.date = hh.date")
 def fc_stack(t):
     d = design_a(t)
     tech = G.fit_predict(train(d), d, [], F4, "y", 100.0).select("key", "date", F.col("pred").alias("tech"))
-    risk = t.table_a().filter("n % 2 = 0").select("key", "date", (F.col("qty") / 100.0).alias("risk"))
+    risk = t.table_a().filter("qty > 50").select("key", "date", (F.col("qty") / 100.0).alias("risk"))
     s = tech.join(risk, ["key", "date"], "left").withColumn("risk", F.coalesce("risk", F.lit(0.2)))
     return s.select("key", "date", rnd("tech", 4).alias("tech"), rnd("risk", 4).alias("risk"), rnd(F.col("risk") * F.col("tech"), 4).alias("inter"))
 

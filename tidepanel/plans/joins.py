@@ -8,12 +8,12 @@ from ..operators import joins as J
 from .registry import PANEL_A, query
 from .rows import VALID_SQL, validity_spans
 
-HALF_SQL = f"WITH {PANEL_A}, a AS (SELECT key, date, x FROM pa WHERE n % 2 = 0), b AS (SELECT key, date, qty FROM pa WHERE n % 3 = 0)"
+HALF_SQL = f"WITH {PANEL_A}, a AS (SELECT key, date, x FROM pa WHERE x > 10.5), b AS (SELECT key, date, qty FROM pa WHERE qty > 50)"
 
 
 def halves(t):
     p = t.table_a()
-    return p.filter("n % 2 = 0").select("key", "date", "x"), p.filter("n % 3 = 0").select("key", "date", "qty")
+    return p.filter("x > 10.5").select("key", "date", "x"), p.filter("qty > 50").select("key", "date", "qty")
 
 
 @query("jn_inner", f"{HALF_SQL} SELECT key, date, r6(x) AS x, qty FROM a JOIN b USING (key, date)")
@@ -45,13 +45,13 @@ def jn_map(t):
 
 
 @query("jn_reindex", f"""WITH {PANEL_A}, m AS (SELECT date, avg(x) AS lvl, sum(n) AS v FROM pa GROUP BY 1),
- k AS (SELECT date, lvl > 11 AS hot FROM m WHERE v % 2 = 0)
+ k AS (SELECT date, lvl > 11 AS hot FROM m WHERE v > 20)
  SELECT m.date AS date, r6(CASE WHEN hot IS NULL THEN 0.5 WHEN hot THEN 0.25 ELSE 0.8 END) AS p0,
  r6(CASE WHEN hot IS NULL THEN 0.5 WHEN hot THEN 0.75 ELSE 0.2 END) AS p1 FROM m LEFT JOIN k ON m.date = k.date""")
 def jn_reindex(t):
     m = t.panel_a().groupBy("date").agg(F.avg("x").alias("lvl"), F.sum("n").alias("v"))
     pi = F.when(F.col("lvl") > 11, F.array(F.lit(0.5), F.lit(1.5))).otherwise(F.array(F.lit(1.6), F.lit(0.4)))
-    known = m.filter("v % 2 = 0").select("date", pi.alias("pi"))
+    known = m.filter("v > 20").select("date", pi.alias("pi"))
     out = J.uniform_filled(m, known, 2)
     return out.select("date", rnd(F.col("pi")[0]).alias("p0"), rnd(F.col("pi")[1]).alias("p1"))
 

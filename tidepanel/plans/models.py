@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from ..operators import frames as fr
+from ..operators import gram as G
 from ..operators import ml
 from ..operators.evaluate import auc, confusion, r2
 from ..operators.ranks import quantiles, with_rank
@@ -14,7 +15,7 @@ from .registry import query
 @query("fc_elastic")
 def fc_elastic(t):
     d = design_a(t)
-    out = ml.elastic_net(train(d), test(d).dropna(subset=["y"]), F4, "y", "date")
+    out = G.elastic_net(train(d).dropna(subset=["y", "rv_m"]), test(d).dropna(subset=["y", "rv_m"]), F4, "y", "date")
     return out.groupBy("key").agg(rnd(r2("y", "enet"), 4).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
@@ -42,7 +43,6 @@ def fc_gbt_cls(t):
 
 @query("fc_other_models")
 def fc_other_models(t):
-    from ..operators import gram as G
     d = design_a(t)
     te = test(d).dropna(subset=["y"])
     h = ml.huber(train(d), te, F4, "y").select("key", "date", "y", *F4, "huber")

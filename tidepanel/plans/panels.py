@@ -141,11 +141,11 @@ def ft_har(t):
     return FT.har(t.panel_a()).select("key", "date", *[rnd(c).alias(c) for c in ("rv_d", "rv_w", "rv_m")])
 
 
-@query("ft_har_x", f"""WITH {PANEL_A}, a AS (SELECT key, date, x, x - lag(x) {OVER} AS r, CASE WHEN n % 4 = 0 THEN qty END AS s, row_number() {OVER} AS rn FROM pa),
+@query("ft_har_x", f"""WITH {PANEL_A}, a AS (SELECT key, date, x, x - lag(x) {OVER} AS r, CASE WHEN qty > 80 THEN qty END AS s, row_number() {OVER} AS rn FROM pa),
  b AS (SELECT key, date, rn, lag(x) {OVER} AS lag_1, avg(x) {rows(5, 1)} AS mean_5, avg(x) {rows(22, 1)} AS mean_22, power(lag(r) {OVER}, 2) AS sq_ret, coalesce(last_value(s IGNORE NULLS) {rows('UNBOUNDED', 0)}, 50) AS signal FROM a)
  SELECT key, date, r6(lag_1) AS lag_1, r6(mean_5) AS mean_5, r6(mean_22) AS mean_22, r6(sq_ret) AS sq_ret, r6(signal) AS signal FROM b WHERE rn > 22""")
 def ft_har_x(t):
-    p = t.panel_a().withColumn("s", F.when(F.col("n") % 4 == 0, F.col("qty")))
+    p = t.panel_a().withColumn("s", F.when(F.col("qty") > 80, F.col("qty")))
     return FT.har_extended(p, "x", "s", 50.0).select("key", "date", *[rnd(c).alias(c) for c in ("lag_1", "mean_5", "mean_22", "sq_ret", "signal")])
 
 
@@ -158,13 +158,13 @@ def ft_deseason(t):
 
 
 @query("ft_deseason_sector", f"""WITH {PANEL_B}, p AS (SELECT pb.*, CAST(n_regionkey AS VARCHAR) AS sector FROM pb JOIN nation ON CAST(n_nationkey AS VARCHAR) = key),
- s AS (SELECT sector, month(date) % 7 AS dow, median(n) AS m FROM p GROUP BY 1, 2)
- SELECT p.key AS key, date, r6(m) AS seasonal, r6(n - m) AS excess FROM p JOIN s ON p.sector = s.sector AND month(date) % 7 = dow""")
+ s AS (SELECT sector, month(date) AS dow, median(n) AS m FROM p GROUP BY 1, 2)
+ SELECT p.key AS key, date, r6(m) AS seasonal, r6(n - m) AS excess FROM p JOIN s ON p.sector = s.sector AND month(date) = dow""")
 def ft_deseason_sector(t):
     """Weekly dates share one weekday, so the month stands in for it here. A
     sector's rows are counted per value first, whatever their number."""
     sec = t.nation.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_regionkey").cast("string").alias("sector"))
-    p = fr.attach(t.table_b(), sec, ["key"], "inner").withColumn("dow", F.month("date") % 7)
+    p = fr.attach(t.table_b(), sec, ["key"], "inner").withColumn("dow", F.month("date"))
     s = quantiles(p, ["sector", "dow"], "n", [0.5], ["m"])
     return fr.attach(p, s, ["sector", "dow"]).select("key", "date", rnd("m").alias("seasonal"), rnd(F.col("n") - F.col("m")).alias("excess"))
 

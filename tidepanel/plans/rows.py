@@ -110,11 +110,11 @@ def prj_fill_const(t):
                     rnd(F.coalesce("lx", "_g.m")).alias("b"))
 
 
-GAPS_SQL = f"WITH {PANEL_A}, g AS (SELECT key, date, CASE WHEN n % 3 = 0 THEN x END AS x FROM pa)"
+GAPS_SQL = f"WITH {PANEL_A}, g AS (SELECT key, date, CASE WHEN qty > 60 THEN x END AS x FROM pa)"
 
 
 def gaps(t):
-    return t.panel_a().withColumn("x", F.when(F.col("n") % 3 == 0, F.col("x")))
+    return t.panel_a().withColumn("x", F.when(F.col("qty") > 60, F.col("x")))
 
 
 @query("prj_ffill", f"""{GAPS_SQL} SELECT key, date, r6(coalesce(last_value(x IGNORE NULLS) OVER

@@ -58,7 +58,7 @@ def sc_std_loss(t):
     return out(t, z=-(x - lx) / F.exp(lx / 2.0))
 
 
-@query("sc_log_var", "SELECT event_id, r6(ln(value * value)) AS log_var, r6(sqrt(exp(ln(value)))) AS vol, r6(sqrt(value) * sqrt(252)) AS annual FROM events")
+@query("sc_log_var", "SELECT event_id, r6(ln(nullif(value * value, 0))) AS log_var, r6(sqrt(exp(ln(nullif(value, 0))))) AS vol, r6(sqrt(value) * sqrt(252)) AS annual FROM events")
 def sc_log_var(t):
     v = F.col("value")
     return t.events.select("event_id", rnd(F.log(v * v)).alias("log_var"), rnd(F.sqrt(F.exp(F.log(v)))).alias("vol"),
@@ -108,12 +108,12 @@ def sc_outlier_iqr(t):
     return sc.iqr_flag(t.events, "value").select("event_id", "outlier")
 
 
-@query("sc_scale", """WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM events WHERE event_id % 2 = 0),
- c AS (SELECT value AS v, count(*) AS c FROM events WHERE event_id % 2 = 0 GROUP BY 1), f AS (SELECT v, sum(c) OVER (ORDER BY v) / sum(c) OVER () AS p FROM c)
+@query("sc_scale", """WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM events WHERE ts < TIMESTAMP '2024-01-15'),
+ c AS (SELECT value AS v, count(*) AS c FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), f AS (SELECT v, sum(c) OVER (ORDER BY v) / sum(c) OVER () AS p FROM c)
  SELECT e.event_id AS event_id, r6((e.value - s.m) / s.sd) AS z, r6(coalesce(f.p, 0)) AS p FROM events e ASOF LEFT JOIN f ON e.value >= f.v CROSS JOIN s""")
 def sc_scale(t):
-    e = t.events.select("event_id", "value")
-    train = e.filter("event_id % 2 = 0")
+    e = t.events.select("event_id", "value", "ts")
+    train = e.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp"))
     z = sc.standardize(e, train, ["value"])
     p = sc.train_cdf(z, train, "value", "p")
     return p.select("event_id", rnd("value_z").alias("z"), rnd("p").alias("p"))

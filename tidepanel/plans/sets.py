@@ -16,16 +16,16 @@ def set_union(t):
     return a.unionByName(b)
 
 
-METHODS_SQL = f"""{PANEL_A}, lng AS (SELECT 'a' AS method, key, date, CASE WHEN n % 2 = 0 THEN x END AS v, date < DATE '1995-06-01' AS warmup FROM pa
- UNION ALL SELECT 'b', key, date, CASE WHEN n % 3 <> 0 THEN x END, false FROM pa UNION ALL SELECT 'c', key, date, x, NULL FROM pa)"""
+METHODS_SQL = f"""{PANEL_A}, lng AS (SELECT 'a' AS method, key, date, CASE WHEN x > 10.5 THEN x END AS v, date < DATE '1995-06-01' AS warmup FROM pa
+ UNION ALL SELECT 'b', key, date, CASE WHEN qty > 50 THEN x END, false FROM pa UNION ALL SELECT 'c', key, date, x, NULL FROM pa)"""
 
 
 def methods(t):
     p = t.panel_a()
     mk = lambda m, v, w: p.select(F.lit(m).alias("method"), "key", "date", v.alias("v"), w.alias("warmup"))
     x = F.col("x")
-    return (mk("a", F.when(F.col("n") % 2 == 0, x), F.col("date") < F.lit("1995-06-01").cast("date"))
-            .unionByName(mk("b", F.when(F.col("n") % 3 != 0, x), F.lit(False)))
+    return (mk("a", F.when(x > 10.5, x), F.col("date") < F.lit("1995-06-01").cast("date"))
+            .unionByName(mk("b", F.when(F.col("qty") > 50, x), F.lit(False)))
             .unionByName(mk("c", x, F.lit(None).cast("boolean"))))
 
 

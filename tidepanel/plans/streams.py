@@ -46,10 +46,10 @@ def st_dedup(t):
     return ST.run_to_table(ST.dedup(d, ["date", "key", "user_id"], "ts", "1 day").select("date", "key", "user_id"))
 
 
-@query("st_episodes", """WITH e AS (SELECT event_type AS key, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events WHERE value > 20), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts) AS sid FROM e)
- SELECT key, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", CAST(count(*) AS BIGINT) AS n FROM s GROUP BY key, sid HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+@query("st_episodes", """WITH e AS (SELECT event_type AS key, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events WHERE value > 60), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts) AS sid FROM e)
+ SELECT key, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", CAST(count(*) AS BIGINT) AS n FROM s GROUP BY key, sid HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def st_episodes(t):
-    d = ST.run_to_table(ST.episodes(tick_stream(t), "2 hours", "10 minutes", F.col("price") > 20))
+    d = ST.run_to_table(ST.episodes(tick_stream(t), "30 minutes", "10 minutes", F.col("price") > 60))
     return d.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 

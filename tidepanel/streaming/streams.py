@@ -87,9 +87,10 @@ def dedup(rows: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
 
 
 def episodes(rows: DataFrame, gap: str, late: str, flag) -> DataFrame:
-    """Sessions of flagged rows; the gap is calendar time. The watermark is taken
-    before the filter, so quiet periods still close sessions."""
-    d = rows.withWatermark("ts", late).filter(flag)
+    """Sessions of flagged rows; the gap is calendar time. The watermark follows all
+    rows, so quiet periods still close sessions: the filter names the time column,
+    which keeps it from being moved below the watermark."""
+    d = rows.withWatermark("ts", late).filter(F.when(F.col("ts").isNull(), F.lit(False)).otherwise(flag))
     return (d.groupBy("key", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
             .select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
 
