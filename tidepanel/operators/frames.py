@@ -17,7 +17,7 @@ from ..session import measured
 
 SALTS = 8
 BUCKETS = 64
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def by_key(*order: str, key: str | list[str] = "key"):

@@ -258,7 +258,8 @@ def calendar_frame(rows: DataFrame, membership: DataFrame | None, alpha: float,
         d = d.withColumn("pi", uniform(k))
     else:
         d = d.join(membership.select("date", "pi"), "date", "left").withColumn("pi", normalized(F.col("pi"), k))
-    warm_rows = rows.join(d.filter("warm").select("date"), "date", "left_semi")
+    warm_end = d.filter("warm").agg(F.max("date")).scalar()
+    warm_rows = rows.filter(F.col("date") <= warm_end)
     q = quantiles(warm_rows, [], "s_std", [1 - a, a], ["hi", "lo"]).select(F.struct("hi", (-F.col("lo")).alias("lo")).alias("q"))
     return d.withColumn("_q", q.scalar()).withColumn("q0_hi", F.col("_q.hi")).withColumn("q0_lo", F.col("_q.lo")).drop("_q")
 

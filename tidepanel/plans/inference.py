@@ -235,7 +235,7 @@ def in_romano_wolf(t):
     """Every replicate keeps its own date order, so the HAC error is recomputed
     on the bootstrap series itself."""
     d = gaps(t).select("method", "date", "v", "stress")
-    obs = IN.hac_beta(d, ["method"]).select("method", F.col("b1").alias("b1_obs"), ratio("b1", "se").alias("t"))
+    obs = written(IN.hac_beta(d, ["method"]).select("method", F.col("b1").alias("b1_obs"), ratio("b1", "se").alias("t")))
     pos = IN.positions(d)
     paths = IN.block_paths(pos, REPS, 20, "rw")
     j = paths.join(d.join(pos, "date").select("method", "pos", "v", "stress"), "pos").select("rep", "method", F.col("idx").alias("date"), "v", "stress")
