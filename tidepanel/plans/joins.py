@@ -6,7 +6,6 @@ from ..functions.columns import rnd
 from ..operators import frames as fr
 from ..operators import joins as J
 from .registry import PANEL_A, query
-from .rows import VALID_SQL, validity_spans
 
 HALF_SQL = f"WITH {PANEL_A}, a AS (SELECT key, date, x FROM pa WHERE x > 10.5), b AS (SELECT key, date, qty FROM pa WHERE qty > 50)"
 

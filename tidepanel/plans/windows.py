@@ -7,7 +7,7 @@ from ..functions.columns import ratio, rnd
 from ..operators import frames as fr
 from ..operators import panel as P
 from ..operators import windows as W
-from ..operators.ranks import quantiles, with_rank
+from ..operators.ranks import with_rank
 from .registry import PANEL_A, PANEL_B, query
 
 KD = "SELECT key, date"
