@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, quality_rules, secrets, simhash, token_files, url_filter
+from . import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash, suffix_dedup, token_files, url_filter, warc
 from .base import table
 from .sql import ORACLES
 
@@ -65,3 +65,29 @@ RULES = [url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com"
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"))
+    return warc.merged(warc.runs(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range", "place")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return line_dedup.deduplicated(docs).select(
+        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +92,7 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     return docs.withColumn(out, column(F.col(text)))
 
 
-def _spans_of_batches(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:
-    import pandas as pd
+def _spans_of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     keys = automaton()
     for texts in batches:
         yield pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, keys)] if t else [] for t in texts], dtype=object)
@@ -134,8 +134,6 @@ def redact(text: str, spans: list, mask: str = "[SECRET]") -> str:
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; secrets in ``text`` are replaced."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         keys = automaton()

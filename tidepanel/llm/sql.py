@@ -26,3 +26,15 @@ m AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_char
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_removed_words <= 60 * n_words AS kept FROM m
 """
+
+ORACLES["op3_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+u0 AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
+u1 AS (SELECT *, list_filter(regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+ coalesce(sum(length(u) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u0),
+u2 AS (SELECT r, i, u, a, len(w) >= 8 AND row_number() OVER (PARTITION BY len(w) >= 8, array_to_string(w, ' ') ORDER BY doc_id, r, i) > 1 AS gone FROM u1),
+x AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS g,
+ string_agg(a::BIGINT::VARCHAR || ':' || (a + length(u))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (WHERE gone) AS s, string_agg(u, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS t FROM u2 GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_units, coalesce(g, 0)::BIGINT AS n_removed, coalesce(s, '') AS removed_spans, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
