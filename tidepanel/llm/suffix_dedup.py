@@ -294,9 +294,10 @@ def repeats(rows: DataFrame, tasks: int) -> DataFrame:
     names = [*KEY, "start", "end"]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        if not len(t):
+        parts = [rb for rb in batches if len(rb)]
+        if not parts:
             return
+        t = pa.Table.from_batches(parts)
         place, begin, end, k2, k1, id = (t[c].to_numpy() for c in ("place", "begin", "end", "k2", "k1", "id"))
         rank = np.empty(len(t), np.int64)
         rank[np.lexsort((place, k2, k1, id))] = np.arange(len(t))
