@@ -4,18 +4,45 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import quality_rules
+from tidepanel.llm import bpe, decontaminate, near_documents, quality_rules, secrets
 from tidepanel.llm.base import table
 from tidepanel.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects short, repetitive and depleted documents."""
     return quality_rules.kept_documents(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return near_documents.kept_documents(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item within its error budget."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; ``n_chars`` follows the text that changed."""
+    out = secrets.redacted(docs.withColumn("_text", F.col("text")))
+    n = F.when(F.col("text").eqNullSafe(F.col("_text")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return out.withColumn("n_chars", n).drop("_text")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids of each text."""
+    lines = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encoded(docs, lines, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("decontamination", decontamination),
+          ("secret_scan", secret_scan), ("byte_bpe", tokens)]
 
 #: Deletion-variant linking and bit-parallel edit distances have no SQL form.
 ORACLE_SQL = None
