@@ -12,10 +12,10 @@ from tidepanel.operators import ranks, sets
 from tidepanel.operators import gram as G
 
 
-@pytest.fixture(params=[10 ** 6, 0], ids=["window", "ranges"])
+@pytest.fixture(params=[10 ** 6, 40], ids=["one piece", "ranges"])
 def route(request, monkeypatch):
-    """Both ways of ranking: one window per group, and value ranges."""
-    monkeypatch.setattr(ranks, "ONE_TASK_ROWS", request.param)
+    """Few and many pieces."""
+    monkeypatch.setattr(ranks, "PIECE_ROWS", request.param)
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,32 @@ def test_ranks_match_with_ties(skewed, route):
     assert len(ranks.with_rank(d, ["key"], "x").collect()) == len(pdf)
 
 
+def test_string_values_rank_in_pieces(spark, route):
+    words = [f"k{(i * 7919) % 211:04d}" for i in range(900)]
+    d = spark.createDataFrame([("hot" if i % 3 else f"g{i % 5}", w) for i, w in enumerate(words)], "key string, x string")
+    got = {(r.key, r.x): (r.n_lt, r.n_eq, r.n) for r in ranks.value_counts(d, ["key"], "x").collect()}
+    pdf = d.toPandas()
+    for key, g in pdf.groupby("key"):
+        for x in g["x"].unique():
+            assert got[key, x] == ((g["x"] < x).sum(), (g["x"] == x).sum(), len(g))
+    halves = sets.alternating_halves(d.select(F.col("x").alias("key")), "key").orderBy("key").collect()
+    assert [r.half for r in halves] == [i % 2 for i in range(len(halves))] and len(halves) == 211
+
+
+@pytest.mark.parametrize("span", [1, 3, 5, 20, 60])
+def test_ema_keeps_the_whole_past(spark, span):
+    from tidepanel.operators import windows as W
+    g = np.random.default_rng(span)
+    n = 1500
+    pdf = pd.DataFrame({"key": "a", "date": pd.date_range("2000-01-01", periods=n).date, "x": g.normal(size=n)})
+    pdf.loc[0, "x"] = 1e6
+    pdf.loc[[5, 700], "x"] = np.nan
+    d = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    got = W.ema(d, "x", span).orderBy("date").toPandas()["ema"]
+    want = pdf["x"].ewm(span=span, adjust=True, ignore_na=True).mean()
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
 def test_global_quantiles_and_ks(skewed, route):
     from tidepanel.operators import evaluate as EV
     pdf, d = skewed

@@ -1,10 +1,8 @@
 """Exact ranks and quantiles of unbounded groups.
 
-Ties are collapsed first: one row per distinct value with its count. While all
-groups together have few distinct values (counted), one window per group ranks
-them. Beyond that, groups are cut into value ranges by a quantile sketch of fixed
-size, and the ranges' counts give each range its offset, so that no task holds
-more than one range of one group.
+Ties are collapsed first: one row per distinct value with its count. The counted
+rows are cut into pieces, ranges of the group and the value itself, as many as the
+count asks for; the pieces' sums give each its offset. One piece needs none.
 """
 
 from __future__ import annotations
@@ -12,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import measured
-from .frames import BUCKETS, attach
+from ..session import measured, written
+from .frames import attach
 
-ONE_TASK_ROWS = 1_000_000
+#: Distinct values of a piece, which one task sorts.
+PIECE_ROWS = 1_000_000
 
 
 def value_counts(df: DataFrame, by: list[str], x: str, weight=None) -> DataFrame:
@@ -26,27 +25,23 @@ def value_counts(df: DataFrame, by: list[str], x: str, weight=None) -> DataFrame
                      .withColumn("_all", F.lit(0)))
     keys = [*by, "_all"]
     wk = Window.partitionBy(*keys)
-    if rows <= ONE_TASK_ROWS:
+    pieces = -(-rows // PIECE_ROWS)
+    if pieces <= 1:  # one piece needs no offsets
         below = wk.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
         return counts.select(*by, x, F.coalesce(F.sum("n_eq").over(below), F.lit(0)).alias("n_lt"), "n_eq",
                              F.sum("n_eq").over(wk).alias("n"))
-    probs = ", ".join(str(i / BUCKETS) for i in range(1, BUCKETS))
-    sketch = F.expr(f"percentile_approx(`{x}`, array({probs}), 1000)")
-    cuts = counts.groupBy(*keys).agg(sketch.alias("_cuts"))
-    if by:
-        placed = attach(counts, cuts, keys)
-    else:
-        placed = counts.withColumn("_cuts", cuts.select("_cuts").scalar())
-    placed = placed.withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(x)))).drop("_cuts")
+    # pieces are ranges of the group and the value itself, of any type that sorts
+    placed = written(counts.repartitionByRange(pieces, *keys, x).withColumn("_b", F.spark_partition_id()))
     sums = placed.groupBy(*keys, "_b").agg(F.sum("n_eq").alias("_nb"))
     run = wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_nb").over(run), F.lit(0)).alias("_off"),
+    offsets = sums.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_b").alias("_o_b"), F.coalesce(F.sum("_nb").over(run), F.lit(0)).alias("_off"),
                           F.sum("_nb").over(wk).alias("n"))
     local = Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    # without groups there are at most BUCKETS offsets
-    joined = attach(placed, offsets, keys + ["_b"]) if by else placed.join(F.broadcast(offsets), keys + ["_b"], "left")
-    return (joined.withColumn("n_lt", F.col("_off") + F.coalesce(F.sum("n_eq").over(local), F.lit(0)))
-            .select(*by, x, "n_lt", "n_eq", "n"))
+    ranked = placed.withColumn("_in", F.coalesce(F.sum("n_eq").over(local), F.lit(0)))
+    same = F.col("_b") == F.col("_o_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return ranked.join(offsets, same).select(*by, x, (F.col("_off") + F.col("_in")).alias("n_lt"), "n_eq", "n")
 
 
 def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float],

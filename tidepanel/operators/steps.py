@@ -105,29 +105,45 @@ def mondrian(a: float, eta=0.05, pi: str = "pi") -> Rule:
 
 
 def pogo(a: float, pi: str = "pi") -> Rule:
-    """Coin betting: wealth per group and the log growth of every grid point of
-    the mixture portfolio; no rate to tune."""
-    grid = (np.arange(POGO_GRID) + 0.5) / POGO_GRID
-    prior = 1.0 / np.sqrt(grid * (1.0 - grid))
-
-    def bets(st, k):
-        growth = st[k:].reshape(k, POGO_GRID)
-        w = np.exp(growth - growth.max(axis=1, keepdims=True)) * prior
-        share = (w * grid).sum(axis=1) / w.sum(axis=1)
-        return (share - a) / (a * (1.0 - a))
+    """Coin betting; no rate to tune. A bet at share ``l`` of the miss side returns
+    (1 - l) / (1 - a) on a covered row and l / a on a missed one, so a group's history
+    is the counts of both, plus log returns of rows that it owned in part. The next
+    share is the mean of the grid under those log returns and the arcsine prior, and
+    a round multiplies the wealth by the return at that share."""
+    l = np.linspace(0.5, POGO_GRID - 0.5, POGO_GRID) / POGO_GRID
+    covered, missed = np.log((1 - l) / (1 - a)), np.log(l / a)
+    prior = -0.5 * (np.log(l) + np.log1p(-l))
+    width = 3 + POGO_GRID  # log wealth, covered rows, missed rows, log returns of partly owned rows
+
+    def shares(rows):
+        score = rows[:, 1:2] * covered + rows[:, 2:3] * missed + rows[:, 3:] + prior
+        mass = np.exp(score - score.max(axis=1)[:, None])
+        return mass @ l / mass.sum(axis=1)
 
     def issue(st, c):
-        return float((st[:len(c)] * bets(st, len(c))) @ c)
+        rows = st.reshape(-1, width)
+        own = np.flatnonzero(c)
+        stake = (shares(rows[own]) / a - 1) / (1 - a)
+        return float(np.sum(c[own] * np.exp(rows[own, 0]) * stake))
 
     def learn(st, c, s, q):
-        k = len(c)
-        g = (float(s <= q) - (1.0 - a)) * c
-        wealth = st[:k] * (1.0 - bets(st, k) * g)
-        ret = grid * (1.0 - g / a)[:, None] + (1.0 - grid) * (1.0 + g / (1.0 - a))[:, None]
-        growth = st[k:].reshape(k, POGO_GRID) + np.log(np.maximum(ret, 1e-300))
-        return np.concatenate([wealth, growth.ravel()])
-    return Rule(lambda q0, n, k: np.concatenate([np.full(k, 1.0 / k), np.zeros(k * POGO_GRID)]),
-                issue, learn, (pi, pi), True)
+        rows = st.reshape(-1, width).copy()
+        hit = s <= q
+        for j in np.flatnonzero(c):
+            share = shares(rows[j:j + 1])[0]
+            gain = (1 - share) / (1 - a) if hit else share / a
+            rows[j, 0] += math.log1p(c[j] * (gain - 1))
+            if c[j] == 1.0:
+                rows[j, 1 if hit else 2] += 1
+            else:
+                rows[j, 3:] += np.log1p(c[j] * np.expm1(covered if hit else missed))
+        return rows.ravel()
+
+    def start(q0, n, k):
+        rows = np.zeros((k, width))
+        rows[:, 0] = -math.log(k)
+        return rows.ravel()
+    return Rule(start, issue, learn, (pi, pi), True)
 
 
 def run_side(rule: Rule, side: int, s: np.ndarray, ctx, a: float, warmup: int) -> np.ndarray:

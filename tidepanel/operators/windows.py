@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,17 +99,25 @@ def history(x: str, k: int, skip: int = 0) -> Column:
     return F.when(F.size(h) == k, h)
 
 
-def ema(df: DataFrame, x: str, span: int, out: str = "ema", tail: int = 60) -> DataFrame:
-    """Exponential mean with adjusted weights. The weights decay geometrically,
-    so the part older than ``tail`` observations is below double precision for
-    the short spans used here ((1-a)^tail)."""
-    a = 2.0 / (span + 1)
-    h = F.collect_list(x).over(trailing(tail))
-    n = F.size(h)
-    weight = F.transform(h, lambda v, i: F.pow(F.lit(1 - a), n - 1 - i))
-    num = F.aggregate(F.zip_with(h, weight, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
-    den = F.aggregate(weight, F.lit(0.0), lambda s, v: s + v)
-    return df.withColumn(out, num / den)
+def ema(df: DataFrame, x: str, span: int, out: str = "ema") -> DataFrame:
+    """Exponential mean with adjusted weights over all values of a key so far; NULL
+    values are skipped. Sums weighted by growing powers run over blocks whose powers
+    reach e^280 at most. A block also takes in the one before it; what is older
+    weighs less than e^-280, far below double precision, for any span."""
+    r = 1 - 2.0 / (span + 1)
+    if r <= 0:
+        return df.withColumn(out, F.last(x, ignorenulls=True).over(by_key().rowsBetween(Window.unboundedPreceding, 0)))
+    size = int(280 / -math.log(r)) + 1
+    so_far = by_key().rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_n", F.count(x).over(so_far)).withColumn("_k", F.floor((F.col("_n") - 1) / size)).withColumn("_j", F.col("_n") - 1 - F.col("_k") * size)
+    inside = Window.partitionBy("key", "_k").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_own", F.sum(F.col(x) * F.pow(F.lit(r), -F.col("_j"))).over(inside) * F.pow(F.lit(r), F.col("_j")))
+    end = F.last(F.when((F.col("_j") == size - 1) & F.col(x).isNotNull(), F.struct("_k", "_own")), ignorenulls=True).over(so_far)
+    d = d.withColumn("_end", end)  # a block's last row sees its own end
+    d = d.withColumn("_past", F.coalesce(F.lag("_end").over(by_key())["_own"], F.lit(0.0)))
+    past = F.when(F.col("_k") > 0, F.col("_past") * F.pow(F.lit(r), F.col("_j") + 1)).otherwise(0.0)
+    weight = (1 - F.pow(F.lit(r), F.col("_n"))) / (1 - r)
+    return d.withColumn(out, F.when(F.col("_n") > 0, (F.col("_own") + past) / weight)).drop("_n", "_k", "_j", "_own", "_end", "_past")
 
 
 def autocorrelation(df: DataFrame, x: str, lags: int) -> DataFrame:
