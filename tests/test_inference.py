@@ -75,3 +75,14 @@ def test_pca_ignores_later_rows(spark):
     c = x[:50] - x[:50].mean(axis=0)
     u = np.linalg.svd(c, full_matrices=False)[2][:2]
     assert np.allclose(np.abs(run(x)[:50]), np.abs(c @ u.T), atol=1e-8)
+
+
+def test_lag_rule_holds_on_long_calendars(spark):
+    """25,000 dates ask for 13 lags; none is left out."""
+    n = 25_000
+    x = np.convolve(np.random.default_rng(7).normal(size=n + 20), np.ones(21), "valid")[:n]
+    d = spark.createDataFrame(pd.DataFrame({"date": pd.date_range("1930-01-01", periods=n).date, "v": x}))
+    got = IN.hac_mean(d, []).first()
+    c, lag = x - x.mean(), int(4 * (n / 100) ** (2 / 9) + 1e-12)
+    lrv = (c @ c + 2 * sum((1 - k / (lag + 1)) * (c[k:] @ c[:-k]) for k in range(1, lag + 1))) / n
+    assert got["lag"] == lag == 13 and got["se"] == pytest.approx(np.sqrt(lrv / n))

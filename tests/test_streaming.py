@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import pooled as PO
@@ -61,6 +62,19 @@ def test_panel_tracker_over_batches_with_late_rows(spark, tmp_path):
     assert tracker.late().count() == 1 and tracker.late().filter(F.col("key") == "z").count() == 1
 
 
+@pytest.mark.parametrize("make", [lambda: PO.AdaptiveWalk(0.1, (0.002, 0.01, 0.05)), lambda: PO.FixedWalk(0.1, (0.01, 0.03))], ids=["adaptive", "fixed"])
+def test_panel_tracker_does_not_depend_on_batches(spark, tmp_path, make):
+    g = np.random.default_rng(4)
+    dates = pd.date_range("2021-01-01", periods=24).date
+    pdf = pd.concat([pd.DataFrame({"key": f"k{j}", "date": dates, "s_std": g.normal(size=24) * 2, "sigma_hat": 1.0, "pos": range(24)}) for j in range(20)])
+    member = spark.createDataFrame(pd.DataFrame({"date": dates, "pi": [[1.0, 0.0] if i % 2 else [0.3, 0.7] for i in range(24)]}))
+    got = []
+    for n, cuts in enumerate(([0, 24], [0, 7, 8, 15, 24])):
+        stream = land(spark, pdf, str(tmp_path / f"in{n}"), cuts, "key string, date date, s_std double, sigma_hat double")
+        got.append(ST.run_panel_tracker(stream, ST.PanelTracker(spark, make, member, 2, {"hi": 1.6, "lo": 1.5})).orderBy("date").toPandas())
+    assert len(got[0]) == 23 and np.allclose(got[0][["q_lo", "q_hi"]], got[1][["q_lo", "q_hi"]])
+
+
 def test_append_mode_bars_wait_for_the_watermark(spark, tmp_path):
     ts = pd.date_range("2024-01-01 10:00", periods=60, freq="min")
     pdf = pd.DataFrame({"key": "a", "ts": ts, "event_id": range(60), "price": np.arange(60.0) + 1, "pos": range(60)})

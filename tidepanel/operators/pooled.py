@@ -156,6 +156,11 @@ class FixedWalk:
         """Thresholds after the day, upper side first: the start of a later walk."""
         return [float(v) for side in sorted(self.q, reverse=True) for v in self.q[side]]
 
+    def resume(self, state, k):
+        """Go on from a state; ``begin`` has set the sides."""
+        for side, part in zip(sorted(self.q, reverse=True), np.reshape(state, (-1, k))):
+            self.q[side] = part.astype(float)
+
 
 class AdaptiveWalk:
     """A bank of rates per regime, mixed by exponential weights on the day's mean
@@ -191,15 +196,27 @@ class AdaptiveWalk:
         return weights(self.logw[side]) @ self.rate
 
     def state(self):
-        return []
+        """Bank, log weights and corrector of every side, upper side first."""
+        parts = [a[side].ravel() for side in sorted(self.bank, reverse=True) for a in (self.bank, self.logw, self.corr)]
+        return np.concatenate(parts).tolist()
+
+    def resume(self, state, k):
+        e = len(self.rate)
+        for side, row in zip(sorted(self.bank, reverse=True), np.reshape(np.asarray(state, dtype=float), (len(self.bank), -1))):
+            self.bank[side], self.logw[side] = row[:k * e].reshape(k, e), row[k * e:2 * k * e].reshape(k, e)
+            self.corr[side] = row[2 * k * e:].copy()
 
 
-def _walk(pdf: pd.DataFrame, walk) -> list[tuple]:
+def _walk(pdf: pd.DataFrame, walk, state: list[float] | None = None, keep: bool = False) -> list[tuple]:
+    """Walks over the dates, from ``state`` if there is one; ``keep`` gives the state
+    after each date."""
     out = []
     sides = (1,) if walk.one_sided else (1, -1)
     k = len(pdf["pi"].iloc[0])
     q0 = {1: pdf["q0_hi"].iloc[0], -1: pdf["q0_lo"].iloc[0]}
     walk.begin({s: q0[s] for s in sides}, k)
+    if state:
+        walk.resume(state, k)
     for pi, warm, cells in zip(pdf["pi"], pdf["warm"], pdf["cells"]):
         pi = np.asarray(pi, dtype=float)
         issued = {s: walk.issue(s, pi) for s in sides}
@@ -210,7 +227,7 @@ def _walk(pdf: pd.DataFrame, walk) -> list[tuple]:
                 day = Day(cells, s)
                 walk.learn(s, day, pi, issued[s])
                 touched |= day.open
-        out.append((issued.get(-1, math.nan), issued[1], rates, sorted(touched), walk.state()))
+        out.append((issued.get(-1, math.nan), issued[1], rates, sorted(touched), walk.state() if keep else []))
     return out
 
 

@@ -372,14 +372,15 @@ def grouped_r2(d, by, feats, part, lam=0.0, digits=4):
     return out.select(*by, rnd("r2", digits).alias("r2"))
 
 
-@query("ev_purged_cv", f"{BASE}, dr AS (SELECT *, dense_rank() OVER (ORDER BY date) AS dr FROM h), yrs AS (SELECT CAST(y0 AS INTEGER) AS fold, (SELECT min(dr) FROM dr WHERE year(date) = y0) AS first FROM range(1997, 2001) r(y0)), cv AS (SELECT fold, dr.*, year(date) = fold AS te FROM dr, yrs WHERE year(date) = fold OR dr.dr < first - 5), "
+@query("ev_purged_cv", f"{BASE}, dr AS (SELECT *, dense_rank() OVER (ORDER BY date) AS dr FROM h), yrs AS (SELECT CAST(y0 AS INTEGER) AS fold, (SELECT min(dr) FROM dr WHERE year(date) = y0) AS first FROM (SELECT unnest(range(1997, (SELECT max(year(date)) FROM h) + 1)) AS y0) r), cv AS (SELECT fold, dr.*, year(date) = fold AS te FROM dr, yrs WHERE year(date) = fold OR dr.dr < first - 5), "
        + gram_cte("g", "cv", ["fold"], H3, "y", "NOT te") + ", " + solve_cte("b", "g", ["fold"], 3) + f" SELECT b.fold AS fold, r4({r2_sql(predict_sql(H3))}) AS r2 FROM cv JOIN b ON cv.fold = b.fold WHERE te GROUP BY 1")
 def ev_purged_cv(t):
-    """Year-forward folds with the last five training dates purged. The rank of a
-    date comes from the calendar, and each row belongs to at most all folds."""
+    """Year-forward folds, from 1997 to the last year of the data, with the last five
+    training dates purged. The rank of a date comes from the calendar, and each row
+    belongs to at most all folds."""
     d = FC.design(t.table_a())
     cal = d.select("date").distinct().withColumn("dr", F.row_number().over(fr.calendar()))
-    years = list(range(1997, 2001))
+    years = list(range(1997, cal.agg(F.max(F.year("date"))).first()[0] + 1))
     first = cal.agg(*[F.min(F.when(F.year("date") == y, F.col("dr"))).alias(f"f{y}") for y in years])
     d = fr.with_scalars(fr.attach(d, cal, ["date"]), first)
     tags = F.array(*[F.struct(F.lit(y).alias("fold"), F.when(F.year("date") == y, "te").when(F.col("dr") < F.col(f"_g.f{y}") - 5, "tr").alias("part0")) for y in years])

@@ -227,24 +227,30 @@ def news_rows(t, words=WORDS):
     return docs.join(ev, "doc_id").join(lb, "doc_id", "left").join(em, "doc_id", "left")
 
 
+def dims(t) -> int:
+    """Entries of an embedding, from the data."""
+    return t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
 NEWS_SQL = f"""{ET_SQL}, nw AS (SELECT doc_id, lang AS key, et.ts AS ts, et.et AS et, text, quality * 2 - 1 AS polarity, CAST(embedding AS DOUBLE[]) AS vec, value, {{eff}} AS date
  FROM documents JOIN et ON event_id = doc_id LEFT JOIN labels USING (doc_id) LEFT JOIN embeddings ON vec_id = doc_id)"""
 EFF16 = EFFECTIVE.format(c=16)
 
 
 @query("ft_news_daily", f"""WITH {NEWS_SQL.format(eff=EFF16)} SELECT key, date, r6(sum({shock_sql('text', *WORDS)})) AS shock_index, r6(avg(polarity)) AS sentiment_avg, CAST(count(*) AS BIGINT) AS news_count,
- r6(median(hour(et))) AS median_hour, r6(avg(vec[1])) AS v0, r6(avg(vec[8])) AS v7 FROM nw GROUP BY 1, 2""")
+ r6(median(hour(et))) AS median_hour, r6(avg(vec[1])) AS v0, r6(avg(vec[8])) AS v7, r6(avg(list_avg(vec))) AS vec_mean FROM nw GROUP BY 1, 2""")
 def ft_news_daily(t):
-    d = FT.news_daily(news_rows(t), 8)
+    d = FT.news_daily(news_rows(t), dims(t))
     return d.select("key", "date", rnd("shock_index").alias("shock_index"), rnd("sentiment_avg").alias("sentiment_avg"), "news_count",
-                    rnd("median_hour").alias("median_hour"), rnd(F.col("vec")[0]).alias("v0"), rnd(F.col("vec")[7]).alias("v7"))
+                    rnd("median_hour").alias("median_hour"), rnd(F.col("vec")[0]).alias("v0"), rnd(F.col("vec")[7]).alias("v7"),
+                    rnd(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v) / F.size("vec")).alias("vec_mean"))
 
 
-@query("ft_novelty", f"""WITH {NEWS_SQL.format(eff=EFF16)}, d AS (SELECT key, date, [""" + ", ".join(f"avg(vec[{i}])" for i in range(1, 9)) + f"""] AS v FROM nw GROUP BY 1, 2),
- p AS (SELECT key, date, v, lag(v) {OVER} AS pv FROM d)
- SELECT key, date, r6(CASE WHEN pv[1] IS NOT NULL AND v[1] IS NOT NULL THEN 1 - list_cosine_similarity(list_transform(v, lambda a: coalesce(a, 0)), list_transform(pv, lambda a: coalesce(a, 0))) END) AS novelty FROM p""")
+@query("ft_novelty", f"""WITH {NEWS_SQL.format(eff=EFF16)}, e AS (SELECT key, date, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM nw), a AS (SELECT key, date, i, avg(v) AS v FROM e GROUP BY 1, 2, 3),
+ d AS (SELECT key, date, v FROM (SELECT DISTINCT key, date FROM nw) n LEFT JOIN (SELECT key, date, list(v ORDER BY i) AS v FROM a GROUP BY 1, 2) l USING (key, date)), p AS (SELECT key, date, v, lag(v) {OVER} AS pv FROM d)
+ SELECT key, date, r6(CASE WHEN pv IS NOT NULL AND v IS NOT NULL THEN 1 - list_cosine_similarity(v, pv) END) AS novelty FROM p""")
 def ft_novelty(t):
-    return FT.novelty(FT.news_daily(news_rows(t), 8)).select("key", "date", rnd("novelty").alias("novelty"))
+    return FT.novelty(FT.news_daily(news_rows(t), dims(t))).select("key", "date", rnd("novelty").alias("novelty"))
 
 
 @query("ft_tfidf_svd")

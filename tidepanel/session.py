@@ -55,10 +55,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. A local one is made only where none is
-    named, which happens in tests and on a single machine."""
+    """The cluster's checkpoint folder, which all nodes see. On one machine (a local
+    master, as in tests) a folder is made if none is named; on a cluster that would
+    scatter a table over the nodes, so it is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="tidepanel-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

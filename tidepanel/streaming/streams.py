@@ -173,6 +173,8 @@ class PanelTracker:
 
     def __init__(self, spark: SparkSession, walk: Callable[[], PO.FixedWalk], membership: DataFrame, k: int,
                  start: dict[str, float], base: str | None = None):
+        if not hasattr(walk(), "resume"):
+            raise TypeError("a walk without a state cannot go on from batch to batch")
         self.spark, self.walk, self.membership, self.k, self.start = spark, walk, membership, k, start
         self.base = base or f"{shared_folder(spark)}/tracker-{uuid.uuid4().hex}"
         self._save(-1, "", [], [], None)
@@ -217,13 +219,11 @@ class PanelTracker:
         self._save(batch, keep, last["paths"] + [out], list(end), closed)
 
     def _advance(self, ready: DataFrame, state) -> DataFrame:
-        hi = F.array(*[F.lit(float(v)) for v in (state[:self.k] if state else [self.start["hi"]] * self.k)])
-        lo = F.array(*[F.lit(float(v)) for v in (state[self.k:] if state else [self.start["lo"]] * self.k)])
         dates = ready.select("date").distinct().join(self.membership.select("date", "pi"), "date", "left")
         cal = dates.withColumn("pi", normalized(F.col("pi"), self.k)).withColumn("warm", F.lit(False)) \
-            .withColumn("q0_hi", hi).withColumn("q0_lo", lo)
-        make = self.walk
-        return PO.thresholds(ready, written(cal), {"stream": lambda pdf: PO._walk(pdf, make())})
+            .withColumn("q0_hi", F.lit(float(self.start["hi"]))).withColumn("q0_lo", F.lit(float(self.start["lo"])))
+        make, before = self.walk, list(state or [])
+        return PO.thresholds(ready, written(cal), {"stream": lambda pdf: PO._walk(pdf, make(), before, True)})
 
     def finish(self) -> DataFrame:
         """Thresholds of all closed dates."""
