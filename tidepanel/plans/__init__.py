@@ -4,7 +4,7 @@ from importlib import import_module
 
 GROUPS = ("sources", "rows", "joins", "aggregates", "windows", "sets", "scalars", "panels",
           "regimes", "forecasts", "models", "calibration", "pooled", "streams", "evaluation",
-          "inference", "extensions")
+          "inference", "extensions", "wide")
 
 
 def load() -> None:
