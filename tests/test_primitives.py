@@ -147,6 +147,10 @@ def test_distribution_functions():
     assert sp.chi2_sf(5.991464547, 2) == pytest.approx(0.05, abs=1e-9)
     assert sp.t_ppf(0.975, 10) == pytest.approx(2.228138852, abs=1e-8)
     assert sp.f_sf(4.102821015, 2, 10) == pytest.approx(0.05, abs=1e-8)
+    # far tails: exp(-x / 2) for two degrees of freedom, 1 / (1 + t^2 / 2) forms for t
+    assert sp.chi2_sf(200.0, 2) == pytest.approx(np.exp(-100.0), rel=1e-12)
+    assert sp.t_two_sided(1e9, 2) == pytest.approx(1e-18, rel=1e-6)
+    assert sp.chi2_sf(-1.0, 3) == 1.0
 
 
 def test_elastic_net_from_sums(spark):

@@ -46,7 +46,7 @@ def beta_inc(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     total = d
-    for m in range(1, 500):
+    for m in range(1, 100_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -55,14 +55,15 @@ def beta_inc(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             total *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * total
+            return front * total
+    raise ArithmeticError(f"incomplete beta did not converge at a={a}, b={b}, x={x}")
 
 
-def gamma_inc(a: float, x: float) -> float:
-    """Regularized lower incomplete gamma: series below a+1, fraction above."""
+def gamma_upper(a: float, x: float) -> float:
+    """Regularized upper incomplete gamma: one minus the series below a + 1, the
+    continued fraction above, so that small tails keep their digits."""
     if x <= 0.0:
-        return 0.0
+        return 1.0
     scale = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1.0:
         term = total = 1.0 / a
@@ -71,12 +72,12 @@ def gamma_inc(a: float, x: float) -> float:
             k += 1.0
             term *= x / k
             total += term
-        return total * scale
+        return 1.0 - total * scale
     tiny = 1e-300
     b = x + 1.0 - a
     c, d = 1.0 / tiny, 1.0 / b
     h = d
-    for i in range(1, 1000):
+    for i in range(1, 100_000):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -85,12 +86,12 @@ def gamma_inc(a: float, x: float) -> float:
         c = c if abs(c) > tiny else tiny
         h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return 1.0 - scale * h
+            return scale * h
+    raise ArithmeticError(f"incomplete gamma did not converge at a={a}, x={x}")
 
 
 def chi2_sf(x: float, df: float) -> float:
-    return 1.0 - gamma_inc(df / 2.0, x / 2.0)
+    return gamma_upper(df / 2.0, x / 2.0)
 
 
 def t_cdf(x: float, df: float) -> float:
@@ -98,6 +99,10 @@ def t_cdf(x: float, df: float) -> float:
     return tail if x < 0 else 1.0 - tail
 
 
+def t_two_sided(x: float, df: float) -> float:
+    return beta_inc(df / 2.0, 0.5, df / (df + x * x))
+
+
 def t_ppf(p: float, df: float) -> float:
     return _invert(lambda v: t_cdf(v, df), p, -1e4, 1e4)
 
@@ -130,7 +135,7 @@ def p_chi2(x: Column, df: Column | float) -> Column:
 def p_t(t: Column, df: Column) -> Column:
     @F.pandas_udf("double")
     def fn(t: pd.Series, df: pd.Series) -> pd.Series:
-        return _vector(lambda v, k: 2.0 * (1.0 - t_cdf(abs(v), k)) if k > 0 else math.nan)(t, df)
+        return _vector(lambda v, k: t_two_sided(v, k) if k > 0 else math.nan)(t, df)
     return fn(t.cast("double"), df.cast("double"))
 
 

@@ -105,11 +105,9 @@ def auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
 
 def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Average precision: recall steps down the score times the precision."""
-    y = F.col(label).cast("bigint")
     all_ranks = value_counts(df, [], score).select(score, (F.col("n") - F.col("n_lt")).alias("at_or_above"))
     pos = value_counts(df.filter(F.col(label) == 1), [], score).select(
         F.col(score), F.col("n_eq").alias("tp_here"), (F.col("n") - F.col("n_lt")).alias("tp"), F.col("n").alias("n_pos"))
-    del y
     d = pos.join(all_ranks, score)
     return d.agg(F.sum(F.col("tp_here") / F.col("n_pos") * F.col("tp") / F.col("at_or_above")).alias("pr_auc"))
 

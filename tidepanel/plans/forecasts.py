@@ -197,13 +197,13 @@ def fc_regime_models(t):
     return r2_of(G.fit_predict(train(d), test(d), ["regime"], H3, "y", 1.0), by=["regime"])
 
 
-@query("fc_entity_models", f"{BASE}, {RDG_SRC}, " + gram_cte("g", "hh", ["key"], H3, "y", f"date < DATE '{SPLIT}' AND (key <> '3' OR n > 100)", lam="1.0") + ", " + solve_cte("b", "g", ["key"], 3) + ", "
-       + gram_cte("ga", "hh", [], H3, "y", f"date < DATE '{SPLIT}' AND (key <> '3' OR n > 100)", lam="1.0") + ", " + solve_cte("ba", "ga", [], 3)
+@query("fc_entity_models", f"{BASE}, {RDG_SRC}, " + gram_cte("g", "hh", ["key"], H3, "y", f"date < DATE '{SPLIT}'", lam="1.0") + ", " + solve_cte("b", "g", ["key"], 3) + ", "
+       + gram_cte("ga", "hh", [], H3, "y", f"date < DATE '{SPLIT}'", lam="1.0") + ", " + solve_cte("ba", "ga", [], 3)
        + f" SELECT hh.key AS key, date, r4(CASE WHEN b.n_train >= 30 THEN {predict_sql(H3, 'b')} ELSE {predict_sql(H3, 'ba')} END) AS pred FROM hh LEFT JOIN b ON hh.key = b.key CROSS JOIN ba WHERE date >= DATE '{SPLIT}'")
 def fc_entity_models(t):
-    """One key is left out of the training rows, so it takes the global model."""
+    """A key with fewer than 30 training rows takes the global model."""
     d = design_a(t)
-    tr = train(d).filter("key <> '3' or n > 100")
+    tr = train(d)
     own = G.solve(G.sums(tr, ["key"], H3, "y").filter("n_train >= 30"), 3, 1.0).select("key", "beta")
     shared = G.solve(G.sums(tr, [], H3, "y"), 3, 1.0).select("beta").scalar()
     out = fr.attach(test(d), own, ["key"]).withColumn("_all", shared).withColumn("beta", F.coalesce("beta", "_all"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -157,7 +158,7 @@ def run_length(rows: DataFrame) -> DataFrame:
 # --- pooled tracker ----------------------------------------------------------------
 
 ROWS = "key string, date date, s_std double, sigma_hat double"
-GENERATION = "batch long, pending string, paths array<string>, state array<double>, closed date"
+GENERATION = "batch long, pending string, state array<double>, closed date"
 THRESHOLDS = "arm string, date date, warm boolean, q_lo double, q_hi double, rates array<double>, state array<double>"
 
 
@@ -177,22 +178,26 @@ class PanelTracker:
             raise TypeError("a walk without a state cannot go on from batch to batch")
         self.spark, self.walk, self.membership, self.k, self.start = spark, walk, membership, k, start
         self.base = base or f"{shared_folder(spark)}/tracker-{uuid.uuid4().hex}"
-        self._save(-1, "", [], [], None)
+        self._save(-1, "", [], None)
 
-    def _save(self, batch, pending, paths, state, closed) -> None:
-        row = self.spark.createDataFrame([(batch, pending, paths, state, closed)], GENERATION)
+    def _save(self, batch, pending, state, closed) -> None:
+        row = self.spark.createDataFrame([(batch, pending, state, closed)], GENERATION)
         row.write.mode("ignore" if batch < 0 else "overwrite").parquet(f"{self.base}/state/g={batch}")
 
-    def _latest(self, before: int | None = None):
-        g = self.spark.read.schema(GENERATION).parquet(f"{self.base}/state/*")
-        g = g if before is None else g.filter(F.col("batch") < before)
-        return g.orderBy(F.desc("batch")).first()
+    def _before(self, batch: int):
+        """The generation that a batch starts from: the one before it, or, if numbers
+        were left out, the newest one below."""
+        read = self.spark.read.schema(GENERATION)
+        try:
+            return read.parquet(f"{self.base}/state/g={batch - 1}").first()
+        except AnalysisException:
+            return read.parquet(f"{self.base}/state/*").filter(F.col("batch") < batch).orderBy(F.desc("batch")).first()
 
     def _table(self, path: str, schema: str = ROWS) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        last = self._latest(batch)
+        last = self._before(batch)
         arrived = f"{self.base}/arrived/batch={batch}"
         rows.select("key", "date", "s_std", "sigma_hat").write.mode("overwrite").parquet(arrived)
         held = self._table(arrived)
@@ -203,20 +208,20 @@ class PanelTracker:
             held = held.unionByName(self._table(last["pending"]))
         newest = held.agg(F.max("date").alias("d")).first()["d"]
         if newest is None:
-            self._save(batch, last["pending"], last["paths"], last["state"], last["closed"])
+            self._save(batch, last["pending"], last["state"], last["closed"])
             return
         keep = f"{self.base}/pending/batch={batch}"
         held.filter(F.col("date") == F.lit(newest)).write.mode("overwrite").parquet(keep)
         ready = held.filter(F.col("date") < F.lit(newest))
         closed = ready.agg(F.max("date").alias("d")).first()["d"]
         if closed is None:
-            self._save(batch, keep, last["paths"], last["state"], last["closed"])
+            self._save(batch, keep, last["state"], last["closed"])
             return
         out = f"{self.base}/thresholds/batch={batch}"
         path = self._advance(ready, last["state"])
         path.write.mode("overwrite").parquet(out)
         end = self._table(out, THRESHOLDS).agg(F.max_by("state", "date").alias("s")).first()["s"]
-        self._save(batch, keep, last["paths"] + [out], list(end), closed)
+        self._save(batch, keep, list(end), closed)
 
     def _advance(self, ready: DataFrame, state) -> DataFrame:
         dates = ready.select("date").distinct().join(self.membership.select("date", "pi"), "date", "left")
@@ -227,7 +232,7 @@ class PanelTracker:
 
     def finish(self) -> DataFrame:
         """Thresholds of all closed dates."""
-        return self.spark.read.schema(THRESHOLDS).parquet(*self._latest()["paths"]).select("date", "q_lo", "q_hi")
+        return self.spark.read.schema(THRESHOLDS).parquet(f"{self.base}/thresholds/*").select("date", "q_lo", "q_hi")
 
     def late(self) -> DataFrame:
         """Rows that arrived after their date had closed."""
