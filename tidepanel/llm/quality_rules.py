@@ -121,10 +121,10 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The documents that pass, with all their columns. The keys of the rejected
-    ones are written first; Spark broadcasts them only while they are small."""
+    """The documents that pass, with all their columns. They are dealt by their key
+    and meet the keys of the rejected ones there, at every size alike."""
     from ..session import written
     bad = written(judge(docs, id, text, host, **limits).filter(~F.col("kept")).select("id", "host", "k1", "k2").distinct())
     k1, k2 = digest2(F.col(text))
     packed = docs.select(F.struct("*").alias("row"), F.col(id).alias("_id"), F.col(host).alias("_host"), k1.alias("_k1"), k2.alias("_k2"))
-    return packed.join(bad, _equal(["id", "host", "k1", "k2"]), "left_anti").select("row.*")
+    return packed.join(bad.hint("shuffle_hash"), _equal(["id", "host", "k1", "k2"]), "left_anti").select("row.*")
