@@ -129,7 +129,7 @@ def test_bpe_odd_rows(spark, odd, plain_bpe):
     lines = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     got = bpe.encoded(odd, lines, public_tokenizers.PATTERN).collect()
     assert len(got) == odd.count()
-    for r in got:
+    for r in got:  # as lists of numbers
         assert r.ids == plain_bpe.encode_ordinary(r.text or "")
     assert bpe.encoded(odd.limit(0), lines, public_tokenizers.PATTERN).count() == 0
 
@@ -155,8 +155,14 @@ def _all_texts(n):
 def test_cache_overflow(plain_bpe, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
     c = bpe.Codec(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    for block in (["one two three four"], ["two five  six\n\nseven", ""], [" x ", "\x1c y\xa0 z"]):
-        assert c.encode(block) == [plain_bpe.encode_ordinary(t) for t in block]
+    lib = token_files.LibraryEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    for block in AWKWARD:
+        assert [i.tolist() for i in c.encode(block)] == [plain_bpe.encode_ordinary(t) for t in block]
+        assert [[*i.tolist(), 2] for i in lib.encode(block)] == library_ids(block)
+
+
+AWKWARD = [["one two three four"], ["two five  six\n\nseven", ""], [" x ", "\x1c y\xa0 z", "  ", " "], ["a, b.", ",", " .", "don't we'll 'tis x,y z", "12.5, 3,4 é, ß. 中文. \u0301 a\u0301."],
+           ["one\n two", "one two", "three \n", "\n three"], ["<|endoftext|> one two", "x <|endoftext|>"], ["ab" * 300, "word" + " word" * 500]]
 
 
 def test_elias_fano():

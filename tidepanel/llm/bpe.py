@@ -7,8 +7,8 @@ queue of pairs by rank applies every merge in rank order to all its places, and
 merge touches only its two neighbours. Two things keep the ids equal to those of
 greedy merging word by word: places of one rank are taken from left to right, and
 if a merge creates a pair of a lower rank, that rank is taken up first again.
-The ids of a word are kept for later blocks of the task, up to a fixed number of
-words; a word that isn't kept is only replayed again.
+The ids of words, and of the parts of texts between blanks, are kept for later blocks
+of the task, up to a fixed number; one that isn't kept is only replayed again.
 
 Nothing is shuffled, so no hot word, source or group of copies meets in one task,
 and memory is bounded by one Arrow batch and the kept words.
@@ -23,16 +23,17 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a task keeps between blocks.
-KEPT_WORDS = 500_000
+#: Parts of texts, and as many words, in one generation of what a task keeps.
+KEPT_WORDS = 400_000
 
 
 def load_ranks(path: str) -> list[str]:
@@ -140,10 +141,59 @@ class MergeReplay:
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def chunks(text: str) -> list[str]:
-    """The text in parts, each but the first with a blank in front."""
-    parts = CUT.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
+def as_bytes(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian 32-bit numbers."""
+    data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    ends = np.cumsum([0, *map(len, ids)]) * 4
+    return [data[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+class PartCache:
+    """Ids of parts of texts, as bytes. A full cache becomes the old one, from which
+    parts that are still in use come back; the rest is forgotten and, if it comes
+    up again, encoded again."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int):
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, wanted: set[str]) -> None:
+        """Afterwards all wanted parts are in ``young``."""
+        missing = wanted.difference(self.young)
+        if len(self.young) + len(missing) > self.limit:
+            self.old, self.young, missing = self.young, {}, wanted
+        again = missing.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        new = list(missing - again)
+        self.young.update(zip(new, self.encode(new)))
+
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text, given as its parts."""
+        self.learn(set().union(*texts))
+        get = self.young.__getitem__
+        return [b"".join(map(get, parts)) for parts in texts]
+
+
+class TextCache:
+    """Ids of texts, cut at blanks. ``encode`` gets parts with their blank."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int):
+        self.encode = encode
+        self.after_blank = PartCache(lambda ps: encode([" " + p for p in ps]), limit)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = [t.split(" ") for t in texts]
+        wanted = set().union(*cut)
+        # blanks beside other white space do not cut: such texts are cut with care
+        odd = {p for p in wanted.difference(self.after_blank.young) if not p or p[0].isspace() or p[-1].isspace()}
+        if odd:
+            cut = [c if odd.isdisjoint(c) else CUT.split(t) for t, c in zip(texts, cut)]
+            wanted = set().union(*cut)
+        firsts = self.encode([c[0] for c in cut])
+        self.after_blank.learn(wanted)
+        get = self.after_blank.young.__getitem__
+        return [a + b"".join(map(get, c[1:])) for a, c in zip(firsts, cut)]
 
 
 class Codec:
@@ -151,23 +201,18 @@ class Codec:
 
     def __init__(self, lines: list[str], pattern: str):
         self.replay = MergeReplay(parse_ranks(lines))
-        self.split = regex.compile(pattern).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
+        split = regex.compile(pattern).findall
+        self.words = PartCache(lambda ws: as_bytes(self.replay.encode([w.encode("utf-8", "replace") for w in ws])), KEPT_WORDS)
+        self.parts = TextCache(lambda parts: self.words.ids([split(p) for p in parts]), KEPT_WORDS)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def forget(self) -> None:
+        """An idle worker holds the vocabulary only."""
+        for cache in (self.words, self.parts.after_blank):
+            cache.young, cache.old = {}, {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [chunks(t) for t in texts]
-        new = set().union(*cut).difference(self.kept)
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
-            new = set().union(*cut)
-        order = sorted(new)
-        pieces = [self.split(c) for c in order]
-        words = sorted(set().union(*pieces))
-        ids = dict(zip(words, self.replay.encode([w.encode("utf-8", "replace") for w in words])))
-        self.kept.update((c, tuple(i for w in ws for i in ids[w])) for c, ws in zip(order, pieces))
-        get = self.kept.__getitem__
-        return [list(chain.from_iterable(map(get, cs))) for cs in cut]
+        return [np.frombuffer(b, "<u4") for b in self.parts.ids(texts)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.replay.bytes_of.__getitem__, ids))
@@ -204,8 +249,11 @@ def encoded(docs: DataFrame, lines: list[str], pattern: str, text: str = "text",
         codec = _codec(shared.value, pattern)
         for rb in rows:
             for part, texts in blocks(rb, at):
-                got = pa.array(codec.encode(texts), pa.list_(pa.int32()))
+                got = codec.encode(texts)
+                ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
+                got = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(got).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*part.schema.names, ids])
+        codec.forget()
     from pyspark.sql import types as T
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(batches, schema)
@@ -222,11 +270,12 @@ def round_trip(docs: DataFrame, lines: list[str], pattern: str, id: str = "doc_i
         for rb in rows:
             for part, texts in blocks(rb, 1):
                 n, by_ids, by_bytes = [], [], []
-                for ids in codec.encode(texts):
+                for ids in map(np.ndarray.tolist, codec.encode(texts)):
                     n.append(len(ids))
                     by_ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     by_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())],
                                                  names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(batches, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

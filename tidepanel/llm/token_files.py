@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from ..session import shared_folder, written
 from . import elias_fano
 from .base import parts_for
-from .bpe import blocks, chunks
+from .bpe import TextCache, as_bytes, blocks
 
 MAGIC = b"EFTOKEN1"
 HEAD = struct.Struct("<8sB3xIIQQqQ")
 SHARD_IDS = 4_000_000
-DOCS_PER_RANGE = 20_000
-#: Parts of texts whose ids a worker keeps.
-KEPT = 500_000
+DOCS_PER_RANGE = 4_000
+#: Parts of texts in one generation of what a worker keeps.
+KEPT = 400_000
 
 
 def pack(part: int, number: int, ids: list[int | None], tokens: list[np.ndarray], width: int) -> bytes:
@@ -76,33 +76,64 @@ class Shard:
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Texts are cut where the tokenizer cuts too
-    (before a blank between words), and each distinct part is encoded once; a text
-    with the string of a special token goes to the library as it is."""
+    (before a blank between words, and before a full stop or comma at a word's end),
+    and each distinct part is encoded once. Words are given to the library many in
+    one text; the bytes that the ids stand for tell where a word ends. A text that
+    has the string of a special token goes to the library as it is."""
 
     def __init__(self, json: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(json)
         names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(names)).search if names else lambda t: None
-        self.kept: dict[str, list[int]] = {}
-
-    def _ask(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        from itertools import chain
-        whole = [t if self.special(t) else None for t in texts]
-        cut = [chunks(t) if w is None else [] for t, w in zip(texts, whole)]
-        new = set().union(*cut).difference(self.kept)
-        if len(self.kept) + len(new) > KEPT:
-            self.kept = {}
-            new = set().union(*cut)
-        new = list(new)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            self.kept.update(zip(part, self._ask(part)))
-        get = self.kept.__getitem__
-        return [list(chain.from_iterable(map(get, c))) if w is None else self._ask([w])[0] for c, w in zip(cut, whole)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes: byte-level tokens have a letter for each
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+        self.tails = dict(zip(".,", self._ask([".", ","])))
+        self.texts = TextCache(self._parts, KEPT)
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return as_bytes([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """A word before a full stop or comma may be known; others are asked for."""
+        known = self.texts.after_blank
+        ids: dict[str, bytes] = {}
+        ask, tailed = set(), []
+        for p in parts:
+            if p[-1:] in self.tails and p[-2:-1].isalpha():
+                tailed.append(p)
+                p = p[:-1]
+                held = (known.young.get(p[1:]) or known.old.get(p[1:])) if p[0] == " " else None
+                if held:
+                    ids[p] = held
+                    continue
+            ask.add(p)
+        self._words(ask, ids)
+        for p in tailed:
+            ids[p] = ids[p[:-1]] + self.tails[p[-1]]
+        return [ids[p] for p in parts]
+
+    def _words(self, parts: set[str], ids: dict[str, bytes], many: int = 400) -> None:
+        plain = [p for p in parts if p[:1] == " " and p[1:].isalpha()]
+        groups = [plain[lo:lo + many] for lo in range(0, len(plain), many)]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
+            got = np.array(e.ids, "<u4")
+            ends = np.cumsum(list(map(len, map(str.encode, g))))
+            upto = np.cumsum(self.size[got])
+            last = np.searchsorted(upto, ends)
+            if len(got) and last[-1] == len(got) - 1 and (upto[last] == ends).all():  # else words were cut otherwise
+                data, cut = got.tobytes(), ((last + 1) * 4).tolist()
+                ids.update(zip(g, map(data.__getitem__, map(slice, [0, *cut], cut))))
+        rest = [p for p in parts if p not in ids]
+        ids.update(zip(rest, self._ask(rest)))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        special = [bool(self.special(t)) for t in texts]
+        ids = self.texts.ids(["" if s else t for t, s in zip(texts, special)])
+        return [np.frombuffer(self._ask([t])[0] if s else b, "<u4") for t, s, b in zip(texts, special, ids)]
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
@@ -135,7 +166,7 @@ def write(docs: DataFrame, json: str, end_id: int, id: str = "doc_id", text: str
                         yield flush()
                         number, ids, tokens, size = number + 1, [], [], 0
                     ids.append(i)
-                    tokens.append(np.array([*t, end_id], np.uint32))
+                    tokens.append(np.append(t, np.uint32(end_id)))
                     size += len(t) + 1
         if ids:
             yield flush()
