@@ -265,6 +265,44 @@ def test_near_copies(spark, monkeypatch, block):
     assert near_documents.kept_documents(df.limit(0)).count() == 0
 
 
+def all_pairs(texts, similarity=0.8):
+    """The smallest id of each group of all pairs at the similarity or above, and the pairs."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := t.lower().split())}
+    pairs = [(i, j) for j in sets for i in sets if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    root = {i: i for i in texts}
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return {i for i in texts if root[i] == i}, pairs
+
+
+def block_edits():
+    """Texts, and copies with a block of others put in or a tail cut off."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    bases = [rng.choices(vocabulary, k=rng.choice([6, 30, 60, 120])) for _ in range(60)]
+    texts = [" ".join(b) for b in bases]
+    for n, b in enumerate(bases):
+        other = rng.choice(bases)
+        texts.append(" ".join(b + other[:len(b) * (n % 3 + 3) // 20]))
+        texts.append(" ".join(b[:len(b) - len(b) * (n % 4 + 1) // 20]))
+        at = rng.randrange(len(b))
+        texts.append(" ".join(b[:at] + rng.choices(vocabulary, k=len(b) // 6) + b[at:]))
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("per_task", [1_000_000, 500])
+def test_near_copies_by_blocks(spark, monkeypatch, per_task):
+    monkeypatch.setattr(near_documents, "SHINGLES_PER_TASK", per_task)
+    texts = block_edits()
+    want, pairs = all_pairs(texts)
+    prints = {i: simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 1))) for i, t in texts.items()}
+    assert sum((prints[i] ^ prints[j]).bit_count() > 7 for i, j in pairs) >= 10 and want < brute_groups(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_documents.kept_documents(df).collect()) == sorted(want)
+
+
 # --- urls ----------------------------------------------------------------------
 
 def brute_url(url):
