@@ -14,8 +14,8 @@ from tidepanel.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects short, repetitive and depleted documents."""
-    return quality_rules.kept_documents(docs)
+    """Rejects short, repetitive and depleted documents, and removes frequent lines from the others."""
+    return quality_rules.kept_documents(docs, n_chars="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,20 @@ def test_boilerplate_and_depleted_documents(spark):
     assert all(out[200 + i].n_removed_words == 0 and out[200 + i].kept for i in range(40))
 
 
+def test_boilerplate_lines_are_gone(spark):
+    from corpus_pipeline import quality
+    line = "Subscribe to our newsletter today and never miss a story"
+    own = {i: " ".join(f"w{i}x{j}" for j in range(60)) for i in range(30)}
+    docs = [(i, f"  {t}\n\n{line.upper()}  \nlast {i}\n{line}\n", "en", "h", 7) for i, t in own.items()]
+    docs += [docs[0], (50, " ".join(f"v{j}" for j in range(60)), "en", "h", 5), (51, f"{line}\n" * 9, "en", "h", 5), (52, line + "\n" + own[1], "en", None, 5)]
+    out = quality(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    got = {r.doc_id: (r.text, r.n_chars) for r in out}
+    for i, t in own.items():
+        text = f"  {t}\n\nlast {i}\n"
+        assert got.pop(i) == (text, len(text))
+    assert len(out) == 33 and got == {50: (docs[31][1], 5), 52: (docs[33][1], 5)}
+
+
 def brute_components(fps, k):
     ids = sorted(fps, key=lambda i: (i is None, i))
     root = {i: i for i in ids}

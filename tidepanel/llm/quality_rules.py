@@ -6,7 +6,8 @@ distinct *document identities* are counted, in two partial aggregations that
 combine before they shuffle, so neither a hot host nor a hot line meets in one
 task. A document's identity is its longest normalised line: exact and near copies
 share it, so a group of copies does not turn its own content into boilerplate.
-Lines above both limits are removed; a document that loses more than
+Lines above both limits are removed (``kept_documents`` returns the texts without
+them; blank lines and all others stay as they are); a document that loses more than
 ``max_removed_pct`` percent of its words is depleted.
 
 Defined cases: a NULL text has no words and no lines, so it fails the base rule; a
@@ -85,6 +86,12 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
           max_repeat_pct: int = 50, max_docs: int = 10, max_share: float = 0.005, max_removed_pct: int = 60) -> DataFrame:
     """One row per document row: its key (id, host, k1, k2), the statistics,
     ``base_failed``, ``n_removed_words`` and ``kept``. Texts are never shuffled."""
+    return judged(docs, id, text, host, min_words, max_repeat_pct, max_docs, max_share, max_removed_pct).drop("removed_lines")
+
+
+def judged(docs: DataFrame, id: str, text: str, host: str, min_words: int = 50, max_repeat_pct: int = 50, max_docs: int = 10,
+           max_share: float = 0.005, max_removed_pct: int = 60) -> DataFrame:
+    """As ``judge``, with the numbers of the lines to remove (NULL if there are none)."""
     from ..session import written
     k1, k2 = digest2(F.col(text))
     base = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), k1.alias("k1"), k2.alias("k2"),
@@ -93,16 +100,16 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
     # the frequent lines are written, so that their size is known when the join is planned
     often = written(frequent_lines(docs, text, host, max_docs, max_share)).select(F.col("host").alias("h_"), "a", "b")
     lines = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), k1.alias("k1"), k2.alias("k2"),
-                        F.explode(worded_lines(F.col(text))).alias("line"))
+                        F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "line")).filter(F.col("line").rlike(WORD_CHAR))
     a, b = digest2(normal(F.col("line")))
-    lines = lines.select("id", "host", "k1", "k2", a.alias("a_"), b.alias("b_"), F.size(words_of(F.col("line"))).alias("w"))
+    lines = lines.select("id", "host", "k1", "k2", "no", a.alias("a_"), b.alias("b_"), F.size(words_of(F.col("line"))).alias("w"))
     gone = lines.join(often, F.col("host").eqNullSafe(F.col("h_")) & (F.col("a_") == F.col("a")) & (F.col("b_") == F.col("b")))
     keys = ["id", "host", "k1", "k2"]
-    removed = gone.groupBy(*keys).agg(F.sum("w").alias("w"))
+    removed = gone.groupBy(*keys).agg(F.sum("w").alias("w"), F.collect_set("no").alias("removed_lines"))
     copies = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     facts = _same(removed, copies, keys).select(*[F.col(k).alias(f"_{k}") for k in keys],
-                                                (F.col("w") / F.col("copies")).cast("long").alias("_w"))
-    out = base.join(facts, _equal(keys), "left").select(*base.columns, F.coalesce("_w", F.lit(0).cast("long")).alias("n_removed_words"))
+                                                (F.col("w") / F.col("copies")).cast("long").alias("_w"), "removed_lines")
+    out = base.join(facts, _equal(keys), "left").select(*base.columns, F.coalesce("_w", F.lit(0).cast("long")).alias("n_removed_words"), "removed_lines")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed_words") <= max_removed_pct * F.col("n_words")))
@@ -120,11 +127,28 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, _equal(keys)).drop(*[f"_{k}" for k in keys])
 
 
-def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The documents that pass, with all their columns. They are dealt by their key
-    and meet the keys of the rejected ones there, at every size alike."""
+def without_lines(text: Column, numbers: Column) -> Column:
+    """The text without the lines of these numbers; the others keep their order."""
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
+    # a one-element transform binds the lines to a name, so that they are made once
+    return F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")), F.lit(0))
+
+
+def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str | None = None, **limits) -> DataFrame:
+    """The documents that pass, with all their columns, and without the lines above the
+    limits; the column ``n_chars`` follows the texts that change. Documents are dealt by
+    their key and meet the rejected keys and the lines to remove there, at every size alike."""
     from ..session import written
-    bad = written(judge(docs, id, text, host, **limits).filter(~F.col("kept")).select("id", "host", "k1", "k2").distinct())
+    keys = ["id", "host", "k1", "k2"]
+    found = judged(docs, id, text, host, **limits).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
+    found = written(found.select(*keys, "kept", "removed_lines").dropDuplicates(keys))
     k1, k2 = digest2(F.col(text))
     packed = docs.select(F.struct("*").alias("row"), F.col(id).alias("_id"), F.col(host).alias("_host"), k1.alias("_k1"), k2.alias("_k2"))
-    return packed.join(bad.hint("shuffle_hash"), _equal(["id", "host", "k1", "k2"]), "left_anti").select("row.*")
+    met = packed.join(found.hint("shuffle_hash"), _equal(keys), "left").filter(F.coalesce("kept", F.lit(True)))
+    changed, new = F.col("removed_lines").isNotNull(), without_lines(F.col("row")[text], F.col("removed_lines"))
+    met = met.select("row", changed.alias("changed"), F.when(changed, new).otherwise(F.col("row")[text]).alias("new"))
+    follow = {text: F.col("new")}
+    if n_chars:
+        follow[n_chars] = F.when(F.col("changed"), F.length("new")).otherwise(F.col("row")[n_chars]).cast(docs.schema[n_chars].dataType)
+    return met.select(*[follow.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
