@@ -206,6 +206,23 @@ def test_suffix_odd_rows(spark, odd):
     assert suffix_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_suffix_equal_rows_in_two_partitions(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(3)
+    passage, other = ("".join(rng.choice("abcdefg ") for _ in range(400)) for _ in range(2))
+    docs = [(1, passage), (2, "x" + passage + other), (3, other)]
+    df = spark.createDataFrame([*docs, docs[0], docs[1]], "doc_id long, text string").repartition(5)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = suffix_dedup.deduplicated(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = brute_repeats(docs)
+    assert len(got) == 5 and all((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == want[r.id] for r in got)
+
+
 def test_deep_shallow_order():
     rng = random.Random(5)
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))).encode() for _ in range(300)]

@@ -25,7 +25,8 @@ their UTF-8 bytes; matches end with the document.
 Only real bytes decide (hashes only route), so the result is exact.
 
 Defined cases: a NULL text is empty; documents with equal ids are ordered by their
-text's digests; rows equal in id and text are one document and get equal results;
+text's digests; rows equal in id and text are one document, in whatever batches and
+partitions they lie (their anchors collapse before the sort), and get equal results;
 NULL ids come first; an empty table gives an empty result; other columns are left
 out; long texts are worked on in pieces of ``PIECE`` windows.
 """
@@ -299,9 +300,13 @@ def repeats(rows: DataFrame, tasks: int) -> DataFrame:
             return
         t = pa.Table.from_batches(parts)
         place, begin, end, k2, k1, id = (t[c].to_numpy() for c in ("place", "begin", "end", "k2", "k1", "id"))
-        rank = np.empty(len(t), np.int64)
-        rank[np.lexsort((place, k2, k1, id))] = np.arange(len(t))
-        marked = repeated_windows(t["context"].to_pylist(), place - begin, place - (end - LENGTH), rank)
+        # rows equal in all of these are one anchor of one document, sent by several batches
+        order = np.lexsort((end, begin, place, k2, k1, id))
+        ordered = np.stack([c[order] for c in (id, k1, k2, place, begin, end)])
+        once = order[np.r_[True, (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)]]
+        place, begin, end, k2, k1, id = (c[once] for c in (place, begin, end, k2, k1, id))
+        held = t["context"].take(pa.array(once)).to_pylist()
+        marked = repeated_windows(held, place - begin, place - (end - LENGTH), np.arange(len(once)))
         who, start, stop = ranges_of(marked, place)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id[who], k1[who], k2[who], start, stop)], names=names)
     known = rows.filter(F.col("context").isNull()).select(*KEY, F.col("begin").alias("start"), "end")
