@@ -369,6 +369,25 @@ def test_url_model_learns(spark):
     assert np.mean([(r.score > 0) == bool(r.label) for r in held]) > 0.95
 
 
+def test_url_rates_and_sample(spark):
+    # one repeated url fills a sample of rows; rates count all labelled urls
+    data = [("http://a.org/good/x", 0)] * 200 + [("http://b.org/bad/x", 1)] * 200
+    data += [(f"http://h{i}.t{i % 7}/s{i}/{'9' * (30 * (i % 2) + 1)}", i % 2) for i in range(300)]
+    df = url_filter.with_parts(spark.createDataFrame(data, "url string, label int"), "url")
+    first = df.filter("label = 1").orderBy(url_filter.F.xxhash64("url")).first().url  # of the smallest hash
+    df = df.unionByName(url_filter.with_parts(spark.createDataFrame([(first, 1)] * 100, "url string, label int"), "url"))
+    model = url_filter.train(df, sample=60)
+    assert model.expression is not None
+    rates = {by: {r[by]: r[out] for r in table.collect()} for by, table, out in model.facts}
+    want = {}
+    for r in df.select("path", "label").collect():
+        n = want.setdefault(r.path.split("/")[1], [1, 2])
+        n[0], n[1] = n[0] + r.label, n[1] + 1
+    assert rates["section"] == {k: a / b for k, (a, b) in want.items()} and len(want) == 302 and len(rates["suffix"]) == 8
+    got = model.score(df).collect()
+    assert np.mean([(r.score > 0) == bool(r.label) for r in got]) > 0.95
+
+
 def test_entropy(spark):
     texts = ["", "aaaa", "abab", "aab\U0001F600"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(url_filter.entropy(url_filter.F.col("t"))).collect()]
