@@ -66,6 +66,15 @@ def test_boilerplate_lines_are_gone(spark):
     assert len(out) == 33 and got == {50: (docs[31][1], 5), 52: (docs[33][1], 5)}
 
 
+def test_shared_longest_line_is_counted(spark):
+    notice = " ".join(f"notice{j}" for j in range(60))
+    docs = [(i, f"{notice}\nown short line {i}", "h") for i in range(40)]
+    docs += [(100, docs[0][1], "h")] + [(200 + i, " ".join(f"c{j}" for j in range(60)), "h") for i in range(20)]  # copies
+    out = {r.id: r for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all(out[i].n_removed_words == 60 and not out[i].kept for i in [*range(40), 100])
+    assert all(out[200 + i].n_removed_words == 0 and out[200 + i].kept for i in range(20))
+
+
 def brute_components(fps, k):
     ids = sorted(fps, key=lambda i: (i is None, i))
     root = {i: i for i in ids}

@@ -27,7 +27,7 @@ def oracles() -> dict[str, str]:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+    return quality_rules.judge(table(spark, sf_dir, "documents"), identity="longest_line").select(  # as its SQL
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "n_removed_words", "kept")
 
