@@ -144,6 +144,15 @@ def test_decontamination_query(spark, rows):
     assert got == want
 
 
+def test_items_without_blanks(spark):
+    item = "".join(chr(0x4E00 + i * 7) for i in range(60))  # one run of letters
+    bench = spark.createDataFrame([(1, item), (2, item[:20]), (3, "too short an item"), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"abc {item} def"), (2, "abc" + item[:30] + "x" + item[31:]), (3, item[:20])], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect()} == {(1, 1, 0), (2, 1, 1)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [3]
+    assert decontaminate.left_out(bench) == 3 and decontaminate.left_out(bench.limit(0)) == 0
+
+
 # --- substring dedup -----------------------------------------------------------
 
 def test_line_dedup_matches_sql(spark):

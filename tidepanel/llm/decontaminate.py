@@ -14,7 +14,9 @@ over all documents. Documents are never shuffled, so no key can be hot; a task
 holds one Arrow batch.
 
 Defined cases: NULL or wordless texts match nothing; an item with fewer than
-``min_words`` words cannot tell a leak from common speech and matches nothing;
+``min_words`` words and fewer than ``MIN_CHARS`` normalised characters cannot tell a leak
+from common speech and matches nothing (``left_out`` counts them; a script without
+blanks has few words, so its items are judged by their characters);
 equal items are all reported; equal documents get equal rows; empty tables on either
 side give no match; offsets are code points of the original text, end exclusive;
 other columns are carried along by ``clean_documents`` and never read.
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 1_000_000
 ERROR_RATE = 0.07
 MIN_WORDS = 8
+#: Items of so many normalised characters are looked for, however few words they have.
+MIN_CHARS = 40
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -157,12 +161,24 @@ class Matcher:
         return best
 
 
+def too_short(t: str, min_words: int) -> bool:
+    return not t or t.count(" ") + 1 < min_words and len(t) < MIN_CHARS
+
+
+def left_out(benchmark: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> int:
+    """The number of items that are too short to be looked for."""
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(too_short(normal(t.as_py()), min_words) for t in rb.column(0))], pa.int64())], names=["n"])
+    return benchmark.select(F.col(text).alias("text")).mapInArrow(batches, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def blocks_of(benchmark: DataFrame, id: str, text: str, min_words: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The normalised items, block by block; the driver holds one block at a time."""
     block, size = [], 0
     for row in benchmark.select(F.col(id).cast("long"), F.col(text)).toLocalIterator():
         t = normal(row[1])
-        if t.count(" ") + 1 < min_words:
+        if too_short(t, min_words):
             continue
         if block and size + len(t) > block_chars:
             yield block
