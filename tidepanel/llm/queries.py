@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash, suffix_dedup, token_files, url_filter, warc
+from . import bpe, decontaminate, heap_kmeans, jaccard_join, line_dedup, merkle, quality_rules, secrets, simhash, suffix_dedup, token_files, url_filter, warc
 from .base import table
 from .sql import ORACLES
 
@@ -91,3 +91,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0  # the contract's tampering; a NULL id is left as it is
+    one_more = F.when(altered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), claims={"n_chars": one_more}).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), size=3, similarity=(9, 10)).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_kmeans.clustered(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -38,3 +38,69 @@ x AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS g,
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_units, coalesce(g, 0)::BIGINT AS n_removed, coalesce(s, '') AS removed_spans, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN x USING (r)
 """
+
+_FIELDS = "concat(" + ", ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE crc0 AS (SELECT range AS i, list_reduce(list_prepend(range::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256)),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM crc0),
+d AS (SELECT row_number() OVER () AS r, *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: xor(a >> 8, list_extract(tab, (xor(a, b) & 255) + 1)))) % 7 = 0 AS altered FROM documents, crc),
+leaf0 AS (SELECT r, doc_id, coalesce('+' || lang, '') AS g, sha256(LEAF) AS leaf, sha256(CLAIM) AS claim FROM d),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaf0),
+t AS (SELECT 0 AS lv, g, i, n, leaf AS h FROM leaf
+ UNION ALL SELECT lv + 1, g, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lv, g, i // 2),
+sub AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS m FROM t WHERE n = 1),
+u AS (SELECT 0 AS lv, k AS i, m AS n, subroot AS h FROM sub
+ UNION ALL SELECT lv + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lv, i // 2),
+steps AS (SELECT l.r, t.lv, (l.i >> t.lv) & 1 AS slot, s.h AS sib FROM leaf l JOIN t ON t.g = l.g AND t.i = l.i >> t.lv AND t.n > 1
+  LEFT JOIN t s ON s.g = t.g AND s.lv = t.lv AND s.i = xor(t.i, 1)
+ UNION ALL SELECT l.r, 1000 + u.lv, (sub.k >> u.lv) & 1, s.h FROM leaf l JOIN sub USING (g) JOIN u ON u.i = sub.k >> u.lv AND u.n > 1
+  LEFT JOIN u s ON s.lv = u.lv AND s.i = xor(u.i, 1)),
+path AS (SELECT r, sha256(coalesce(string_agg(sib, '' ORDER BY lv), '')) AS proof_sha256, list({'slot': slot, 'sib': coalesce(sib, '')} ORDER BY lv) AS p FROM steps GROUP BY r),
+fold AS (SELECT r, claim AS h, 1 AS pos, p FROM leaf LEFT JOIN path USING (r)
+ UNION ALL SELECT r, CASE WHEN p[pos].slot = 0 THEN sha256(h || p[pos].sib) ELSE sha256(p[pos].sib || h) END, pos + 1, p FROM fold WHERE pos <= len(p)),
+ends AS (SELECT r, h AS folded_root FROM fold WHERE pos > coalesce(len(p), 0)),
+top AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf JOIN sub USING (g) JOIN ends USING (r) LEFT JOIN path USING (r), top
+""".replace("LEAF", _FIELDS.format(n="n_chars")).replace("CLAIM", _FIELDS.format(n="(n_chars::HUGEINT + coalesce(altered, false)::INT)"))
+
+ORACLES["op12_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS sh FROM d),
+node AS (SELECT row_number() OVER () AS v, sh, min(doc_id) AS low, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+tok AS (SELECT v, n, unnest(sh) AS x FROM node),
+link AS (SELECT a.v AS a, b.v AS b FROM tok a JOIN tok b ON a.x = b.x AND a.v < b.v AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.v, b.v, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS v, b AS o FROM two UNION SELECT v, b FROM reach JOIN two ON o = a),
+comp AS (SELECT v, least(any_value(node.low), min(o.low)) AS c FROM reach JOIN node USING (v) JOIN node o ON o.v = reach.o GROUP BY v)
+SELECT doc_id, len(s.sh)::BIGINT AS n_shingles, CASE WHEN len(s.sh) = 0 THEN doc_id ELSE coalesce(c, low) END AS component_id
+FROM s LEFT JOIN node ON s.sh = node.sh LEFT JOIN comp USING (v)
+"""
+
+
+def _rounds(rounds: int) -> str:
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""d{i} AS MATERIALIZED (SELECT r, c, dist FROM (SELECT r, c, dist, row_number() OVER (PARTITION BY r ORDER BY dist, c) AS k
+ FROM (SELECT r, c, list_sum(list_transform(list_zip(v.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM v, c{i} m) x) y WHERE k = 1)""")
+        if i < rounds:
+            out.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(any_value(n.v), any_value(o.v)) AS v FROM c{i} o LEFT JOIN
+ (SELECT c, list(q ORDER BY pos) AS v FROM (SELECT c, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS q
+  FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM d{i} JOIN v USING (r)) e GROUP BY c, pos) f GROUP BY c) n USING (c) GROUP BY c)""")
+    return ",\n".join(out)
+
+
+ORACLES["op13_centroid_clustering"] = r"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 40) x),
+ROUNDS,
+inertia AS (SELECT c, sum(dist)::BIGINT AS s FROM d5 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, dist AS distance, s AS cluster_inertia, (SELECT sum(dist)::BIGINT FROM d5) AS inertia,
+ sha256(array_to_string(c5.v, ',')) AS centroid_sha256 FROM d5 JOIN v USING (r) JOIN inertia USING (c) JOIN c5 USING (c)
+""".replace("ROUNDS", _rounds(5))
