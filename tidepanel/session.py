@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,15 +70,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark's setting that drops a query's shuffle files as soon as the query ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For queries whose result is stored: nothing reads their shuffles again."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing a table to the shared folder and reading it
     back. Survives the loss of executors, unlike cached blocks."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """As ``written``, dealt by the column: later joins on it leave these rows where they
+    are. The session's catalog keeps the table's (unique) name."""
+    spark = df.sparkSession
+    name = f"dealt_{uuid.uuid4().hex}"
+    with freeing_shuffles(spark):
+        df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def measured(df: DataFrame) -> tuple[DataFrame, int]:
     """The written table and its number of rows, read from the file footers."""
     table = written(df)
