@@ -119,8 +119,11 @@ def test_decontamination_brute(spark, rows):
         docs.append((n, t, "clash"))
     docs += [(100, None, ""), (101, "", ""), docs[1]]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([*items, (50, None), (51, "too short an item")], "item_id long, text string")
-    want = set()
+    short = "Who wrote the poem of the sea?"
+    docs += [(102, f"He asked: who WROTE the poem, of the sea", ""), (103, "who wrote the poem of the seaside", ""), (104, "who wrote a poem of the sea", "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([*items, (50, None), (51, "yes"), (52, short)], "item_id long, text string")
+    want = {(102, 52, 0)}
     for d, t, _ in docs:
         for i, x in items:
             p, s = decontaminate.normal(x), decontaminate.normal(t)
@@ -150,7 +153,7 @@ def test_items_without_blanks(spark):
     docs = spark.createDataFrame([(1, f"abc {item} def"), (2, "abc" + item[:30] + "x" + item[31:]), (3, item[:20])], "doc_id long, text string")
     assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect()} == {(1, 1, 0), (2, 1, 1)}
     assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [3]
-    assert decontaminate.left_out(bench) == 3 and decontaminate.left_out(bench.limit(0)) == 0
+    assert decontaminate.left_out(bench) == 2 and decontaminate.left_out(bench.limit(0)) == 0
 
 
 # --- substring dedup -----------------------------------------------------------
@@ -248,28 +251,6 @@ def test_deep_shallow_order():
 
 # --- near copies ---------------------------------------------------------------
 
-def brute_groups(texts, similarity=0.8):
-    """The smallest id of each group: equal texts, or texts of one class of word
-    fingerprints (linked at 7 bits) that share enough shingles."""
-    from .test_text_operators import brute_components
-    prints = {i: simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 1))) for i, t in texts.items()}
-    classes = brute_components(prints, 7)
-    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := (t or "").lower().split())}
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-    ids = sorted(texts)
-    for x, i in enumerate(ids):
-        for j in ids[:x]:
-            if texts[i] == texts[j] or classes[i] == classes[j] and i in sets and j in sets and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return {find(i) for i in ids}
-
-
 @pytest.mark.parametrize("block", [400_000, 150])
 def test_near_copies(spark, monkeypatch, block):
     monkeypatch.setattr(near_documents, "BLOCK_SHINGLES", block)
@@ -287,14 +268,15 @@ def test_near_copies(spark, monkeypatch, block):
     texts |= {n: None, n + 1: "", n + 2: "short one", n + 3: "short one", n + 4: None}
     df = spark.createDataFrame([(i, t, "c", i) for i, t in texts.items()] + [(0, texts[0], "c", 0)], "doc_id long, text string, id string, fp long")
     out = near_documents.kept_documents(df)
-    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(brute_groups(texts))
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(all_pairs(texts)[0])
     assert near_documents.kept_documents(df.limit(0)).count() == 0
 
 
 def all_pairs(texts, similarity=0.8):
-    """The smallest id of each group of all pairs at the similarity or above, and the pairs."""
-    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := t.lower().split())}
+    """The smallest id of each group of equal texts and of all pairs at the similarity or above, and these pairs."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := (t or "").lower().split())}
     pairs = [(i, j) for j in sets for i in sets if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    pairs += [(i, j) for j in texts for i in texts if i < j and i not in sets and texts[i] == texts[j]]
     root = {i: i for i in texts}
     for _ in texts:
         for i, j in pairs:
@@ -324,7 +306,7 @@ def test_near_copies_by_blocks(spark, monkeypatch, per_task):
     texts = block_edits()
     want, pairs = all_pairs(texts)
     prints = {i: simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 1))) for i, t in texts.items()}
-    assert sum((prints[i] ^ prints[j]).bit_count() > 7 for i, j in pairs) >= 10 and want < brute_groups(texts)
+    assert sum((prints[i] ^ prints[j]).bit_count() > 7 for i, j in pairs) >= 10
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in near_documents.kept_documents(df).collect()) == sorted(want)
 
@@ -388,15 +370,51 @@ def test_url_rates_and_sample(spark):
     model = url_filter.train(df, sample=60)
     assert model.expression is not None
     rates = {by: {r[by]: r[out] for r in table.collect()} for by, table, out in model.facts}
-    want = {}
+    want, rows = {}, url_filter.PRIOR_ROWS
     for r in df.select("path", "label").collect():
-        n = want.setdefault(r.path.split("/")[1], [1, 2])
+        n = want.setdefault(r.path.split("/")[1], [rows * model.prior, rows])
         n[0], n[1] = n[0] + r.label, n[1] + 1
-    assert rates["section"] == {k: a / b for k, (a, b) in want.items()} and len(want) == 302 and len(rates["suffix"]) == 8
+    assert len(want) == 302 and len(rates["suffix"]) == 8 and rates["section"].keys() == want.keys()
+    assert all(abs(rates["section"][k] - a / b) < 1e-12 for k, (a, b) in want.items())
     got = model.score(df).collect()
     assert np.mean([(r.score > 0) == bool(r.label) for r in got]) > 0.95
 
 
+def labelled_urls(n=2400, hosts=60):
+    """Blocked urls have long digit tails or a section that is blocked on many hosts; every host has both kinds."""
+    rng = random.Random(8)
+    for i in range(n):
+        bad = rng.random() < 0.4
+        host = f"{'abcdefgh'[i % 8]}{i % hosts}.{rng.choice(['org', 'info'])}"
+        digits = "".join(rng.choice("0123456789-") for _ in range(rng.randint(25, 40)))
+        tail = (digits if rng.random() < 0.7 else "promo/x") if bad else "/".join(rng.choice(["news", "about", "team"]) for _ in range(2))
+        yield i, f"http://{host}/{tail}", int(bad), f"{i % hosts}"
+
+
+def test_url_model_on_held_out_hosts(spark):
+    """Learned on some hosts, judged on others; the SQL text equals the fitted model."""
+    df = url_filter.with_parts(spark.createDataFrame(list(labelled_urls()), "page_id long, url string, label int, number string"), "url")
+    model = url_filter.train(df.filter("int(number) % 3 > 0"))
+    held = model.score(df.filter("int(number) % 3 = 0")).collect()
+    right = [(r.score > 0) == bool(r.label) for r in held]
+    assert np.mean(right) > 0.95 and np.mean([ok for ok, r in zip(right, held) if not r.label]) > 0.98
+    fitted, data = model.fitted
+    scored = fitted.transform(data).select("rawPrediction", "prediction", url_filter.F.expr(model.expression).alias("score")).collect()
+    assert len(scored) == 1600 and all(abs(r.rawPrediction[1] - 2 * r.score) < 1e-9 and r.prediction == (r.score > 0) for r in scored)
+
+
+def test_rules_are_not_repeated(spark):
+    """Urls of a suffix that is blocked by rules only in part are not all blocked, and clashing names are kept."""
+    rng = random.Random(3)
+    data = [(i, f"http://site{rng.randrange(300)}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/p{rng.randrange(10**6)}", "a", "b", 1.0, 2.0, "c", "d") for i in range(1500)]
+    df = spark.createDataFrame(data, "page_id long, url string, suffix string, section string, score double, f_depth double, host string, verdict string")
+    got = url_filter.judge(df, RULES)
+    assert got.columns == [*df.columns, "host_", "path", "rule", "verdict_"]
+    left = [r for r in got.collect() if r.rule is None]
+    assert len(left) > 500 and np.mean([r.verdict_ == "block" for r in left]) < 0.1
+    assert all((r.suffix, r.section, r.score, r.f_depth, r.host, r.verdict) == ("a", "b", 1.0, 2.0, "c", "d") for r in left)
+
+
 def test_entropy(spark):
     texts = ["", "aaaa", "abab", "aab\U0001F600"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(url_filter.entropy(url_filter.F.col("t"))).collect()]
@@ -418,7 +436,7 @@ def test_pipeline(spark, rows):
     texts = dict(rows("documents", "doc_id, text"))
     kept = {r.doc_id: r.kept for r in run(spark, "op10_quality_rules").collect()}
     left = {i: t for i, t in texts.items() if kept[i]}
-    left = {i: left[i] for i in brute_groups(left)}
+    left = {i: left[i] for i in all_pairs(left)[0]}
     items = [decontaminate.normal(t) for _, t in rows("benchmark", "item_id, text")]
     leaked = {i for i, t in left.items() if any(x in decontaminate.normal(t) for x in items)}
     near = {r.doc_id for r in run(spark, "op2_decontaminate").collect()}

@@ -36,3 +36,11 @@ def words_of(text: Column) -> Column:
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Partitions that hold about ``per_part`` rows each; grows with the data."""
     return max(least, -(-int(rows) // per_part))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores at its end if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

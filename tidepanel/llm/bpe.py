@@ -14,7 +14,8 @@ Nothing is shuffled, so no hot word, source or group of copies meets in one task
 and memory is bounded by one Arrow batch and the kept words.
 
 Defined cases: a NULL text is an empty one and has no ids; equal rows give equal
-results; an empty table gives no rows; other columns are carried along.
+results; an empty table gives no rows; other columns are carried along, and if one has the
+name of the ids, theirs gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import free
+
 #: Parts of texts, and as many words, in one generation of what a task keeps.
 KEPT_WORDS = 400_000
 
@@ -175,25 +179,66 @@ class PartCache:
         return [b"".join(map(get, parts)) for parts in texts]
 
 
+def taken(table: pa.Array, codes: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of the table's rows with these numbers, one after another, and where each begins."""
+    got = table.take(pa.array(codes))
+    offsets = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)
+    data = got.buffers()[2]
+    return memoryview(data if data is not None else b""), offsets
+
+
 class TextCache:
-    """Ids of texts, cut at blanks. ``encode`` gets parts with their blank."""
+    """Ids of texts, cut at blanks. ``encode`` gets parts with their blank. Texts are cut, their
+    parts numbered and the ids gathered in Arrow; Python sees the distinct parts of a block."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int):
         self.encode = encode
         self.after_blank = PartCache(lambda ps: encode([" " + p for p in ps]), limit)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        wanted = set().union(*cut)
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(number of each part, first part of each text, distinct parts)."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        parts, codes = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in parts], bool)
+        if not odd.any():
+            return codes, bounds, parts
         # blanks beside other white space do not cut: such texts are cut with care
-        odd = {p for p in wanted.difference(self.after_blank.young) if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            cut = [c if odd.isdisjoint(c) else CUT.split(t) for t, c in zip(texts, cut)]
-            wanted = set().union(*cut)
-        firsts = self.encode([c[0] for c in cut])
-        self.after_blank.learn(wanted)
-        get = self.after_blank.young.__getitem__
-        return [a + b"".join(map(get, c[1:])) for a, c in zip(firsts, cut)]
+        number = {p: i for i, p in enumerate(parts)}
+        careful = np.add.reduceat(odd[codes], bounds[:-1]) > 0
+        out = []
+        for k, c in enumerate(careful.tolist()):
+            mine = codes[bounds[k]:bounds[k + 1]]
+            out.append(np.array([number.setdefault(p, len(number)) for p in CUT.split(texts[k])], codes.dtype) if c else mine)
+        return np.concatenate(out), np.r_[0, np.cumsum([len(c) for c in out])], list(number)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as 32-bit numbers."""
+        if not texts:
+            return []
+        codes, bounds, parts = self._cut(texts)
+        firsts = bounds[:-1]
+        used = np.zeros(len(parts), bool)
+        rest = np.ones(len(codes), bool)
+        rest[firsts] = False
+        used[codes[rest]] = True
+        self.after_blank.learn({parts[i] for i in np.flatnonzero(used).tolist()})
+        young = self.after_blank.young
+        table = [young[p] if u else b"" for p, u in zip(parts, used.tolist())]
+        heads = self.encode([parts[i] for i in codes[firsts].tolist()])
+        codes = codes.astype(np.int64)
+        codes[firsts] = len(parts) + np.arange(len(texts))
+        data, at = taken(pa.array(table + heads, pa.large_binary()), codes)
+        flat, ends = np.frombuffer(data, "<u4", int(at[-1]) // 4), (at[bounds] // 4).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+# Patterns of which no piece reaches over a blank inside a text, so that texts
+# may be cut there. Texts of other patterns are split whole.
+CUT_AT_BLANKS = {
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+}
 
 
 class Codec:
@@ -201,29 +246,46 @@ class Codec:
 
     def __init__(self, lines: list[str], pattern: str):
         self.replay = MergeReplay(parse_ranks(lines))
-        split = regex.compile(pattern).findall
+        split = regex.compile(pattern)
         self.words = PartCache(lambda ws: as_bytes(self.replay.encode([w.encode("utf-8", "replace") for w in ws])), KEPT_WORDS)
-        self.parts = TextCache(lambda parts: self.words.ids([split(p) for p in parts]), KEPT_WORDS)
+
+        def ids(texts: list[str]) -> list[bytes]:
+            return self.words.ids([[m[0] for m in split.finditer(t)] for t in texts] if split.groups else list(map(split.findall, texts)))
+        self.parts = TextCache(ids, KEPT_WORDS) if pattern in CUT_AT_BLANKS else None
+        self.whole = ids
+        top = max(self.replay.bytes_of, default=-1) + 1
+        self.bytes_table = pa.array([self.replay.bytes_of.get(i, b"") for i in range(top)], pa.large_binary())
+        self.decimal_table = pa.array([b"%d " % i for i in range(top)], pa.large_binary())
 
     def forget(self) -> None:
         """An idle worker holds the vocabulary only."""
-        for cache in (self.words, self.parts.after_blank):
+        for cache in (self.words, *([self.parts.after_blank] if self.parts else [])):
             cache.young, cache.old = {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        return [np.frombuffer(b, "<u4") for b in self.parts.ids(texts)]
+        return self.parts.ids(texts) if self.parts else [np.frombuffer(b, "<u4") for b in self.whole(texts)]
+
+    def decode(self, ids: np.ndarray) -> memoryview:
+        data, at = taken(self.bytes_table, ids)
+        return data[:int(at[-1])]
+
+    def decimals(self, ids: np.ndarray) -> memoryview:
+        """The ids as decimal numbers, joined by one blank."""
+        data, at = taken(self.decimal_table, ids)
+        return data[:max(0, int(at[-1]) - 1)]
+
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.replay.bytes_of.__getitem__, ids))
+_CODECS: dict[tuple[str, str], Codec] = {}
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+def digest_of(lines: list[str]) -> str:
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
-def _codec(lines: list[str], pattern: str) -> Codec:
-    """One codec per worker process."""
-    key = (hash(tuple(lines[:1] + lines[-1:])) ^ len(lines), pattern)
+def _codec(lines: list[str], digest: str, pattern: str) -> Codec:
+    """One codec per worker process and vocabulary; ``digest`` is that of all lines."""
+    key = (digest, pattern)
     if key not in _CODECS:
         _CODECS[key] = Codec(lines, pattern)
     return _CODECS[key]
@@ -242,11 +304,12 @@ def blocks(rb: pa.RecordBatch, column: int, chars: int = 4_000_000) -> Iterator[
 
 def encoded(docs: DataFrame, lines: list[str], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the array of ids of each text to the rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(lines)
+    ids = free(docs, ids)
+    shared, digest = docs.sparkSession.sparkContext.broadcast(lines), digest_of(lines)
     at = docs.columns.index(text)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, digest, pattern)
         for rb in rows:
             for part, texts in blocks(rb, at):
                 got = codec.encode(texts)
@@ -261,18 +324,17 @@ def encoded(docs: DataFrame, lines: list[str], pattern: str, text: str = "text",
 
 def round_trip(docs: DataFrame, lines: list[str], pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens, and digests of the ids and of the bytes decoded from them."""
-    shared = docs.sparkSession.sparkContext.broadcast(lines)
+    shared, digest = docs.sparkSession.sparkContext.broadcast(lines), digest_of(lines)
     src = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        decimal = {i: str(i) for i in codec.replay.bytes_of}
+        codec = _codec(shared.value, digest, pattern)
         for rb in rows:
             for part, texts in blocks(rb, 1):
                 n, by_ids, by_bytes = [], [], []
-                for ids in map(np.ndarray.tolist, codec.encode(texts)):
+                for ids in codec.encode(texts):
                     n.append(len(ids))
-                    by_ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    by_ids.append(hashlib.sha256(codec.decimals(ids)).hexdigest())
                     by_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())],
                                                  names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])

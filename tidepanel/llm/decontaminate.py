@@ -14,9 +14,10 @@ over all documents. Documents are never shuffled, so no key can be hot; a task
 holds one Arrow batch.
 
 Defined cases: NULL or wordless texts match nothing; an item with fewer than
-``min_words`` words and fewer than ``MIN_CHARS`` normalised characters cannot tell a leak
-from common speech and matches nothing (``left_out`` counts them; a script without
-blanks has few words, so its items are judged by their characters);
+``min_words`` words and fewer than ``MIN_CHARS`` normalised characters is common speech if it
+is changed a little, so it is matched exactly, between the borders of words (a script without
+blanks has few words, so its items are judged by their characters too); of one or two such
+words nothing can be told, these match nothing (``left_out`` counts them);
 equal items are all reported; equal documents get equal rows; empty tables on either
 side give no match; offsets are code points of the original text, end exclusive;
 other columns are carried along by ``clean_documents`` and never read.
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 1_000_000
 ERROR_RATE = 0.07
 MIN_WORDS = 8
+#: Items of fewer words, and fewer characters than ``MIN_CHARS``, are not looked for.
+LEAST_WORDS = 3
 #: Items of so many normalised characters are looked for, however few words they have.
 MIN_CHARS = 40
 
@@ -105,6 +108,7 @@ class Item:
     id: int
     text: str
     k: int
+    whole: bool = False  # matches between the borders of words only
 
     def __post_init__(self):
         self.forward, self.backward = Myers(self.text), Myers(self.text[::-1])
@@ -113,8 +117,8 @@ class Item:
 class Matcher:
     """Finds all items of one block in a normalised text."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [Item(i, t, int(len(t) * error_rate)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_words: int = 0):
+        self.items = [Item(i, t, 0, True) if short(t, min_words) else Item(i, t, int(len(t) * error_rate)) for i, t in items]
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, it in enumerate(self.items):
             for a, b in cuts(len(it.text), it.k + 1):
@@ -143,8 +147,10 @@ class Matcher:
     def _closest(it: Item, text: str, starts: list[int]) -> tuple[int, int, int] | None:
         m = len(it.text)
         for s in starts:
-            if s >= 0 and text.startswith(it.text, s):
+            if s >= 0 and text.startswith(it.text, s) and not (it.whole and (text[s - 1:s].strip() or text[s + m:s + m + 1].strip())):
                 return 0, s, s + m
+        if it.whole:
+            return None
         best, lo = None, 0
         while lo < len(starts):
             hi = lo  # places closer than 2 k share a window
@@ -161,8 +167,13 @@ class Matcher:
         return best
 
 
+def short(t: str, min_words: int) -> bool:
+    """Too short to be found with errors."""
+    return t.count(" ") + 1 < min_words and len(t) < MIN_CHARS
+
+
 def too_short(t: str, min_words: int) -> bool:
-    return not t or t.count(" ") + 1 < min_words and len(t) < MIN_CHARS
+    return not t or short(t, min(min_words, LEAST_WORDS))
 
 
 def left_out(benchmark: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> int:
@@ -192,7 +203,8 @@ def blocks_of(benchmark: DataFrame, id: str, text: str, min_words: int, block_ch
 def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
             error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end) for each document and item that it
-    holds within the item's error budget; the closest place of each."""
+    holds within the item's error budget: one row for each, with its closest place (of
+    equally close ones the first); further places of the same item have no row."""
     src = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     schema = f"doc_id {src.schema['id'].dataType.simpleString()}, item_id long, distance long, start long, end long"
     spark, out = docs.sparkSession, None
@@ -200,7 +212,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
         shared = spark.sparkContext.broadcast(block)
 
         def batches(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = Matcher(shared.value, error_rate, min_words)
             for rb in rows:
                 at, found = [], []
                 for k, t in enumerate(rb.column(1)):
@@ -223,7 +235,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def batches(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = Matcher(shared.value, error_rate, min_words)
             for rb in rows:
                 yield rb.filter(pa.array([not matcher.find(normal(t.as_py())) for t in rb.column(at)], pa.bool_()))
         docs = docs.mapInArrow(batches, docs.schema)

@@ -1,23 +1,23 @@
 """N-gram Jaccard join over a token-group matrix.
 
 A document's set holds its distinct word shingles (as 64-bit hashes). Equal sets collapse
-to one node. Nodes are dealt into groups of similar sets: two minimum hashes name a group, and a
-group of more than ``LIMIT`` shingles is cut into groups by the digest of the set. A group stores the
-union of its members' tokens. A query can reach the threshold with a member only if the union
-holds enough of the query's tokens; that bound is taken for each query and group that meet, and
-only groups that pass are opened and their members compared exactly.
-
-Which queries and groups meet follows from the pigeonhole principle, so nothing that links is
+to one node. The matrix has a row for each part of a node's set (below); nodes that share a part,
+over any number of steps, are a class of similar sets, and a class is a group, or several of
+at most about ``LIMIT`` shingles. A group stores the union of its members' tokens. A query can reach the
+threshold with a member only if the union holds enough of the query's tokens; that bound is taken
+for each query and group that meet, and only groups that pass are opened and their members
+compared exactly.
+
+Which sets meet at all follows from the pigeonhole principle, so nothing that links is
 left out. Sets of sizes a and b at or above the similarity p/q differ in at most
 (a + b)(q - p) / (q + p) tokens. Tokens are dealt by hash into more parts than that, so some part is
-equal in both. The matrix has a row for each part (place and tokens) and group with a member that has
-it. Sizes fall into classes that grow by ``STEP`` and fix the number of parts; a
+equal in both, at the same place with the same tokens. Sizes fall into classes that grow by ``STEP`` and fix the number of parts; a
 set near the lower end of its class also asks in the classes below. One spare part allows for a part
 without tokens; sets with more empty parts than that list the empty ones as well.
 
 Most documents share no part with another one and go no further. The others meet groups in two
-rounds: first their own group and, for each part, the group with the smallest number that has
-it, which joins groups of copies; then only the groups that hold a part in common with
+rounds: first their own group and the first group of their class, which joins groups of copies; then only
+those groups that hold a part in common with
 nodes of another component. A group names its members' components, so a query reports one link
 for each of them, not all pairs. Queries that meet a group are dealt in slices of ``LIMIT`` shingles.
 
@@ -121,52 +121,50 @@ def profiles(docs: DataFrame, id: str, text: str, size: int, p: int, q: int) ->
 # --- the matrix ------------------------------------------------------------------
 
 def shared_parts(nodes: DataFrame, buckets: int) -> DataFrame:
-    """(part, node, g): the parts that lie in two nodes at least. Parts are dealt by
-    their key as packed bytes. Nodes of groups that were cut are many and alike: their parts
-    are reduced to one mark each before they are dealt, and always go on."""
+    """(part, node): the parts that lie in two nodes at least. Parts are dealt by
+    their key as packed bytes. Nodes with a frequent pair of minimum hashes (``cut``) are many and
+    alike: their parts are reduced to one mark each before they are dealt, and always go on."""
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
-            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in rb.column(2)]
+            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in rb.column(1)]
             if not sum(map(len, found)):
                 continue
-            n = [len(f) for f in found]
             part = np.concatenate(found)
-            node, g = (np.repeat(rb.column(c).to_numpy(), n) for c in (0, 1))
+            node = np.repeat(rb.column(0).to_numpy(), [len(f) for f in found])
             bucket = (part % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             names, starts = np.unique(bucket[order], return_index=True)
             ends = [*starts[1:].tolist(), len(order)]
-            cols = [[c[order][a:b].tobytes() for a, b in zip(starts.tolist(), ends)] for c in (part, node, g)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "part", "node", "g"])
+            cols = [[c[order][a:b].tobytes() for a, b in zip(starts.tolist(), ends)] for c in (part, node)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "part", "node"])
 
     def repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[], [], []]
+        held = [[], []]
         for rb in rows:
             for h, c in zip(held, rb.columns[1:]):
                 h += c.to_pylist()
-        part, node, g = (np.frombuffer(b"".join(h), t) for h, t in zip(held, ("<u8", "<i8", "<i8")))
+        part, node = (np.frombuffer(b"".join(h), t) for h, t in zip(held, ("<u8", "<i8")))
         if not len(part):
             return
         order = np.argsort(part, kind="stable")
-        part, node, g = part[order], node[order], g[order]
+        part, node = part[order], node[order]
         new = np.r_[True, part[1:] != part[:-1]]
         many = np.diff(np.r_[np.flatnonzero(new), len(part)])
-        keep = (np.repeat(many, many) > 1) & (node >= 0)
-        for a in range(0, int(keep.sum()), 100_000):
-            at = np.flatnonzero(keep)[a:a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[at].view(np.int64)), pa.array(node[at]), pa.array(g[at])], names=["part", "node", "g"])
+        keep = np.flatnonzero((np.repeat(many, many) > 1) & (node >= 0))
+        for a in range(0, len(keep), 100_000):
+            at = keep[a:a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at].view(np.int64)), pa.array(node[at])], names=["part", "node"])
 
     def listed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in rb.column(2)]
-            n = [len(f) for f in found]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *[pa.array(np.repeat(rb.column(c).to_numpy(), n)) for c in (0, 1)]], names=["part", "node", "g"])
-    row = "part long, node long, g long"
-    cut = nodes.filter("cut").select("node", "g", "parts").mapInArrow(listed, row)
-    marks = cut.select("part").distinct().select(F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("g"), _bytes("part").alias("parts"))
-    rare = nodes.filter("NOT cut").select("node", "g", "parts").unionByName(marks)
-    found = rare.mapInArrow(packed, "bucket int, part binary, node binary, g binary").repartition(buckets, "bucket").mapInArrow(repeated, row)
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in rb.column(1)]
+            if sum(map(len, found)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(rb.column(0).to_numpy(), [len(f) for f in found]))], names=["part", "node"])
+    row = "part long, node long"
+    cut = nodes.filter("cut").select("node", "parts").mapInArrow(listed, row)
+    marks = cut.select("part").distinct().select(F.lit(-1).cast("long").alias("node"), _bytes("part").alias("parts"))
+    rare = nodes.filter("NOT cut").select("node", "parts").unionByName(marks)
+    found = rare.mapInArrow(packed, "bucket int, part binary, node binary").repartition(buckets, "bucket").mapInArrow(repeated, row)
     return found.unionByName(cut)
 
 
@@ -207,7 +205,7 @@ def member_sets(docs: DataFrame, active: DataFrame, id: str, text: str, size: in
     held = row_filter(active.select(F.xxhash64("rep", "k1").alias("k")))
     places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)).alias(f"b{i}") for i in range(2)]
     src = passing(docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("k1"), *places, F.col(text).alias("text")), held).drop("b0", "b1")
-    joined = src.join(active.select("node", "g", "rep", F.col("k1").alias("_k1"), "d1", "d2"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("k1") == F.col("_k1")))
+    joined = src.join(active.select("node", "g", "rep", F.col("k1").alias("_k1")), F.col("id").eqNullSafe(F.col("rep")) & (F.col("k1") == F.col("_k1")))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
@@ -319,26 +317,30 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     first = F.min(F.struct(F.col("id").isNull(), "id", "k1")).alias("r")
     nodes = written(all_docs.filter("n > 0").groupBy("d1", "d2").agg(first, F.first("n").alias("n"), F.first("key").alias("key"), F.first("parts").alias("parts"), F.count(F.lit(1)).alias("copies"))
                     .select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.id", "r.k1", "n", "key", "parts", "copies").withColumnRenamed("id", "rep"))
-    large = written(nodes.groupBy("key").agg(F.sum("n").alias("total")).filter(F.col("total") > LIMIT).select("key", F.ceil(F.col("total") / LIMIT).cast("int").alias("pieces")))
-    grouped = nodes.join(large, "key", "left").withColumn("cut", F.col("pieces").isNotNull())
-    grouped = grouped.withColumn("g", F.xxhash64("key", F.when(F.col("cut"), F.pmod("d1", "pieces")).otherwise(0)))
+    # sets are taken as alike, and many, if their minimum hashes are frequent
+    often = written(nodes.groupBy("key").agg(F.sum("n").alias("total")).filter(F.col("total") > LIMIT).select("key", F.lit(True).alias("often")))
+    marked = nodes.join(often, "key", "left").withColumn("cut", F.coalesce("often", F.lit(False)))
     total = nodes.agg(F.sum(F.length("parts"))).first()[0] or 0
     buckets = parts_for(total // 8, ROWS_PER_TASK, docs.sparkSession.sparkContext.defaultParallelism)
-    matrix = written(shared_parts(grouped.select("node", "g", "parts", "cut"), buckets))
-    least = matrix.groupBy("part").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
-    shared = written(matrix.join(least, "part").select("part", "node", "g", "low", "high"))
-    active = nodes.join(shared.select("node", "g").distinct(), "node")
+    matrix = written(shared_parts(marked.select("node", "parts", "cut"), buckets))
+    least = matrix.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    shared = written(matrix.join(least, "part").select("part", "node", "low"))
+    classes = written(components(shared.filter("node <> low").select("node", "low").distinct(), "node", "low"))
+    sized = nodes.select("node", "n", "rep", "k1", "d1").join(classes.withColumnRenamed("component", "class"), "node")
+    large = written(sized.groupBy("class").agg(F.sum("n").alias("total")).filter(F.col("total") > LIMIT).select("class", F.ceil(F.col("total") / LIMIT).cast("int").alias("pieces")))
+    active = written(sized.join(large, "class", "left").withColumn("block", F.when(F.col("pieces").isNotNull(), F.pmod("d1", "pieces")).otherwise(F.lit(0)).cast("int"))
+                     .withColumn("g", F.xxhash64("class", "block")).withColumn("first", F.xxhash64("class", F.lit(0))))
     sets = written(member_sets(docs, active, id, text, size))
-    meets = shared.filter("g <> low").select("node", F.col("low").alias("g"))
-    edges = written(opened(sets, written(meets.distinct()), p, q, True))
+    edges = written(opened(sets, active.filter("g <> first").select("node", F.col("first").alias("g")), p, q, True))
     named = components(edges).select("node", "component")
-    # parts that lie in three groups or more may still join nodes of different components
-    known = shared.filter("low <> high").join(named, "node", "left").select("part", "node", "g", "low", F.coalesce("component", "node").alias("c"))
-    known = written(known)
-    open_parts = known.groupBy("part").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("part")
-    left = written(known.join(open_parts, "part"))
+    # parts that lie in several groups may still join nodes of different components
+    placed = shared.select("part", "node").join(active.filter("pieces IS NOT NULL").select("node", "g", "first"), "node").join(named, "node", "left")
+    placed = written(placed.select("part", "node", "g", "first", F.coalesce("component", "node").alias("c")))
+    open_parts = placed.groupBy("part").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("g").alias("u"), F.max("g").alias("v")).filter("x <> y AND u <> v").select("part")
+    left = written(placed.join(open_parts, "part"))
     cells = left.groupBy("part", "g").agg(F.min("c").alias("x"), F.max("c").alias("y")).select("part", F.col("g").alias("to"), "x", "y")
-    more = left.join(cells, "part").filter("g < to AND to <> low AND NOT (x = c AND y = c)").select("node", F.col("to").alias("g")).distinct()
+    # of two groups one asks the other; what has met the first group need not ask it again
+    more = left.join(cells, "part").filter("g < to AND g <> first AND to <> first AND NOT (x = c AND y = c)").select("node", F.col("to").alias("g")).distinct()
     edges = edges.unionByName(opened(sets, written(more), p, q, False))
     named = components(edges)
     found = nodes.select("node", "d1", "d2", "rep", "copies").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -3,8 +3,8 @@
 Units (lines, or paragraphs at blank lines) are normalised (A-Z lowered, white space
 runs to one blank, trimmed) and hashed to 128 bits. Globally, the occurrence of a
 digest that ranks first (smallest id, then text digest, then place) is kept; all
-others are removed, with their original offsets. Units shorter than ``min_words``
-words are never removed: short lines repeat in clean text.
+others are removed, with their original offsets. Blank units are never removed; a floor
+of ``min_words`` words for the others is an option.
 
 The first occurrence of a digest is a grouped minimum, which combines before the
 shuffle, so a line that a third of all documents share is one row per task. The
@@ -13,7 +13,8 @@ on a hot digest is needed: what a document did not win, it loses.
 
 Defined cases: a NULL text has no units and stays NULL; rows equal in id and text are
 one document and keep the same units; NULL ids rank first; an empty table gives an
-empty result; all columns of the input are kept, whatever their names.
+empty result; all columns of the input are kept, whatever their names: a new column whose
+name is taken gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import digest2
+from .base import digest2, free
 
-MIN_WORDS = 8
+MIN_WORDS = 1
 
 
 def units(text: str, separator: str, min_words: int) -> Iterator[tuple[int, int, bytes | None]]:
@@ -72,9 +73,10 @@ def winners(docs: DataFrame, id: str, text: str, separator: str = "\n", min_word
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", paragraphs: bool = False, min_words: int = MIN_WORDS,
                  kept: str = "kept_text", removed: str = "removed", count: str = "n_units") -> DataFrame:
     """Adds the kept text, the removed spans (start, end; code points of the
-    original) and the number of units. Those three names must be free."""
+    original) and the number of units."""
     separator = "\n\n" if paragraphs else "\n"
     k1, k2 = digest2(F.col(text))
+    kept, removed, count = (free(docs, name) for name in (kept, removed, count))
     packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(id).alias("id"), k1.alias("k1"), k2.alias("k2"))
     won = winners(docs, id, text, separator, min_words)
     joined = packed.join(won, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("row", "text", "_won")

@@ -5,10 +5,10 @@ runs to one blank, trimmed) and hashed to 128 bits. For each host and line the
 distinct *document identities* are counted, in two partial aggregations that
 combine before they shuffle, so neither a hot host nor a hot line meets in one
 task. A document's identity is all of its normalised lines, so only copies collapse and
-do not turn their own content into boilerplate. With ``identity="longest_line"``, as in the
-SQL of ``op10``, near copies collapse as well, but so do all documents whose longest line
-is a shared one: that line counts once, however many documents have it.
-Lines above both limits are removed (``kept_documents`` returns the texts without
+do not turn their own content into boilerplate. A line is above the limits if more documents of
+the host have it than ``max_share`` of them, but ``max_docs`` at least and ``enough_docs`` at
+most, so that a line on very many pages is one in a host of any size.
+Such lines are removed (``kept_documents`` returns the texts without
 them; blank lines and all others stay as they are); a document that loses more than
 ``max_removed_pct`` percent of its words is depleted.
 
@@ -66,13 +66,10 @@ def statistics(text: Column) -> dict[str, Column]:
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"), "n_dup_lines": dup}
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 10,
-                   max_share: float = 0.005, identity: str = "text") -> DataFrame:
-    """(host, line digests) of the lines that are in more than ``max_docs``
-    documents of a host and in more than ``max_share`` of its documents."""
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 10, max_share: float = 0.005, enough_docs: int = 1000) -> DataFrame:
+    """(host, line digests) of the lines that are above the limits."""
     d = docs.select(F.col(host).alias("host"), F.transform(worded_lines(F.col(text)), normal).alias("lines"))
-    top = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
-    i1, i2 = digest2({"text": F.array_join("lines", "\n"), "longest_line": top}[identity])
+    i1, i2 = digest2(F.array_join("lines", "\n"))
     h = d.select("host", i1.alias("i1"), i2.alias("i2"), F.array_distinct(F.transform("lines", lambda x: F.struct(
         *[c.alias(n) for c, n in zip(digest2(x), ("a", "b"))]))).alias("keys"))
     # one row per host and identity first: both counts start from rows without copies
@@ -81,18 +78,18 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", ma
     hosts = (h.groupBy("host", "i1", "i2").count().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
              .withColumnRenamed("host", "host_"))
     return (seen.filter(F.col("n") > max_docs).join(hosts, F.col("host").eqNullSafe(F.col("host_")))
-            .filter(F.col("n") > F.col("n_host") * max_share).select("host", "a", "b"))
+            .filter(F.col("n") > F.least(F.greatest(F.lit(max_docs), F.col("n_host") * max_share), F.lit(enough_docs))).select("host", "a", "b"))
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50,
-          max_repeat_pct: int = 50, max_docs: int = 10, max_share: float = 0.005, max_removed_pct: int = 60, identity: str = "text") -> DataFrame:
+          max_repeat_pct: int = 50, max_docs: int = 10, max_share: float = 0.005, enough_docs: int = 1000, max_removed_pct: int = 60) -> DataFrame:
     """One row per document row: its key (id, host, k1, k2), the statistics,
     ``base_failed``, ``n_removed_words`` and ``kept``. Texts are never shuffled."""
-    return judged(docs, id, text, host, min_words, max_repeat_pct, max_docs, max_share, max_removed_pct, identity).drop("removed_lines")
+    return judged(docs, id, text, host, min_words, max_repeat_pct, max_docs, max_share, enough_docs, max_removed_pct).drop("removed_lines")
 
 
 def judged(docs: DataFrame, id: str, text: str, host: str, min_words: int = 50, max_repeat_pct: int = 50, max_docs: int = 10,
-           max_share: float = 0.005, max_removed_pct: int = 60, identity: str = "text") -> DataFrame:
+           max_share: float = 0.005, enough_docs: int = 1000, max_removed_pct: int = 60) -> DataFrame:
     """As ``judge``, with the numbers of the lines to remove (NULL if there are none)."""
     from ..session import written
     k1, k2 = digest2(F.col(text))
@@ -100,7 +97,7 @@ def judged(docs: DataFrame, id: str, text: str, host: str, min_words: int = 50,
                        *[c.alias(n) for n, c in statistics(F.col(text)).items()])
     base = base.select("id", "host", "k1", "k2", "_words.n_words", "word_chars", "n_symbols", "n_dup_lines", "_words.n_repeat_words")
     # the frequent lines are written, so that their size is known when the join is planned
-    often = written(frequent_lines(docs, text, host, max_docs, max_share, identity)).select(F.col("host").alias("h_"), "a", "b")
+    often = written(frequent_lines(docs, text, host, max_docs, max_share, enough_docs)).select(F.col("host").alias("h_"), "a", "b")
     lines = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), k1.alias("k1"), k2.alias("k2"),
                         F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "line")).filter(F.col("line").rlike(WORD_CHAR))
     a, b = digest2(normal(F.col("line")))
@@ -147,7 +144,7 @@ def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host
     found = written(found.select(*keys, "kept", "removed_lines").dropDuplicates(keys))
     k1, k2 = digest2(F.col(text))
     packed = docs.select(F.struct("*").alias("row"), F.col(id).alias("_id"), F.col(host).alias("_host"), k1.alias("_k1"), k2.alias("_k2"))
-    met = packed.join(found.hint("shuffle_hash"), _equal(keys), "left").filter(F.coalesce("kept", F.lit(True)))
+    met = packed.join(found, _equal(keys), "left").filter(F.coalesce("kept", F.lit(True)))
     changed, new = F.col("removed_lines").isNotNull(), without_lines(F.col("row")[text], F.col("removed_lines"))
     met = met.select("row", changed.alias("changed"), F.when(changed, new).otherwise(F.col("row")[text]).alias("new"))
     follow = {text: F.col("new")}

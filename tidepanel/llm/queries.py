@@ -27,7 +27,7 @@ def oracles() -> dict[str, str]:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), identity="longest_line").select(  # as its SQL
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "n_removed_words", "kept")
 
@@ -83,7 +83,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return line_dedup.deduplicated(docs).select(
-        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"),
+        "doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"),
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

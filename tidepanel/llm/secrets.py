@@ -9,7 +9,7 @@ is shuffled, so no source or group can be hot.
 
 Defined cases: a NULL or empty text has no spans; texts of any length are scanned
 whole; equal rows give equal results; an empty table gives no rows; other columns
-are carried along and never read.
+are carried along and never read; if one has the name of the spans, theirs gets an underscore.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import free
+
 # The kinds, their keywords (lower case) and expressions.
 KINDS = ["assign", "access", "hex"]
 KEYWORDS = {"assign": ["password", "passwd", "secret", "token", "apikey", "api_key"], "access": ["akia"],
@@ -89,7 +91,7 @@ def joined(spans) -> str:
 def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """Adds the array of spans of each text."""
     column = F.pandas_udf(_spans_of_batches, SPANS)
-    return docs.withColumn(out, column(F.col(text)))
+    return docs.withColumn(free(docs, out), column(F.col(text)))
 
 
 def _spans_of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,13 +10,13 @@ g AS (SELECT r, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM w
 g2 AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c IS NOT NULL),
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g2, (VALUES (0), (1), (2)) v(k) WHERE n >= 2 GROUP BY r),
 nw AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY r),
-l AS (SELECT r, source, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS n
- FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM d) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT r, source, i, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS n
+ FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
-idn AS (SELECT r, n AS top FROM (SELECT r, n, row_number() OVER (PARTITION BY r ORDER BY length(n) DESC, n DESC) AS k FROM l) x WHERE k = 1),
-hosts AS (SELECT source, count(DISTINCT coalesce('x' || top, 'none')) AS n_host FROM d LEFT JOIN idn USING (r) GROUP BY source),
-often AS (SELECT f.source, f.n FROM (SELECT source, n, count(DISTINCT top) AS k FROM l JOIN idn USING (r) GROUP BY source, n) f
- JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE k > 10 AND k > n_host * 0.005::DOUBLE),
+idn AS (SELECT r, string_agg(n, chr(10) ORDER BY i) AS whole FROM l GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT coalesce(whole, '')) AS n_host FROM d LEFT JOIN idn USING (r) GROUP BY source),
+often AS (SELECT f.source, f.n FROM (SELECT source, n, count(DISTINCT whole) AS k FROM l JOIN idn USING (r) GROUP BY source, n) f
+ JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE k > least(greatest(10, n_host * 0.005::DOUBLE), 1000)),
 gone AS (SELECT r, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w
  FROM l JOIN often o ON l.n = o.n AND l.source IS NOT DISTINCT FROM o.source GROUP BY r),
 m AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
@@ -32,10 +32,10 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 u0 AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
 u1 AS (SELECT *, list_filter(regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
  coalesce(sum(length(u) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u0),
-u2 AS (SELECT r, i, u, a, len(w) >= 8 AND row_number() OVER (PARTITION BY len(w) >= 8, array_to_string(w, ' ') ORDER BY doc_id, r, i) > 1 AS gone FROM u1),
-x AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS g,
+u2 AS (SELECT r, i, u, a, len(w) >= 1 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, r, i) > 1 AS gone FROM u1),
+x AS (SELECT r, count(*) FILTER (WHERE gone) AS g,
  string_agg(a::BIGINT::VARCHAR || ':' || (a + length(u))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (WHERE gone) AS s, string_agg(u, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS t FROM u2 GROUP BY r)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_units, coalesce(g, 0)::BIGINT AS n_removed, coalesce(s, '') AS removed_spans, sha256(coalesce(t, '')) AS kept_sha256
+SELECT doc_id, coalesce(g, 0)::BIGINT AS n_removed, coalesce(s, '') AS removed_spans, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN x USING (r)
 """
 

@@ -33,16 +33,16 @@ out; long texts are worked on in pieces of ``PIECE`` windows.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import bucketed, written
 from .base import digest2, parts_for
 
 LENGTH, GRAM = 100, 20
@@ -51,6 +51,8 @@ SHALLOW = 3               # words of 8 bytes that the quicksort looks at
 PIECE = 8_000_000
 HOT = 50_000
 ANCHORS_PER_TASK = 100_000
+#: Documents of a bucket of the stored source, about, and the most buckets.
+DOCUMENTS_PER_BUCKET, MOST_BUCKETS = 20_000, 20_000
 _PLACE = np.uint64((1 << 24) - 1)
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -215,6 +217,8 @@ def ranges_of(repeated: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.n
 # --- Spark steps -------------------------------------------------------------
 
 KEY = ["id", "k1", "k2"]
+#: Stands for a NULL id in keys: it is ordered first.
+LOWEST = -(1 << 63)
 
 
 def _bytes(value) -> bytes:
@@ -222,9 +226,12 @@ def _bytes(value) -> bytes:
 
 
 def _source(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The documents, stored once and dealt by ``route``, so that both joins leave the texts in place."""
     k1, k2 = digest2(F.col(text))
-    src = docs.select(F.col(id).cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-    return src.withColumn("route", F.xxhash64(*KEY))  # equal routes of two documents only cost time
+    src = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LOWEST)).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(id).isNull().alias("no_id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
+    buckets = parts_for(docs.count(), DOCUMENTS_PER_BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return bucketed(src.withColumn("route", F.xxhash64(*KEY)), "route", min(MOST_BUCKETS, buckets))
 
 
 def candidates(src: DataFrame) -> DataFrame:
@@ -238,11 +245,12 @@ def candidates(src: DataFrame) -> DataFrame:
                 grams.append(g)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (routes, grams, counts)], names=["route", "gram", "n"])
-    grams = src.select("route", "text").mapInArrow(batches, "route long, gram long, n long")
+    # found once and stored, since they are both counted and joined with the counts
+    grams = written(src.select("route", "text").mapInArrow(batches, "route long, gram long, n long"))
     # equal rows are one document, so a gram counts documents by their route
     repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
-    mine = grams.select("route", "gram").join(repeated, "gram")
-    return mine.groupBy("route").agg(F.collect_set(F.struct("gram", (F.col("n") > HOT).alias("hot"))).alias("grams"))
+    mine = grams.join(repeated.select("gram", F.col("n").alias("all")), "gram")
+    return mine.groupBy("route").agg(F.collect_set(F.struct("gram", (F.col("all") > HOT).alias("hot"))).alias("grams"), F.sum("n").alias("anchors"))
 
 
 def contexts(src: DataFrame, found: DataFrame) -> DataFrame:
@@ -267,8 +275,7 @@ def contexts(src: DataFrame, found: DataFrame) -> DataFrame:
                     early, late = (held, row) if (held[:3], held[4]) < (row[:3], row[4]) else (row, held)
                     first[what] = early
                     out.append((None, *late, None))
-            ids = [-(1 << 63) if i is None else i for i in rb.column(0).to_pylist()]
-            for k, i in enumerate(ids):
+            for k, i in enumerate(rb.column(0).to_pylist()):
                 doc = (i, rb.column(1)[k].as_py(), rb.column(2)[k].as_py())
                 data = _bytes(rb.column(3)[k])
                 place, begin, last, gram = anchors(data)
@@ -327,37 +334,27 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, spans (byte ranges removed) and
     the bytes kept."""
-    spark = docs.sparkSession
     src = _source(docs, id, text)
     found = written(candidates(src))
-    total = found.agg(F.sum(F.size("grams"))).first()[0] or 0
-    _free(spark)
-    marked = repeats(contexts(src, found), parts_for(total, ANCHORS_PER_TASK, spark.sparkContext.defaultParallelism))
-    ranges = written(marked.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
-    _free(spark)
-    lowest = F.lit(-(1 << 63)).cast("long")
-    joined = src.withColumn("_id", F.coalesce("id", lowest)).join(
-        ranges.select(F.col("id").alias("_id"), "k1", "k2", "ranges"), ["_id", "k1", "k2"], "left").select("id", "text", "ranges")
+    total = found.agg(F.sum("anchors")).first()[0] or 0
+    marked = repeats(contexts(src, found), parts_for(total, ANCHORS_PER_TASK, docs.sparkSession.sparkContext.defaultParallelism))
+    ranges = written(marked.groupBy(F.xxhash64(*KEY).alias("route")).agg(F.collect_list(F.struct(*KEY, "start", "end")).alias("ranges")))
+    joined = src.join(ranges, "route", "left").select(*KEY, "no_id", "text", "ranges")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             size, gone, spans, kept = [], [], [], []
-            for t, r in zip(rb.column(1), rb.column(2).to_pylist()):
-                data = _bytes(t)
-                cut = united([(x["start"], x["end"]) for x in r or ()])
+            keys = zip(*(c.to_pylist() for c in rb.columns[:3]))
+            for key, t, r in zip(keys, rb.column(4), rb.column(5).to_pylist()):
+                data = _bytes(t)  # documents of one route are told apart by the key
+                cut = united([(x["start"], x["end"]) for x in r or () if (x["id"], x["k1"], x["k2"]) == key])
                 size.append(len(data))
                 gone.append(sum(b - a for a, b in cut))
                 spans.append([{"start": a, "end": b} for a, b in cut])
                 edges = [0, *[e for c in cut for e in c], len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
+                [pc.if_else(rb.column(3), None, rb.column(0)), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                 names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
     return joined.mapInArrow(batches, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
-
-
-def _free(spark) -> None:
-    """Lets Spark drop the shuffle files of steps whose result is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

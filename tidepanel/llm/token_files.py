@@ -17,6 +17,7 @@ no shard and reads as an empty result; other columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import uuid
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, written
@@ -38,6 +39,8 @@ MAGIC = b"EFTOKEN1"
 HEAD = struct.Struct("<8sB3xIIQQqQ")
 SHARD_IDS = 4_000_000
 DOCS_PER_RANGE = 4_000
+#: Ranges whose offsets are one running sum; a thousand million documents are fewer blocks than that.
+RANGES_PER_BLOCK = 1_000
 #: Parts of texts in one generation of what a worker keeps.
 KEPT = 400_000
 
@@ -48,6 +51,8 @@ def pack(part: int, number: int, ids: list[int | None], tokens: list[np.ndarray]
     base = int(known[0]) if len(known) else 0
     ends = np.cumsum([0, *map(len, tokens)])
     flat = np.concatenate(tokens) if tokens else np.array([], np.uint32)
+    if len(flat) and int(flat.max()) >> 8 * width:
+        raise ValueError(f"a token id does not fit in {width} bytes")
     relative = (known - base).view(np.uint64) if len(known) else known.view(np.uint64)
     return b"".join([HEAD.pack(MAGIC, width, part, number, len(ids), nulls, base, len(flat)), elias_fano.encode(relative),
                      elias_fano.encode(ends), flat.astype(f"<u{width}").tobytes(), b""])
@@ -133,16 +138,25 @@ class LibraryEncoder:
         """The ids of each text."""
         special = [bool(self.special(t)) for t in texts]
         ids = self.texts.ids(["" if s else t for t, s in zip(texts, special)])
-        return [np.frombuffer(self._ask([t])[0] if s else b, "<u4") for t, s, b in zip(texts, special, ids)]
+        return [np.frombuffer(self._ask([t])[0], "<u4") if s else b for t, s, b in zip(texts, special, ids)]
 
 
-_ENCODERS: dict[int, LibraryEncoder] = {}
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def id_width(json: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+    most = max([end_id, *Tokenizer.from_str(json).get_vocab(with_added_tokens=True).values()])
+    if min(end_id, most) < 0 or most >= 1 << 32:
+        raise ValueError("token ids must fit in 32 bits")
+    return 2 if most < 1 << 16 else 4
 
 
 def write(docs: DataFrame, json: str, end_id: int, id: str = "doc_id", text: str = "text", path: str | None = None,
-          width: int = 2, shard_ids: int = SHARD_IDS) -> str:
+          shard_ids: int = SHARD_IDS) -> str:
     """Writes all shards and returns their folder. ``json`` is the tokenizer's
-    definition; ``width`` the bytes of an id (2 up to 65,535, else 4)."""
+    definition; its largest id decides on the bytes of an id (2 up to 65,535, else 4)."""
+    width = id_width(json, end_id)
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     shared = spark.sparkContext.broadcast(json)
@@ -153,7 +167,7 @@ def write(docs: DataFrame, json: str, end_id: int, id: str = "doc_id", text: str
     def shards(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = hash(shared.value)
+        key = hashlib.sha256(shared.value.encode()).hexdigest()
         encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, LibraryEncoder(shared.value))
         part, number, ids, tokens, size = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -196,13 +210,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """Per document its global start. Offsets of shards are running sums, first
-    inside each range, then over the ranges (one row each)."""
+    """Per document its global start. Offsets of shards are running sums: inside each range,
+    inside each block of ``RANGES_PER_BLOCK`` ranges, and over the blocks."""
     docs = written(read(spark, path))
     shards = docs.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
-    inner = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = shards.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("base"))
-    at = shards.select("part", "number", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("within")).join(parts, "part")
-    offsets = written(at.select("part", "number", (F.col("base") + F.col("within")).alias("offset")))
+    before = "coalesce(sum(n) OVER ({} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    parts = written(shards.groupBy("part").agg(F.sum("n").alias("n")).withColumn("block", F.expr(f"part div {RANGES_PER_BLOCK}")))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.expr(before.format("ORDER BY block")).alias("start"))
+    parts = parts.select("part", "block", F.expr(before.format("PARTITION BY block ORDER BY part")).alias("within")).join(blocks, "block")
+    at = shards.select("part", "number", F.expr(before.format("PARTITION BY part ORDER BY number")).alias("place")).join(parts, "part")
+    offsets = written(at.select("part", "number", (F.col("start") + F.col("within") + F.col("place")).alias("offset")))
     return docs.join(offsets, ["part", "number"]).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
