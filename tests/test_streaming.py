@@ -31,6 +31,53 @@ def test_entity_tracker_over_batches(spark, tmp_path):
     assert len(got) == 300 and np.allclose(got[["q_lo", "q_hi"]], batch[["q_lo", "q_hi"]]) and (got["covered"] == batch["covered"]).all()
 
 
+def scored(n=220, keys="ab"):
+    """Scores with memberships and overlapping groups."""
+    g = np.random.default_rng(2)
+    dates = pd.date_range("2021-01-01", periods=n).date
+    parts = []
+    for k in keys:
+        soft = g.dirichlet([1, 1, 1], size=n)
+        hard = np.eye(3)[g.integers(0, 3, n)]
+        pi = [list(map(float, soft[i] if i % 3 else hard[i])) for i in range(n)]
+        parts.append(pd.DataFrame({"key": k, "date": dates, "s": g.normal(size=n) * np.linspace(1, 3, n), "pi": pi, "groups": [[1.0, *map(float, hard[i])] for i in range(n)], "pos": range(n)}))
+    return pd.concat(parts)
+
+
+RULES = {
+    "aci": (S.aci(0.05), None), "sfogd": (S.sfogd(0.05), None), "tcp": (S.tcp(0.05), ST.trackers.ORDER_STATISTIC), "pid": (S.pid(0.05), ST.trackers.Trailing("quantile", 80, 50)),
+    "rkr": (S.rkr(0.05), None), "mondrian": (S.mondrian(0.05, (0.02, 0.05, 0.1)), None), "pogo": (S.pogo(0.05), None),
+}
+
+
+@pytest.mark.parametrize("name", RULES)
+def test_every_rule_over_batches_and_a_restart(spark, tmp_path, name):
+    """Two batches, a stopped query, a third batch with the checkpoint: equal to the batch fold."""
+    rule, trailing = RULES[name]
+    pdf = scored()
+    schema = "key string, date date, s double, pi array<double>, groups array<double>"
+    track = lambda stream: ST.entity_tracker(stream, rule, 0.05, 50, horizon=220, trailing=trailing)
+    base, path = str(tmp_path / "base"), str(tmp_path / "in")
+    ST.run_to_table(track(land(spark, pdf, path, [0, 30, 120], schema)), base=base)
+    late = pdf[(pdf["key"] == "a") & (pdf["pos"] == 100)].assign(pos=219)
+    got = ST.run_to_table(track(land(spark, pd.concat([pdf, late]), path, [120, 220], schema)), base=base).orderBy("key", "date").toPandas()
+    d = spark.createDataFrame(pdf.drop(columns="pos"), schema)
+    d = S.tcp_context(d, 0.05) if name == "tcp" else S.pid_context(d, 0.05, 80, 50) if name == "pid" else d
+    batch = S.fold(d, {"x": rule}, 0.1, 50, least=50).filter("not warmup").orderBy("key", "date").toPandas()
+    assert len(got) == 340 and np.allclose(got[["q_lo", "q_hi"]], batch[["q_lo", "q_hi"]]) and (got["covered"] == batch["covered"]).all()
+    assert got[got["key"] == "a"]["late"].max() == 1 and got[got["key"] == "b"]["late"].max() == 0
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    """A key without rows for the idle time starts anew; another key goes on."""
+    dates = pd.date_range("2021-01-01", periods=60).date
+    busy = pd.DataFrame({"key": "b", "date": dates, "s": 1.0, "pos": range(60)})
+    quiet = pd.DataFrame({"key": "a", "date": [*dates[:10], *dates[50:]], "s": 2.0, "pos": [*range(10), *range(50, 60)]})
+    stream = land(spark, pd.concat([busy, quiet]), str(tmp_path / "in"), [0, 10, 40, 50, 60], "key string, date date, s double")
+    got = ST.run_to_table(ST.entity_tracker(stream, S.aci(0.05), 0.05, 5, idle=20)).toPandas()
+    assert sorted(got[got["key"] == "a"]["date"]) == [*dates[5:10], *dates[55:]] and len(got[got["key"] == "b"]) == 55
+
+
 def test_run_length_over_batches(spark, tmp_path):
     flags = [True, True, False, True, True, True, False, False, True, True]
     pdf = pd.DataFrame({"key": "a", "date": pd.date_range("2021-01-01", periods=10).date, "flag": flags, "pos": range(10)})

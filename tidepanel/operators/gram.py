@@ -37,6 +37,12 @@ def sums(df: DataFrame, by: list[str], features: list[str], y: str, weight: Colu
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_train"), *aggs)
 
 
+def products(df: DataFrame, keep: list[str], features: list[str], y: str) -> DataFrame:
+    """The products of each complete row, named as their sums are."""
+    d = df.dropna(subset=[*features, y])
+    return d.select(*keep, *[_term(a, b).alias(f"g{i}") for i, (a, b) in enumerate(pairs(features, y))])
+
+
 def g_columns(p: int) -> list[str]:
     """Names of the sums for p features."""
     m = p + 2

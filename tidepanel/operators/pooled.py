@@ -340,8 +340,10 @@ def run_xs(rows: DataFrame, alpha: float = 0.1, warmup_days: int = 100, root=roo
 # --- nearest past days ---------------------------------------------------------
 
 def _neighbours(x: np.ndarray, t: int, k: int) -> np.ndarray:
+    """Earlier days by distance, ties by date. Only those up to the k-th distance are sorted."""
     dist = np.round(np.sqrt(((x[:t] - x[t]) ** 2).sum(axis=1)), 9)
-    return np.lexsort((np.arange(t), dist))[:k]
+    near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1]) if t > k else np.arange(t)
+    return near[np.argsort(dist[near], kind="stable")][:k]
 
 
 def _scaled(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -349,23 +351,25 @@ def _scaled(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
     return ((x - x.mean()) / x.std()).fillna(0.0).to_numpy()
 
 
-def in_blocks(frame: DataFrame, blocks: int = 8) -> DataFrame:
-    """The calendar-bounded frame repeated per block, so blocks of days can be
-    worked on side by side."""
-    return frame.withColumn("block", F.explode(F.array(*[F.lit(b) for b in range(blocks)])))
+#: Days whose neighbours one task finds, about.
+DAYS_PER_TASK = 500
 
 
-def nearest_past(market: DataFrame, features: list[str], k: int, skip: int, blocks: int = 8) -> DataFrame:
-    def run(pdf):
-        b = pdf["block"].iloc[0]
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        x, out = _scaled(pdf, features), []
-        for t in range(skip + 1, len(pdf)):
-            if t % blocks == b:
-                for rk, j in enumerate(_neighbours(x, t, k), 1):
-                    out.append((pdf["date"][t], pdf["date"][j], rk))
-        return pd.DataFrame(out, columns=["date", "past", "rk"])
-    return in_blocks(market.select("date", *features), blocks).groupBy("block").applyInPandas(run, "date date, past date, rk int")
+def nearest_past(market: DataFrame, features: list[str], k: int, skip: int) -> DataFrame:
+    """(date, past, rk): the ``k`` nearest earlier days of each day after the first ``skip``. The market
+    frame, one row per date, goes to every task; each finds the neighbours of its own days."""
+    pdf = market.select("date", *features).toPandas().sort_values("date").reset_index(drop=True)
+    x, dates, spark = _scaled(pdf, features), pdf["date"].tolist(), market.sparkSession
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-len(dates) // DAYS_PER_TASK)))
+
+    def run(batches):
+        for ids in batches:
+            out = []
+            for t in ids["id"].tolist():
+                near = _neighbours(x, t, k)
+                out.append(pd.DataFrame({"date": dates[t], "past": [dates[j] for j in near.tolist()], "rk": range(1, len(near) + 1)}))
+            yield pd.concat(out) if out else pd.DataFrame({"date": [], "past": [], "rk": []})
+    return spark.range(skip + 1, max(skip + 1, len(dates)), 1, tasks).mapInPandas(run, "date date, past date, rk int")
 
 
 def run_knn(rows: DataFrame, market: DataFrame, features: list[str], alpha: float, k: int, warmup_days: int,

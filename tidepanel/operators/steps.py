@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sliding
+
 EXPERT_RATES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.2)  # fixed values: candidate rates
 TCP_WINDOW, TCP_GAMMA, TCP_LAMBDA, TCP_BETA, TCP_LEAST = 60, 0.01, 0.01, 0.75, 5  # fixed values
 PID_SATURATION, PID_CLIP = 20.0, 1.5  # fixed values
@@ -228,7 +230,6 @@ def tcp_context(df: DataFrame, a: float, score: str = "s") -> DataFrame:
 
 
 def pid_context(df: DataFrame, a: float, window: int, least: int, score: str = "s") -> DataFrame:
-    from .windows import quantile
-    d = df.withColumn("_neg", -F.col(score))
-    return (d.withColumn("cast_hi", quantile(score, 1 - a, window, least, 1))
-            .withColumn("cast_lo", quantile("_neg", 1 - a, window, least, 1)).drop("_neg"))
+    """The lower side is the quantile of the negated scores: that of the scores at the other end, negated."""
+    d = sliding.with_order_statistics(df, sliding.quantile(score, "cast_hi", 1 - a, window, least, 1), sliding.quantile(score, "cast_lo", a, window, least, 1))
+    return d.withColumn("cast_lo", -F.col("cast_lo"))

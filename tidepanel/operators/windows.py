@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, ratio
+from . import sliding
 from .frames import by_key
 
-MAD_CONST = 1.4826
 DECAY = (0.50, 0.25, 0.15, 0.10)
 
 
@@ -34,11 +34,6 @@ def std(x: str, k: int, least: int = 2, skip: int = 0) -> Column:
     return F.when(F.count(x).over(w) >= least, F.stddev_samp(x).over(w))
 
 
-def quantile(x: str, q: float, k: int, least: int = 1, skip: int = 0) -> Column:
-    w = trailing(k, skip)
-    return F.when(F.count(x).over(w) >= least, F.percentile(x, F.lit(q)).over(w))
-
-
 def volume_shock(x: str, k: int = 20, least: int = 5) -> Column:
     r = ratio(F.col(x), mean(x, k, least))
     return F.coalesce(r, F.lit(1.0))
@@ -53,11 +48,7 @@ def mad_scale(df: DataFrame, x: str, out: str = "sigma_hat", window: int = 250,
               least: int = 50) -> DataFrame:
     """Trailing robust scale, one observation late. Each deviation is taken from
     the median of its own day, so the minimum count applies twice."""
-    d = df.withColumn("_med", quantile(x, 0.5, window, least))
-    d = d.withColumn("_dev", F.abs(F.col(x) - F.col("_med")))
-    d = d.withColumn("_mad", quantile("_dev", 0.5, window, least))
-    scale = F.lag(F.col("_mad") * MAD_CONST).over(by_key())
-    return d.withColumn(out, F.nullif(scale, F.lit(0.0))).drop("_med", "_dev", "_mad")
+    return sliding.with_order_statistics(df, sliding.mad_scale(x, out, window, least))
 
 
 def zscore(x: str, floor: float = 0.001, bound: float = 5.0) -> Column:

@@ -115,7 +115,10 @@ def cf_dtaci(t):
 TCP_CTX = "".join(f", coalesce(CASE WHEN len(list(s) {rows(60, 1)}) >= 5 THEN (list_sort(list({'s' if sd == 'hi' else '-s'}) {rows(60, 1)}))[CAST(least(len(list(s) {rows(60, 1)}), ceil((len(list(s) {rows(60, 1)}) + 1) * 0.95 - 1e-12)) AS INTEGER)] END, 1e12::DOUBLE) AS base_{sd}" for sd in ("hi", "lo"))
 
 
-@query("cf_tcp", recursion({"c": ("0::DOUBLE", "c + 0.01::DOUBLE / power(1 + 0.01::DOUBLE * (f.rn - 51), 0.75::DOUBLE) * (MISS - 0.05::DOUBLE)")}, "C_base + c", TCP_CTX)
+TCP = {"c": ("0::DOUBLE", "c + 0.01::DOUBLE / power(1 + 0.01::DOUBLE * (f.rn - 51), 0.75::DOUBLE) * (MISS - 0.05::DOUBLE)")}
+
+
+@query("cf_tcp", recursion(TCP, "C_base + c", TCP_CTX)
        + "SELECT key, date, r6(CASE WHEN q_lo < 1e11 THEN q_lo END) AS q_lo, r6(CASE WHEN q_hi < 1e11 THEN q_hi END) AS q_hi, s <= q_hi AND -s <= q_lo AS covered, warmup FROM iv")
 def cf_tcp(t):
     d = S.fold(S.tcp_context(preds(t), 0.05), {"one": S.tcp(0.05)}, 0.1, WARM)
@@ -149,15 +152,19 @@ def with_state(t, *cols):
     return fr.attach(preds(t), state_b(t).select("date", *cols), ["date"])
 
 
-@query("cf_rkr", recursion({"m": ("Q0", "m + 0.05::DOUBLE * (MISS - 0.05::DOUBLE)"), **{f"g{i}": ("0::DOUBLE", f"g{i} + 0.05::DOUBLE * {GB[i]} * (MISS - 0.05::DOUBLE)") for i in range(3)}},
-                           "m + " + " + ".join(f"g{i} * {GB[i]}" for i in range(3)), src="sg", with_=GROUPS_SQL) + IV)
+RKR = {"m": ("Q0", "m + 0.05::DOUBLE * (MISS - 0.05::DOUBLE)"), **{f"g{i}": ("0::DOUBLE", f"g{i} + 0.05::DOUBLE * {GB[i]} * (MISS - 0.05::DOUBLE)") for i in range(3)}}
+RKR_ISSUE = "m + " + " + ".join(f"g{i} * {GB[i]}" for i in range(3))
+
+
+@query("cf_rkr", recursion(RKR, RKR_ISSUE, src="sg", with_=GROUPS_SQL) + IV)
 def cf_rkr(t):
     d = with_state(t, "level_pctl").withColumn("groups", R.overlapping("level_pctl", [0.5, 0.8]))
     return run(t, S.rkr(0.05), d)
 
 
 PI = {i: f"(CASE WHEN R_level_pctl IS NULL THEN 1::DOUBLE / 3 ELSE {GB[i]} * 0.8::DOUBLE + 0.2::DOUBLE / 3 END)" for i in range(3)}
-MON = {f"q{i}": ("Q0", f"q{i} + {e}::DOUBLE * {PI[i]} * (MISS - 0.05::DOUBLE)") for i, e in enumerate((0.02, 0.05, 0.1))}
+MON_RATES = (0.02, 0.05, 0.1)
+MON = {f"q{i}": ("Q0", f"q{i} + {e}::DOUBLE * {PI[i]} * (MISS - 0.05::DOUBLE)") for i, e in enumerate(MON_RATES)}
 MON_ISSUE = " + ".join(f"q{i} * {PI[i]}" for i in range(3))
 
 
@@ -169,7 +176,7 @@ def soft(d):
 
 @query("cf_mondrian", recursion(MON, MON_ISSUE, src="sg", with_=GROUPS_SQL) + IV)
 def cf_mondrian(t):
-    return run(t, S.mondrian(0.05, (0.02, 0.05, 0.1)), soft(with_state(t, "level_pctl")))
+    return run(t, S.mondrian(0.05, MON_RATES), soft(with_state(t, "level_pctl")))
 
 
 @query("cf_pogo")

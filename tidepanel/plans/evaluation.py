@@ -9,6 +9,7 @@ from ..operators import forecast as FC
 from ..operators import frames as fr
 from ..operators import gram as G
 from ..operators import inference as IN
+from ..operators import replicates as RP
 from ..operators import steps as S
 from ..operators import windows as W
 from ..operators.joins import window_label
@@ -417,12 +418,16 @@ def ev_noise(t):
     return grouped_r2(d, ["level"], H3, F.when(F.col("date") < split_day(), "tr").otherwise("te"))
 
 
+STABILITY_REPS = 500
+
+
 @query("ev_coef_stability")
 def ev_coef_stability(t):
     """Coefficients over hashed bootstrap replicates: Poisson weights per row."""
-    d = fr.rows_of(design_a(t).dropna(subset=["y", "rv_m"]), list(range(1, 21)), "rep")
-    w = IN.poisson_one(draw_unit("stab", "rep", "key", "date")).cast("double")
-    b = G.solve(G.sums(d, ["rep"], H3, "y", w), 3).select("rep", F.posexplode("beta").alias("i", "b")).filter("i > 0")
+    d = design_a(t).dropna(subset=["y", *H3])
+    products = G.products(d, ["key", "date"], H3, "y")
+    g = RP.weighted_sums(products, ["key", "date"], G.g_columns(len(H3)), STABILITY_REPS, "stab").withColumn("n_train", F.col("g0").cast("long"))
+    b = G.solve(g, 3).select("rep", F.posexplode("beta").alias("i", "b")).filter("i > 0")
     return b.groupBy("i").agg(rnd(F.avg("b"), 4).alias("mean"), rnd(F.stddev_samp("b"), 4).alias("sd"), rnd(F.percentile("b", 0.025), 4).alias("lo"),
                               rnd(F.percentile("b", 0.975), 4).alias("hi"), rnd(F.avg((F.col("b") > 0).cast("double")), 4).alias("share_positive"))
 

@@ -2,18 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw_unit, ratio, rnd
+from ..functions.columns import ratio, rnd
 from ..operators import evaluate as EV
 from ..operators import forecast as FC
 from ..operators import frames as fr
 from ..operators import inference as IN
+from ..operators import replicates as RP
+from ..operators import sliding as SL
 from ..session import written
-from .evaluation import EP_SQL, RUN_SQL, bounds, bq, daily, predicted, six, stress_runs
+from .evaluation import EP_SQL, PRD, RUN_SQL, bounds, bq, daily, predicted, six, stress_runs
 from .forecasts import BASE
 from .registry import query
 from .windows import rows
 
-REPS = 200
+# Replicates of the published reports.
+BLOCK_REPS, WILD_REPS, EPISODE_REPS, RW_REPS, MCS_REPS, IID_REPS = 2000, 9999, 10000, 4999, 2000, 1000
 
 
 def hac_sql(src, by="", lag="CAST(floor(4 * power(n / 100.0, 2.0 / 9.0) + 1e-12) AS INTEGER)", name="hm", most=12):
@@ -80,38 +83,38 @@ def hash_sql(seed, *parts):
     return f"CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)})), 1, 8)) AS BIGINT)"
 
 
-def draws_sql(seed, block=20, reps=REPS, circular=False, src="dl"):
+def draws_sql(seed, block=20, reps=BLOCK_REPS, circular=False, src="dl"):
     span = "T" if circular else f"(T - {block} + 1)"
     at = "(st0 + k) % T" if circular else "st0 + k"
     return (f", pq AS (SELECT DISTINCT date FROM {src}), ps0 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS T FROM pq), "
-            f"dr0 AS (SELECT rep, b, T, {hash_sql(seed, 'rep', 'b')} % {span} AS st0 FROM (SELECT max(T) AS T FROM ps0), range(1, {reps + 1}) rr(rep), range(0, 100) bb(b) WHERE b < ceil(T / {block}.0)), "
+            f"dr0 AS (SELECT rep, b, T, {hash_sql(seed, 'rep', 'b')} % {span} AS st0 FROM (SELECT max(T) AS T FROM ps0), range(1, {reps + 1}) rr(rep), range(0, (SELECT CAST(ceil(max(T) / {block}.0) AS BIGINT) FROM ps0)) bb(b)), "
             f"drw AS (SELECT rep, {at} AS pos, count(*) AS times FROM dr0, range(0, {block}) kk(k) WHERE b * {block} + k < T GROUP BY 1, 2)")
 
 
 @query("in_block_boot", bq("SELECT method, r6(quantile_cont(m, 0.025)) AS ci_lo, r6(quantile_cont(m, 0.975)) AS ci_hi, r6(stddev_samp(m)) AS se FROM bm GROUP BY 1",
                            draws_sql("boot") + ", bm AS (SELECT rep, method, sum(cov * times) / sum(times) AS m FROM drw JOIN ps0 USING (pos) JOIN dl USING (date) GROUP BY 1, 2)"))
 def in_block_boot(t):
-    m = IN.block_means(daily(t), ["method"], ["cov"], REPS, 20, "boot")
+    m = RP.block_means(daily(t), ["method"], ["cov"], BLOCK_REPS, 20, "boot")
     return six(m.groupBy("method").agg(F.percentile("cov", 0.025).alias("ci_lo"), F.percentile("cov", 0.975).alias("ci_hi"), F.stddev_samp("cov").alias("se")), "ci_lo", "ci_hi", "se", keep=("method",))
 
 
 DISP = """, bb AS (SELECT method, date, bin, sum(cov) AS s, count(*) AS c FROM bx WHERE bin IS NOT NULL GROUP BY 1, 2, 3),
  rb AS (SELECT rep, method, bin, sum(s * times) / sum(c * times) AS cv, sum(c * times) AS c FROM drw JOIN ps0 USING (pos) JOIN bb USING (date) GROUP BY 1, 2, 3),
- rd AS (SELECT rep, method, sqrt(sum(c * (cv - 0.9) ** 2) / sum(c)) AS d FROM rb GROUP BY 1, 2), df AS (SELECT a.rep AS rep, a.d - b.d AS diff FROM rd a JOIN rd b ON a.rep = b.rep AND a.method = 'aci' AND b.method = 'norm')"""
+ rd AS (SELECT rep, method, sqrt(sum(c * (cv - 0.9) ** 2) / sum(c)) AS d FROM rb GROUP BY 1, 2), df AS (SELECT b.method AS method, a.rep AS rep, a.d - b.d AS diff FROM rd a JOIN rd b ON a.rep = b.rep AND a.method = 'aci' AND b.method <> 'aci')"""
 
 
-@query("in_dispersion_boot", bq("SELECT r6(avg(diff)) AS mean_diff, r6(quantile_cont(diff, 0.025)) AS ci_lo, r6(quantile_cont(diff, 0.975)) AS ci_hi, r6(2 * least(avg(CAST(diff <= 0 AS DOUBLE)), avg(CAST(diff >= 0 AS DOUBLE)))) AS p FROM df", draws_sql("disp") + DISP))
+@query("in_dispersion_boot", bq("SELECT method, r6(avg(diff)) AS mean_diff, r6(quantile_cont(diff, 0.025)) AS ci_lo, r6(quantile_cont(diff, 0.975)) AS ci_hi, r6(2 * least(avg(CAST(diff <= 0 AS DOUBLE)), avg(CAST(diff >= 0 AS DOUBLE)))) AS p FROM df GROUP BY 1", draws_sql("disp") + DISP))
 def in_dispersion_boot(t):
-    """Replicates re-weight per-date sums of every (method, bin)."""
-    d = bounds(t).withColumn("bin", EV.cut("level_pctl", EV.STATE_EDGES, EV.STATE_LABELS)).filter(F.col("method").isin("aci", "norm"))
-    b = d.groupBy("method", "date", "bin").agg(F.sum(EV.b2d("covered")).alias("s"), F.count(F.lit(1)).alias("c"))
-    pos = IN.positions(b)
-    j = IN.block_draws(pos, REPS, 20, "disp").join(b.filter(F.col("bin").isNotNull()).join(pos, "date"), "pos")
-    r = j.groupBy("rep", "method", "bin").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("cv"), F.sum(F.col("c") * F.col("times")).alias("c"))
-    g = r.groupBy("rep", "method").agg(F.sqrt(F.sum(F.col("c") * F.pow(F.col("cv") - 0.9, 2)) / F.sum("c")).alias("d"))
-    w = g.groupBy("rep").agg((F.max(F.when(F.col("method") == "aci", F.col("d"))) - F.max(F.when(F.col("method") == "norm", F.col("d")))).alias("diff"))
+    """The reference against each other method; replicates re-weight per-date sums of every (method, bin)."""
+    d = bounds(t).withColumn("bin", EV.cut("level_pctl", EV.STATE_EDGES, EV.STATE_LABELS))
+    b = written(d.groupBy("method", "date", "bin").agg(F.sum(EV.b2d("covered")).alias("s"), F.count(F.lit(1)).alias("c")))
+    dates = [r["date"] for r in b.select("date").distinct().collect()]
+    r = RP.block_sums(b.filter(F.col("bin").isNotNull()), ["method", "bin"], ["s", "c"], dates, BLOCK_REPS, 20, "disp").filter("c > 0")
+    g = r.groupBy("rep", "method").agg(F.sqrt(F.sum(F.col("c") * F.pow(F.col("s") / F.col("c") - 0.9, 2)) / F.sum("c")).alias("d"))
+    ref = g.filter("method = 'aci'").select("rep", F.col("d").alias("ref"))
+    w = g.filter("method <> 'aci'").join(ref, "rep").withColumn("diff", F.col("ref") - F.col("d"))
     p = 2 * F.least(F.avg((F.col("diff") <= 0).cast("double")), F.avg((F.col("diff") >= 0).cast("double")))
-    return w.agg(rnd(F.avg("diff")).alias("mean_diff"), rnd(F.percentile("diff", 0.025)).alias("ci_lo"), rnd(F.percentile("diff", 0.975)).alias("ci_hi"), rnd(p).alias("p"))
+    return w.groupBy("method").agg(rnd(F.avg("diff")).alias("mean_diff"), rnd(F.percentile("diff", 0.025)).alias("ci_lo"), rnd(F.percentile("diff", 0.975)).alias("ci_hi"), rnd(p).alias("p"))
 
 
 LAGS = [0, 5, 10, 22]
@@ -188,42 +191,58 @@ def in_cluster_se(t):
     return d.select("method", rnd("b1").alias("b1"), "g", rnd("se").alias("se"))
 
 
-WILD = f""", wd AS (SELECT cluster, sum(v - (SELECT avg(v) FROM gp WHERE method = 'roll')) AS r0, sum(CASE WHEN stress THEN v - (SELECT avg(v) FROM gp WHERE method = 'roll') ELSE 0 END) AS r1, count(*)::DOUBLE AS c0, count_if(stress)::DOUBLE AS c1 FROM gp JOIN cl USING (date) WHERE method = 'roll' GROUP BY 1),
- wb AS (SELECT rep, wd.*, CASE WHEN {hash_sql('wild', 'rep', 'cluster')} % 2 = 0 THEN 1.0 ELSE -1.0 END AS w FROM wd, range(1, {REPS + 1}) r(rep)),
- wt AS (SELECT rep, sum(c0) AS n, sum(c1) AS n1, sum(w * r0) AS s0, sum(w * r1) AS s1, count(*)::DOUBLE AS g FROM wb GROUP BY 1), wc AS (SELECT *, (s0 - s1) / (n - n1) AS b0, s1 / n1 - (s0 - s1) / (n - n1) AS b1 FROM wt),
- wg AS (SELECT wb.rep AS rep, w * r0 - b0 * c0 - b1 * c1 AS g0, w * r1 - (b0 + b1) * c1 AS g1 FROM wb JOIN wc USING (rep)), wm AS (SELECT rep, sum(g0 * g0) AS m00, sum(g0 * g1) AS m01, sum(g1 * g1) AS m11 FROM wg GROUP BY 1),
- wx AS (SELECT abs(b1 / sqrt(g / (g - 1) * (n - 1) / (n - 2) * {sandwich('m00', 'm01', 'm11')})) AS tb FROM wm JOIN wc USING (rep)), wo AS (SELECT abs(b1 / se) AS t FROM ce WHERE method = 'roll')"""
+WILD = f""", wg0 AS (SELECT method, avg(v) AS am FROM gp GROUP BY 1),
+ wd AS (SELECT method, cluster, sum(v - am) AS r0, sum(CASE WHEN stress THEN v - am ELSE 0 END) AS r1, count(*)::DOUBLE AS c0, count_if(stress)::DOUBLE AS c1 FROM gp JOIN cl USING (date) JOIN wg0 USING (method) GROUP BY 1, 2),
+ wb AS (SELECT rep, wd.*, CASE WHEN {hash_sql('wild', 'rep', 'cluster')} % 2 = 0 THEN 1.0 ELSE -1.0 END AS w FROM wd, range(1, {WILD_REPS + 1}) r(rep)),
+ wt AS (SELECT method, rep, sum(c0) AS n, sum(c1) AS n1, sum(w * r0) AS s0, sum(w * r1) AS s1, count(*)::DOUBLE AS g FROM wb GROUP BY 1, 2), wc AS (SELECT *, (s0 - s1) / (n - n1) AS b0, s1 / n1 - (s0 - s1) / (n - n1) AS b1 FROM wt),
+ wg AS (SELECT method, rep, w * r0 - b0 * c0 - b1 * c1 AS g0, w * r1 - (b0 + b1) * c1 AS g1 FROM wb JOIN wc USING (method, rep)), wm AS (SELECT method, rep, sum(g0 * g0) AS m00, sum(g0 * g1) AS m01, sum(g1 * g1) AS m11 FROM wg GROUP BY 1, 2),
+ wx AS (SELECT method, abs(b1 / sqrt(g / (g - 1) * (n - 1) / (n - 2) * {sandwich('m00', 'm01', 'm11')})) AS tb FROM wm JOIN wc USING (method, rep)), wo AS (SELECT method, abs(b1 / se) AS t FROM ce)"""
 
 
-@query("in_wild", bq("SELECT r6(avg(CAST(tb >= t AS DOUBLE))) AS p, r4(max(t)) AS t_obs, CAST(count(*) AS BIGINT) AS reps FROM wx, wo", CL + REG + CSE + WILD))
+def per_method(d, run):
+    """The result of ``run`` on the rows of each method; methods are a short list."""
+    d, out = written(d), None
+    for name in sorted(r["method"] for r in d.select("method").distinct().collect()):
+        one = run(d.filter(F.col("method") == name)).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("in_wild", bq("SELECT method, r6(avg(CAST(tb >= t AS DOUBLE))) AS p, r4(max(t)) AS t_obs, CAST(count(*) AS BIGINT) AS reps FROM wx JOIN wo USING (method) GROUP BY 1", CL + REG + CSE + WILD))
 def in_wild(t):
-    d = IN.wild_cluster(clustered(t).filter("method = 'roll'"), "cluster", REPS)
-    return d.select(rnd("p").alias("p"), rnd("t_obs", 4).alias("t_obs"), "reps")
+    d = per_method(clustered(t), lambda one: IN.wild_cluster(one, "cluster", WILD_REPS))
+    return d.select("method", rnd("p").alias("p"), rnd("t_obs", 4).alias("t_obs"), "reps")
+
+
+_CDF = "(" + " + ".join(f"CASE WHEN u > {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in RP.POISSON.tolist()) + ")"
+IID = f""", iw AS (SELECT rep, y, p, (CAST(('0x' || substr(md5('iid:' || CAST((rep - 1) // 4 AS VARCHAR) || ':' || key || ':' || CAST(date AS VARCHAR)), 1 + 8 * ((rep - 1) % 4), 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
+ FROM pt, range(1, {IID_REPS + 1}) r(rep)), iv AS (SELECT rep, y, p, {_CDF}::DOUBLE AS w FROM iw), ir AS (SELECT 1 - sum(w * (y - p) ** 2) / (sum(w * y * y) - sum(w * y) ** 2 / sum(w)) AS r2 FROM iv GROUP BY rep)
+ SELECT r4(avg(r2)) AS mean, r4(quantile_cont(r2, 0.025)) AS lo, r4(quantile_cont(r2, 0.975)) AS hi FROM ir"""
 
 
-@query("in_iid_boot")
+@query("in_iid_boot", PRD + IID)
 def in_iid_boot(t):
-    """Percentile interval of R2 from hashed Poisson weights per row."""
-    d = fr.rows_of(predicted(t).select("key", "date", "y", "p"), list(range(1, 51)), "rep")
-    w = IN.poisson_one(draw_unit("iid", "rep", "key", "date")).cast("double")
-    d = d.withColumn("w", w)
-    y, e = F.col("y"), F.col("y") - F.col("p")
-    g = d.groupBy("rep").agg(F.sum(F.col("w") * e * e).alias("sse"), F.sum("w").alias("n"), F.sum(F.col("w") * y).alias("sy"), F.sum(F.col("w") * y * y).alias("syy"))
-    r = g.select((1 - F.col("sse") / (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))).alias("r2"))
+    """Percentile interval of R2 from Poisson weights per row."""
+    e = F.col("y") - F.col("p")
+    d = predicted(t).select("key", "date", "y", (e * e).alias("ee"), (F.col("y") * F.col("y")).alias("yy"), F.lit(1.0).alias("one"))
+    g = RP.weighted_sums(d, ["key", "date"], ["ee", "one", "y", "yy"], IID_REPS, "iid")
+    r = g.select((1 - F.col("ee") / (F.col("yy") - F.col("y") * F.col("y") / F.col("one"))).alias("r2"))
     return r.agg(rnd(F.avg("r2"), 4).alias("mean"), rnd(F.percentile("r2", 0.025), 4).alias("lo"), rnd(F.percentile("r2", 0.975), 4).alias("hi"))
 
 
-EB = f""", eg AS (SELECT episode, sum(v) AS s, count(*)::DOUBLE AS c FROM gp JOIN ep USING (date) WHERE method = 'roll' GROUP BY 1), ei AS (SELECT *, row_number() OVER (ORDER BY episode) - 1 AS i, count(*) OVER () AS E FROM eg),
- ed AS (SELECT rep, {hash_sql('episode', 'rep', 'j')} % E AS i FROM (SELECT max(E) AS E FROM ei), range(1, {REPS + 1}) r(rep), range(1, 200) q(j) WHERE j <= E), em AS (SELECT rep, sum(s) / sum(c) AS m FROM ed JOIN ei USING (i) GROUP BY 1)"""
+EB = f""", eg AS (SELECT method, episode, sum(v) AS s, count(*)::DOUBLE AS c FROM gp JOIN ep USING (date) GROUP BY 1, 2),
+ ei AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY episode) - 1 AS i, count(*) OVER (PARTITION BY method) AS E FROM eg),
+ ed AS (SELECT method, rep, {hash_sql('episode', 'rep', 'j')} % E AS i FROM (SELECT method, max(E) AS E FROM ei GROUP BY 1) m, range(1, {EPISODE_REPS + 1}) r(rep), range(1, (SELECT max(E) + 1 FROM ei)) q(j) WHERE j <= E),
+ em AS (SELECT method, rep, sum(s) / sum(c) AS m FROM ed JOIN ei USING (method, i) GROUP BY 1, 2), eo AS (SELECT method, sum(s) / sum(c) AS gap, count(*) AS episodes FROM eg GROUP BY 1)"""
 
 
-@query("in_episode_boot", bq("SELECT r6((SELECT sum(s) / sum(c) FROM eg)) AS gap, r6(quantile_cont(m, 0.025)) AS ci_lo, r6(quantile_cont(m, 0.975)) AS ci_hi, r6(least(2 * least(avg(CAST(m <= 0 AS DOUBLE)), avg(CAST(m >= 0 AS DOUBLE))), 1)) AS p, CAST((SELECT count(*) FROM eg) AS BIGINT) AS episodes FROM em", EP_SQL + GAP + EB))
+@query("in_episode_boot", bq("SELECT method, r6(max(gap)) AS gap, r6(quantile_cont(m, 0.025)) AS ci_lo, r6(quantile_cont(m, 0.975)) AS ci_hi, r6(least(2 * least(avg(CAST(m <= 0 AS DOUBLE)), avg(CAST(m >= 0 AS DOUBLE))), 1)) AS p, CAST(max(episodes) AS BIGINT) AS episodes FROM em JOIN eo USING (method) GROUP BY 1", EP_SQL + GAP + EB))
 def in_episode_boot(t):
-    d = clustered(t).filter("method = 'roll' and episode is not null")
-    return six(IN.episode_bootstrap(d, REPS), "gap", "ci_lo", "ci_hi", "p", keep=("episodes",))
+    d = per_method(clustered(t).filter("episode is not null"), lambda one: IN.episode_bootstrap(one, EPISODE_REPS))
+    return six(d, "gap", "ci_lo", "ci_hi", "p", keep=("method", "episodes"))
 
 
-RW = draws_sql("rw").split(", drw AS")[0] + f""", rwp AS (SELECT rep, b * 20 + k AS date, st0 + k AS pos FROM dr0, range(0, 20) kk(k) WHERE b * 20 + k < T),
+RW = draws_sql("rw", reps=RW_REPS).split(", drw AS")[0] + f""", rwp AS (SELECT rep, b * 20 + k AS date, st0 + k AS pos FROM dr0, range(0, 20) kk(k) WHERE b * 20 + k < T),
  rj AS (SELECT rep, method, rwp.date AS date, v, stress FROM rwp JOIN ps0 USING (pos) JOIN gp ON gp.date = ps0.date), rr AS (SELECT rep, method, avg(CASE WHEN NOT stress THEN v END) AS b0, avg(CASE WHEN stress THEN v END) - avg(CASE WHEN NOT stress THEN v END) AS b1, count(*)::DOUBLE AS n, count_if(stress)::DOUBLE AS n1 FROM rj GROUP BY 1, 2),
  rv AS (SELECT rj.*, CAST(stress AS INTEGER)::DOUBLE AS x, v - b0 - b1 * CAST(stress AS INTEGER) AS u FROM rj JOIN rr USING (rep, method)), {hac_beta_sql('rv', 'rr', 'rep, method', name='rb')},
  rt AS (SELECT rb.method AS method, rep, abs((rb.b1 - hb.b1) / rb.se) AS tb FROM rb JOIN hb ON rb.method = hb.method), ro AS (SELECT method, abs(b1 / se) AS t, row_number() OVER (ORDER BY abs(b1 / se) DESC, method) AS rk FROM hb),
@@ -236,17 +255,15 @@ def in_romano_wolf(t):
     on the bootstrap series itself."""
     d = gaps(t).select("method", "date", "v", "stress")
     obs = written(IN.hac_beta(d, ["method"]).select("method", F.col("b1").alias("b1_obs"), ratio("b1", "se").alias("t")))
-    pos = IN.positions(d)
-    paths = IN.block_paths(pos, REPS, 20, "rw")
-    j = paths.join(d.join(pos, "date").select("method", "pos", "v", "stress"), "pos").select("rep", "method", F.col("idx").alias("date"), "v", "stress")
-    boot = IN.hac_beta(j, ["rep", "method"]).join(obs, "method").select("rep", "method", ratio(F.col("b1") - F.col("b1_obs"), "se").alias("tb"))
+    slopes = RP.block_hac_slopes(d.withColumn("flag", F.col("stress").cast("double")), ["method"], "v", "flag", RW_REPS, 20, "rw")
+    boot = slopes.join(obs, "method").select("rep", "method", ratio(F.col("b1") - F.col("b1_obs"), "se").alias("tb"))
     out = IN.stepdown(obs.select("method", "t"), boot, "method")
     return out.select("method", rnd(F.abs("t"), 4).alias("t"), rnd("p_adj").alias("p_adj"))
 
 
 @query("in_mcs")
 def in_mcs(t):
-    d = IN.confidence_set(daily(t), "isc", 0.1, REPS, 20)
+    d = IN.confidence_set(daily(t), "isc", 0.1, MCS_REPS, 20)
     return d.select("method", rnd("mean_loss").alias("mean_loss"), rnd("mcs_p").alias("mcs_p"), "in_mcs")
 
 
@@ -276,8 +293,7 @@ IND = f"(CASE WHEN n01 + n11 = 0 OR n00 + n10 = 0 THEN 0 ELSE -2 * ({XL('(n01 +
 
 
 def exceed(t):
-    from ..operators import windows as W
-    d = t.panel_a().withColumn("q", W.quantile("x", 0.95, 120, 60, 1)).filter(F.col("q").isNotNull())
+    d = SL.with_order_statistics(t.panel_a(), SL.quantile("x", "q", 0.95, 120, 60, 1)).filter(F.col("q").isNotNull())
     return d.select("key", "date", (F.col("x") > F.col("q")).alias("e"), (F.col("n") >= 5).alias("busy"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from ..operators import frames as fr
+from ..operators import intervals as IV
 from ..operators import joins as J
 from .registry import PANEL_A, query
 
@@ -96,7 +97,29 @@ WINDOWS_SQL = "win(label, a, b) AS (VALUES " + ", ".join(
 
 @query("jn_window_range", f"WITH {PANEL_A}, {WINDOWS_SQL} SELECT key, date, label FROM pa JOIN win ON date BETWEEN a AND b")
 def jn_window_range(t):
-    return t.panel_a().select("key", "date", F.explode(J.window_label("date", WINDOWS)).alias("label"))
+    named = t.spark.createDataFrame([(k, a, b) for k, (a, b) in WINDOWS.items()], "label string, a string, b string")
+    named = named.select("label", F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"))
+    return IV.interval_join(t.panel_a().select("key", "date"), named, "date", "a", "b").select("key", "date", "label")
+
+
+OPEN_SQL = """wn AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 50 > 0 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INTEGER) AS DATE) END AS b FROM orders)"""
+
+
+def order_windows(t):
+    """A window for each order, of up to 89 days; some have no end."""
+    day = F.to_date("o_orderdate")
+    end = F.when(F.col("o_orderkey") % 50 > 0, F.date_add(day, (F.col("o_orderkey") % 90).cast("int")))
+    return t.orders.select(F.col("o_orderkey").alias("id"), day.alias("a"), end.alias("b"))
+
+
+@query("jn_window_table", f"""WITH {PANEL_A}, {OPEN_SQL}, hit AS (SELECT date, count(*) AS n, min(id) AS first_id, count(b) AS n_ending FROM (SELECT DISTINCT date FROM pa) p JOIN wn ON date >= a AND date <= coalesce(b, DATE '9999-12-31') GROUP BY 1)
+ SELECT key, pa.date AS date, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_open, first_id, CAST(coalesce(n_ending, 0) AS BIGINT) AS n_ending FROM pa LEFT JOIN hit ON hit.date = pa.date""")
+def jn_window_table(t):
+    """Windows of a table that grows with the data, on every row of the panel."""
+    p = t.table_a().select("key", "date")
+    facts = {"n_open": F.count(F.lit(1)), "first_id": F.min("id"), "n_ending": F.count("b")}
+    d = fr.attach(p, IV.by_point(p, order_windows(t), "date", "a", "b", facts), ["date"])
+    return d.select("key", "date", F.coalesce("n_open", F.lit(0).cast("long")).alias("n_open"), "first_id", F.coalesce("n_ending", F.lit(0).cast("long")).alias("n_ending"))
 
 
 FILINGS_SQL = """days AS (SELECT DISTINCT o_custkey AS key, CAST(o_orderdate AS DATE) + INTERVAL 40 DAY AS d FROM orders),

@@ -3,12 +3,15 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
+from ..operators import boosting as BO
+from ..operators import forecast as FC
 from ..operators import frames as fr
 from ..operators import gram as G
 from ..operators import ml
 from ..operators.evaluate import auc, confusion, r2
 from ..operators.ranks import quantiles, with_rank
-from .forecasts import F4, design_a, test, train
+from ..session import written
+from .forecasts import F4, H3, START, design_a, test, train
 from .registry import query
 
 
@@ -21,9 +24,13 @@ def fc_elastic(t):
 
 @query("fc_gbt_reg")
 def fc_gbt_reg(t):
+    """Walk-forward trees of every quarter, and their online pool with the linear forecasts."""
     d = design_a(t)
-    out = ml.gbt(train(d), test(d).dropna(subset=["y"]), F4, "y", trees=20, depth=4, rate=0.1)
-    return out.groupBy("key").agg(rnd(r2("y", "pred"), 4).alias("r2"), F.count(F.lit(1)).alias("n"))
+    trees = BO.walk_forward_trees(d, F4, START).select("key", "date", "y", "trees")
+    har = FC.walk_forward(d, H3, START).select("key", "date", "har")
+    both = trees.join(har, ["key", "date"]).filter(F.col("y").isNotNull())
+    out = FC.hedge(written(both), ["har", "trees"], y="y").dropna(subset=["har", "trees"])
+    return out.groupBy("key").agg(*[rnd(r2("y", c), 4).alias(f"r2_{c}") for c in ("har", "trees", "pool")], F.count(F.lit(1)).alias("n"))
 
 
 def labelled(t):
@@ -35,7 +42,7 @@ def labelled(t):
 @query("fc_gbt_cls")
 def fc_gbt_cls(t):
     d = labelled(t)
-    out = ml.gbt_classifier(train(d), test(d), F4, "label", trees=15, depth=3, rate=0.1)
+    out = BO.split_trees(train(d), test(d), F4, "label", BO.Boost(300, 0.03, 3, 20, 0.05, 0.05, labels=True), "proba")
     out = out.withColumn("hit", (F.col("proba") > 0.5).cast("int")).withColumn("grp", F.lit("all"))
     a = auc(out, ["grp"], "label", "proba")
     return confusion(out, ["grp"], "label", "hit").join(a, "grp").select(*[rnd(c, 4).alias(c) for c in ("precision", "recall", "f1", "accuracy", "auc")])

@@ -7,6 +7,7 @@ from ..operators import frames as fr
 from ..operators import pooled as PO
 from ..operators import regimes as R
 from ..operators import scaling as sc
+from ..operators import sliding as SL
 from ..operators import steps as S
 from ..operators import windows as W
 from .calibration import ACI, GB, MAD, SCORE_SQL, WARM, preds, recursion
@@ -124,11 +125,11 @@ def cf_panel_xs(t):
  mm AS (SELECT ds.date AS date, pos, v, avg(x) AS a, sum(n) AS b FROM ds JOIN pb ON pb.date = ds.date GROUP BY 1, 2, 3),
  zs AS (SELECT date, pos, v, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS b FROM mm),
  nn AS (SELECT t.date AS date, s.v AS v, row_number() OVER (PARTITION BY t.date ORDER BY round(sqrt((t.a - s.a) * (t.a - s.a) + (t.b - s.b) * (t.b - s.b)), 9), s.date) AS rk FROM zs t JOIN zs s ON s.pos < t.pos WHERE t.pos > {DAYS}),
- pool AS (SELECT date, unnest(v) AS v FROM nn WHERE rk <= 30), th AS (SELECT date, quantile_cont(v, 0.95) AS q_hi, quantile_cont(-v, 0.95) AS q_lo FROM pool GROUP BY 1)
+ pool AS (SELECT date, unnest(v) AS v FROM nn WHERE rk <= 250), th AS (SELECT date, quantile_cont(v, 0.95) AS q_hi, quantile_cont(-v, 0.95) AS q_lo FROM pool GROUP BY 1)
  SELECT key, z.date AS date, r4(q_lo) AS q_lo, r4(q_hi) AS q_hi, coalesce(s_std <= q_hi AND -s_std <= q_lo, false) AS covered, q_hi IS NULL AS warmup, r4((q_lo + q_hi) * sigma) AS width FROM z LEFT JOIN th ON z.date = th.date WHERE s_std IS NOT NULL""")
 def cf_knn(t):
     m = t.table_b().groupBy("date").agg(F.avg("x").alias("a"), F.sum("n").cast("double").alias("b"))
-    return shown(PO.run_knn(std_rows(t), m, ["a", "b"], 0.1, 30, DAYS))
+    return shown(PO.run_knn(std_rows(t), m, ["a", "b"], 0.1, 250, DAYS))
 
 
 CQR_SQL = """, cq AS (SELECT sc.key AS key, sc.date AS date, target, sc.m - 0.3 * abs(sc.m - 10.0) AS blo, sc.m + 0.2 * abs(sc.m - 10.0) AS bhi FROM sc),
@@ -159,7 +160,7 @@ def var_heads(t):
     """Long table (method, key, date, s, q) of all one-sided thresholds."""
     d = var_rows(t)
     keep = ["key", "date", "s"]
-    fhs = d.withColumn("q", W.quantile("s", 0.9, 100, 50, 1)).select(F.lit("fhs").alias("method"), *keep, "q")
+    fhs = SL.with_order_statistics(d.select(*keep), SL.quantile("s", "q", 0.9, 100, 50, 1)).select(F.lit("fhs").alias("method"), *keep, "q")
     aci = S.fold(d.select(*keep), {"aci": S.aci(0.1)}, 0.1, WARM, one_sided=True).filter(~F.col("warmup"))
     walks = {"pooled": PO.FixedWalk(0.1, ETAS, one_sided=True), "adaptive": PO.AdaptiveWalk(0.1, RATES, one_sided=True)}
     pool, _ = PO.run_pooled(d.select(*keep, "s_std", "sigma_hat"), member(t), 3, walks, 0.1, DAYS, one_sided=True)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, finite, ratio, rnd
 from ..operators import frames as fr
+from ..operators import intervals as IV
 from ..operators.ranks import quantiles
 from .registry import PANEL_A, query
 
@@ -45,6 +46,14 @@ def flt_validity(t):
     return validity_spans(t).filter((F.col("a") <= day) & (F.col("b") >= day))
 
 
+@query("flt_validity_range", f"""WITH {VALID_SQL}, d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
+ SELECT date, CAST(count(*) AS BIGINT) AS n_valid, min(id) AS first_id FROM d JOIN spans ON a <= date AND b >= date GROUP BY 1""")
+def flt_validity_range(t):
+    """The rows that are valid on each day of a calendar."""
+    days = t.lineitem.select(F.to_date("l_shipdate").alias("date"))
+    return IV.by_point(days, validity_spans(t), "date", "a", "b", {"n_valid": F.count(F.lit(1)), "first_id": F.min("id")})
+
+
 LAGGED_SQL = f"WITH {PANEL_A}, l AS (SELECT *, lag(x) OVER (PARTITION BY key ORDER BY date) AS lx FROM pa)"
 
 

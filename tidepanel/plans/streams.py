@@ -7,11 +7,12 @@ from ..functions.columns import qlike, rnd
 from ..operators import forecast as FC
 from ..operators import frames as fr
 from ..operators import pooled as PO
+from ..operators import regimes as R
 from ..operators import steps as S
 from ..operators.ranks import quantiles
 from ..sources import sinks
 from ..streaming import streams as ST
-from .calibration import ACI, WARM, preds, recursion
+from .calibration import ACI, GROUPS_SQL, MON, MON_ISSUE, MON_RATES, RKR, RKR_ISSUE, TCP, TCP_CTX, WARM, recursion, soft, with_state
 from .forecasts import BASE
 from .panels import NEWS_SQL, EFF16
 from .pooled import DAYS, ETAS, ISSUE3, by_date, fixed_states, member, std_rows
@@ -58,11 +59,27 @@ def landed(t, df, name):
     return ST.read_landed(t.spark, path, df.schema)
 
 
-@query("st_entity_tracker", recursion(ACI, "q", least=WARM) + "SELECT key, date, r6(q_lo) AS q_lo, r6(q_hi) AS q_hi, s <= q_hi AND -s <= q_lo AS covered FROM iv WHERE NOT warmup")
+LIVE = "key, date, r6(q_lo) AS q_lo, r6(q_hi) AS q_hi, s <= q_hi AND -s <= q_lo AS covered FROM iv WHERE NOT warmup"
+_RULES = {
+    "aci": recursion(ACI, "q", least=WARM),
+    "tcp": recursion(TCP, "C_base + c", TCP_CTX, least=WARM),
+    "rkr": recursion(RKR, RKR_ISSUE, src="sg", with_=GROUPS_SQL, least=WARM),
+    "mondrian": recursion(MON, MON_ISSUE, src="sg", with_=GROUPS_SQL, least=WARM),
+}
+
+
+@query("st_entity_tracker", " UNION ALL ".join(f"SELECT '{k}' AS rule, * FROM ({v}SELECT {LIVE}) {k}_" for k, v in _RULES.items()))
 def st_entity_tracker(t):
-    rows = landed(t, preds(t).select("key", "date", "s"), "scores")
-    d = ST.run_to_table(ST.entity_tracker(rows, S.aci(0.05), 0.05, WARM))
-    return d.select("key", "date", rnd("q_lo").alias("q_lo"), rnd("q_hi").alias("q_hi"), "covered")
+    """Rules without context, with a trailing statistic and with memberships of the rows."""
+    d = soft(with_state(t, "level_pctl")).withColumn("groups", R.overlapping("level_pctl", [0.5, 0.8]))
+    rows = landed(t, d.select("key", "date", "s", "pi", "groups"), "scores")
+    arms = {"aci": (S.aci(0.05), None), "tcp": (S.tcp(0.05), ST.trackers.ORDER_STATISTIC), "rkr": (S.rkr(0.05), None), "mondrian": (S.mondrian(0.05, MON_RATES), None)}
+    out = None
+    for name, (rule, trailing) in arms.items():
+        d = ST.run_to_table(ST.entity_tracker(rows, rule, 0.05, WARM, trailing=trailing))
+        d = d.select(F.lit(name).alias("rule"), "key", "date", rnd("q_lo").alias("q_lo"), rnd("q_hi").alias("q_hi"), "covered")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @query("st_panel_tracker", by_date({k: (s, u) for k, (s, u) in fixed_states(ETAS).items()}, ISSUE3) + "SELECT date, r4(q_lo) AS q_lo, r4(q_hi) AS q_hi FROM th WHERE NOT warmup AND date < (SELECT max(date) FROM th)")

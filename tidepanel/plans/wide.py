@@ -31,12 +31,13 @@ def _sql(name: str) -> str:
  ln(sum(l_extendedprice)) AS x, sum(l_quantity) AS qty, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2)"""
 
 
-WIDE = ["fc_har", "fc_hedge", "cf_aci", "cf_panel_fixed", "cf_panel_adaptive", "cf_var_head"]
+WIDE = ["fc_har", "fc_hedge", "cf_aci", "cf_panel_fixed", "cf_panel_adaptive", "cf_var_head", "fc_gbt_reg",
+        "win_roll_median", "win_roll_quantile", "win_mad_scale", "win_trailing_pctl"]
 
 
 def _register(name: str) -> None:
     plain = REGISTRY[name]
-    sql = plain.sql.replace(PANEL_A, _sql("pa")).replace(PANEL_B, _sql("pb"))
+    sql = plain.sql and plain.sql.replace(PANEL_A, _sql("pa")).replace(PANEL_B, _sql("pb"))
 
     @query(f"{name}_wide", sql)
     def run(t):

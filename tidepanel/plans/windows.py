@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, rnd
 from ..operators import frames as fr
-from ..operators import panel as P
+from ..operators import sliding as SL
 from ..operators import windows as W
 from ..operators.ranks import with_rank
 from .registry import PANEL_A, PANEL_B, query
@@ -69,31 +69,36 @@ def win_roll_vol(t):
     return returns(t).select("key", "date", rnd(W.std("r", 5, 5) * 252 ** 0.5).alias("vol"))
 
 
-@query("win_roll_median", sql(m=f"CASE WHEN count(x) {rows(59, 0)} >= 20 THEN quantile_cont(x, 0.5) {rows(59, 0)} END"))
+def ordered(df, *stats):
+    """Key, date and the named statistics, rounded."""
+    return SL.with_order_statistics(df, *stats).select("key", "date", *[rnd(s.out).alias(s.out) for s in stats])
+
+
+@query("win_roll_median", sql(m=f"CASE WHEN count(x) {rows(249, 0)} >= 50 THEN quantile_cont(x, 0.5) {rows(249, 0)} END"))
 def win_roll_median(t):
-    return pa(t, m=W.quantile("x", 0.5, 60, 20))
+    return ordered(t.panel_a().select("key", "date", "x"), SL.quantile("x", "m", 0.5, 250, 50))
 
 
-MAD_SQL = f"""{RET}, a AS (SELECT *, CASE WHEN count(r) {rows(59, 0)} >= 20 THEN quantile_cont(r, 0.5) {rows(59, 0)} END AS med FROM r),
+MAD_SQL = f"""{RET}, a AS (SELECT *, CASE WHEN count(r) {rows(249, 0)} >= 50 THEN quantile_cont(r, 0.5) {rows(249, 0)} END AS med FROM r),
  b AS (SELECT *, abs(r - med) AS dev FROM a),
- c AS (SELECT *, CASE WHEN count(dev) {rows(59, 0)} >= 20 THEN quantile_cont(dev, 0.5) {rows(59, 0)} END AS mad FROM b),
+ c AS (SELECT *, CASE WHEN count(dev) {rows(249, 0)} >= 50 THEN quantile_cont(dev, 0.5) {rows(249, 0)} END AS mad FROM b),
  d AS (SELECT *, nullif(lag(1.4826 * mad) {OVER}, 0) AS sigma FROM c)"""
 
 
 @query("win_mad_scale", f"{MAD_SQL} {KD}, r6(sigma) AS sigma_hat FROM d")
 def win_mad_scale(t):
-    return W.mad_scale(returns(t), "r", window=60, least=20).select("key", "date", rnd("sigma_hat").alias("sigma_hat"))
+    return ordered(returns(t).select("key", "date", "r"), SL.mad_scale("r", "sigma_hat", 250, 50))
 
 
-@query("win_roll_quantile", f"{RET} {KD}, r6(CASE WHEN count(r) {rows(60, 1)} >= 20 THEN quantile_cont(r, 0.95) {rows(60, 1)} END) AS q FROM r")
+@query("win_roll_quantile", f"{RET} {KD}, r6(CASE WHEN count(r) {rows(500, 1)} >= 250 THEN quantile_cont(r, 0.95) {rows(500, 1)} END) AS q FROM r")
 def win_roll_quantile(t):
-    return returns(t).select("key", "date", rnd(W.quantile("r", 0.95, 60, 20, 1)).alias("q"))
+    return ordered(returns(t).select("key", "date", "r"), SL.quantile("r", "q", 0.95, 500, 250, 1))
 
 
-@query("win_trailing_pctl", f"""WITH {PANEL_A}, c AS (SELECT key, date, x, list(x) {rows(59, 0)} AS h FROM pa)
- {KD}, r6(CASE WHEN len(h) >= 20 THEN (len(list_filter(h, lambda v: v < x)) + (len(list_filter(h, lambda v: v = x)) + 1) / 2.0) / len(h) END) AS p FROM c""")
+@query("win_trailing_pctl", f"""WITH {PANEL_A}, c AS (SELECT key, date, x, list(x) {rows(749, 0)} AS h FROM pa)
+ {KD}, r6(CASE WHEN len(h) >= 250 THEN (len(list_filter(h, lambda v: v < x)) + (len(list_filter(h, lambda v: v = x)) + 1) / 2.0) / len(h) END) AS p FROM c""")
 def win_trailing_pctl(t):
-    return pa(t, p=P.trailing_rank(w(), "x", 60, 20))
+    return ordered(t.panel_a().select("key", "date", "x"), SL.rank("x", "p", 750, 250))
 
 
 @query("win_diff", sql(d1=f"x - lag(x) {OVER}", d2=f"x - 2 * lag(x) {OVER} + lag(x, 2) {OVER}"))
@@ -262,11 +267,11 @@ KNN_SQL = f"""WITH {PANEL_B}, m AS (SELECT date, avg(x) AS a, sum(n) AS b FROM p
  FROM z t JOIN z s ON s.pos < t.pos WHERE t.pos > 20)"""
 
 
-@query("srt_knn", f"{KNN_SQL} SELECT date, past, CAST(rk AS INTEGER) AS rk FROM nn WHERE rk <= 5")
+@query("srt_knn", f"{KNN_SQL} SELECT date, past, CAST(rk AS INTEGER) AS rk FROM nn WHERE rk <= 250")
 def srt_knn(t):
     from ..operators.pooled import nearest_past
     m = t.panel_b().groupBy("date").agg(F.avg("x").alias("a"), F.sum("n").cast("double").alias("b"))
-    return nearest_past(m, ["a", "b"], 5, 20).select("date", "past", "rk")
+    return nearest_past(m, ["a", "b"], 250, 20).select("date", "past", "rk")
 
 
 @query("srt_argbest", f"""WITH {PANEL_A}, s AS (SELECT key, avg(x) AS m, stddev_samp(x) AS sd FROM pa GROUP BY 1)

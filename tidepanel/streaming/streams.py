@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +18,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import normalized, ratio
 from ..operators import pooled as PO
-from ..operators.steps import Rule
 from ..session import shared_folder, written
+from . import trackers  # noqa: F401
+from .trackers import entity_tracker  # noqa: F401
 
 
-def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is available and return the written result."""
+def run_to_table(df: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Process all that is available and return the written result. With the ``base`` of an
+    earlier run it goes on where that one ended."""
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = (df.writeStream.outputMode(mode).format("parquet").option("path", base + "/out")
          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -105,43 +106,6 @@ def expert_losses(preds: DataFrame, losses: dict, late: str) -> DataFrame:
 
 # --- per-key trackers ---------------------------------------------------------------
 
-TRACK = "key string, date date, q_lo double, q_hi double, covered boolean, warmup boolean, late long"
-TRACK_STATE = "warm array<double>, hi array<double>, lo array<double>, last date, late long"
-
-
-def entity_tracker(rows: DataFrame, rule: Rule, a: float, warmup: int) -> DataFrame:
-    """One-vector rules (no context) kept per key across micro-batches. During the
-    warm-up the scores are buffered; then thresholds are issued before every
-    outcome. Rows not newer than the last one are rejected and counted."""
-    def step(key, pdfs, state: GroupState):
-        pdf = pd.concat(list(pdfs)).sort_values("date").reset_index(drop=True)
-        if state.exists:
-            warm, hi, lo, last, late = state.get
-            warm, hi, lo = list(warm), np.array(hi), np.array(lo)
-        else:
-            warm, hi, lo, last, late = [], np.empty(0), np.empty(0), None, 0
-        none, out = np.empty(0), []
-        for d, s in zip(pdf["date"], pdf["s"]):
-            if last is not None and d <= last:
-                late += 1
-                continue
-            last = d
-            if len(warm) < warmup:
-                warm.append(float(s))
-                if len(warm) == warmup:
-                    w = np.array(warm)
-                    hi = rule.start(float(np.quantile(w, 1 - a)), warmup, 0)
-                    lo = rule.start(float(np.quantile(-w, 1 - a)), warmup, 0)
-                continue
-            qh, ql = rule.issue(hi, none), rule.issue(lo, none)
-            out.append((key[0], d, ql, qh, bool(s <= qh and -s <= ql), False, late))
-            hi, lo = rule.learn(hi, none, s, qh), rule.learn(lo, none, -s, ql)
-        state.update((warm, [float(v) for v in hi], [float(v) for v in lo], last, late))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "date", "q_lo", "q_hi", "covered", "warmup", "late"])
-    return rows.groupBy("key").applyInPandasWithState(step, TRACK, TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def run_length(rows: DataFrame) -> DataFrame:
     """Consecutive flagged observations per key; rows: key, date, flag."""
     def step(key, pdfs, state: GroupState):
