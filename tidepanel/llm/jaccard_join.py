@@ -205,7 +205,8 @@ def member_sets(docs: DataFrame, active: DataFrame, id: str, text: str, size: in
     held = row_filter(active.select(F.xxhash64("rep", "k1").alias("k")))
     places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)).alias(f"b{i}") for i in range(2)]
     src = passing(docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("k1"), *places, F.col(text).alias("text")), held).drop("b0", "b1")
-    joined = src.join(active.select("node", "g", "rep", F.col("k1").alias("_k1")), F.col("id").eqNullSafe(F.col("rep")) & (F.col("k1") == F.col("_k1")))
+    # sorted and merged at every size, so that its cost is known from small tables
+    joined = src.join(active.select("node", "g", "rep", F.col("k1").alias("_k1")).hint("merge"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("k1") == F.col("_k1")))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
@@ -324,7 +325,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     buckets = parts_for(total // 8, ROWS_PER_TASK, docs.sparkSession.sparkContext.defaultParallelism)
     matrix = written(shared_parts(marked.select("node", "parts", "cut"), buckets))
     least = matrix.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    shared = written(matrix.join(least, "part").select("part", "node", "low"))
+    shared = written(matrix.join(least.hint("merge"), "part").select("part", "node", "low"))
     classes = written(components(shared.filter("node <> low").select("node", "low").distinct(), "node", "low"))
     sized = nodes.select("node", "n", "rep", "k1", "d1").join(classes.withColumnRenamed("component", "class"), "node")
     large = written(sized.groupBy("class").agg(F.sum("n").alias("total")).filter(F.col("total") > LIMIT).select("class", F.ceil(F.col("total") / LIMIT).cast("int").alias("pieces")))
@@ -348,6 +349,6 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
         named.select("component").distinct(), "component", "left_semi").select(*found.columns)))
     names = found.groupBy("component").agg(F.min("rep").alias("name"))
     decided = written(found.join(names, "component").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "name", F.lit(True).alias("linked")))
-    some = all_docs.filter("n > 0").select("id", "n", "d1", "d2").join(decided, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
+    some = all_docs.filter("n > 0").select("id", "n", "d1", "d2").join(decided.hint("merge"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
     some = some.select("id", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("name")).otherwise(F.col("id")).alias("component"))
     return some.unionByName(all_docs.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component")))

@@ -233,7 +233,7 @@ def losers(docs: DataFrame, id: str, text: str, size: int, similarity: float, k:
     keyed = prefix_links(prefix_keys(src, words, size, similarity), known)
     named = components(links(fps.select("fp", "rep"), k).unionByName(equal).unionByName(keyed)).select(F.col("node").alias("rep"), F.col("component").alias("class"))
     members = written(known.join(named, "rep").select(F.col("rep").alias("id"), "k1", "k2", "class"))
-    inside = src.join(_named(members), _same("id", "k1", "k2")).select("id", F.col("_class").alias("class"), "text")
+    inside = src.join(_named(members).hint("merge"), _same("id", "k1", "k2")).select("id", F.col("_class").alias("class"), "text")
     sets = written(shingle_sets(inside, size).dropDuplicates(["class", "id", "shingles"]))
     groups = components(similar_links(sets, similarity)).filter("node <> component").select(F.col("node").alias("rep"), F.lit(True).alias("lost"))
     decided = written(texts.join(groups, "rep", "left").filter("n > 1 OR lost").select("k1", "k2", "rep", F.coalesce("lost", F.lit(False)).alias("lost")))
@@ -248,7 +248,7 @@ def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     gone, twice = losers(docs, id, text, size, similarity, k)
     k1, k2 = digest2(F.col(text))
     packed = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"))
-    kept = packed.join(_named(gone), _same("id", "k1", "k2"), "left_anti")
+    kept = packed.join(_named(gone).hint("merge"), _same("id", "k1", "k2"), "left_anti")
     if not twice.isEmpty():
         once = kept.join(_named(twice), _same("id", "k1", "k2"), "left_anti")
         many = kept.join(_named(twice), _same("id", "k1", "k2"), "left_semi").dropDuplicates(["id", "k1", "k2"])

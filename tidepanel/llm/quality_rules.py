@@ -144,7 +144,7 @@ def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host
     found = written(found.select(*keys, "kept", "removed_lines").dropDuplicates(keys))
     k1, k2 = digest2(F.col(text))
     packed = docs.select(F.struct("*").alias("row"), F.col(id).alias("_id"), F.col(host).alias("_host"), k1.alias("_k1"), k2.alias("_k2"))
-    met = packed.join(found, _equal(keys), "left").filter(F.coalesce("kept", F.lit(True)))
+    met = packed.join(found.hint("merge"), _equal(keys), "left").filter(F.coalesce("kept", F.lit(True)))
     changed, new = F.col("removed_lines").isNotNull(), without_lines(F.col("row")[text], F.col("removed_lines"))
     met = met.select("row", changed.alias("changed"), F.when(changed, new).otherwise(F.col("row")[text]).alias("new"))
     follow = {text: F.col("new")}
