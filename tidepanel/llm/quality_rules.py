@@ -70,8 +70,8 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", ma
     """(host, line digests) of the lines that are above the limits."""
     d = docs.select(F.col(host).alias("host"), F.transform(worded_lines(F.col(text)), normal).alias("lines"))
     i1, i2 = digest2(F.array_join("lines", "\n"))
-    h = d.select("host", i1.alias("i1"), i2.alias("i2"), F.array_distinct(F.transform("lines", lambda x: F.struct(
-        *[c.alias(n) for c, n in zip(digest2(x), ("a", "b"))]))).alias("keys"))
+    h = d.select("host", i1.alias("i1"), i2.alias("i2"), F.transform(F.array_distinct("lines"), lambda x: F.struct(  # strings are told apart by hash, structs by all pairs
+        *[c.alias(n) for c, n in zip(digest2(x), ("a", "b"))])).alias("keys"))
     # one row per host and identity first: both counts start from rows without copies
     rows = h.select("host", "i1", "i2", F.explode("keys").alias("k")).select("host", "i1", "i2", "k.a", "k.b")
     seen = rows.groupBy("host", "a", "b", "i1", "i2").count().groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n"))
