@@ -250,7 +250,7 @@ def candidates(src: DataFrame) -> DataFrame:
     # equal rows are one document, so a gram counts documents by their route
     repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     mine = grams.join(repeated.select("gram", F.col("n").alias("all")), "gram")
-    return mine.groupBy("route").agg(F.collect_set(F.struct("gram", (F.col("all") > HOT).alias("hot"))).alias("grams"), F.sum("n").alias("anchors"))
+    return mine.groupBy("route").agg(F.collect_list(F.struct("gram", (F.col("all") > HOT).alias("hot"))).alias("grams"), F.sum("n").alias("anchors"))
 
 
 def contexts(src: DataFrame, found: DataFrame) -> DataFrame:
