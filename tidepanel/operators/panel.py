@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
@@ -112,6 +112,17 @@ def cross_section(panel: DataFrame, x: str = "x") -> DataFrame:
     return m.withColumn("dispersion", F.lag("_sd").over(calendar())).drop("_sd")
 
 
+def trailing_rank(window, x: str, size: int, least: int) -> Column:
+    """Average-tie percentile rank of the current value among the trailing
+    ``size`` observations; NULL values are ignored and do not count. A column for
+    short frames, which reads each frame again; ``sliding.rank`` does not."""
+    frame = F.collect_list(x).over(window.rowsBetween(-(size - 1), 0))
+    n = F.size(frame)
+    below = F.size(F.filter(frame, lambda v: v < F.col(x)))
+    same = F.size(F.filter(frame, lambda v: v == F.col(x)))
+    return F.when(F.col(x).isNotNull() & (n >= least), (below + (same + 1) / 2.0) / n)
+
+
 def market_state(panel: DataFrame, x: str = "x", window: int = 60, least: int = 20) -> DataFrame:
     """Level, dispersion and their trailing percentiles, one row per date."""
     return sliding.with_order_statistics(cross_section(panel, x), sliding.rank("level", "level_pctl", window, least),
