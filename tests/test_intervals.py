@@ -44,3 +44,21 @@ def test_timestamps_and_numbers(spark):
     assert sorted((r.id, r.w) for r in ints.collect()) == sorted([(i, 1) for i in range(-5, 6)] + [(0, 2)] + [(i, 3) for i in range(-50, 0)])
     with pytest.raises(TypeError):
         IV.interval_join(spark.createDataFrame([("a",)], "s string"), spark.createDataFrame([(1, 2)], "a int, b int"), "s", "a", "b")
+
+
+def test_facts_merged_without_pairs(spark):
+    """The same facts as by pairs; rows in the plan of the facts are cells, not intervals times days."""
+    rng = random.Random(7)
+    spans = [(i, day(a := rng.randint(-900, 900)), day(a + rng.choice([-3, 0, 1, 2, 7, 31, 365, 1500]))) for i in range(200)]
+    spans += [(200, None, day(-500)), (201, day(600), None), (202, None, None), (203, day(5000), None), spans[3]]
+    p = spark.createDataFrame([(day(rng.randint(-1000, 1000)),) for _ in range(150)] + [(None,)], "date date")
+    v = spark.createDataFrame(spans, "id int, a date, b date")
+    facts = {"n": F.count(F.lit(1)), "low": F.min("id"), "ending": F.count("b")}
+    merge = {"n": F.sum, "low": F.min, "ending": F.sum}
+    rows = lambda **more: sorted(map(tuple, IV.by_point(p, v, "date", "a", "b", facts, **more).collect()))
+    assert rows(merge=merge) == rows() and rows()
+    assert IV.by_point(p.limit(0), v, "date", "a", "b", facts, merge).count() == 0 == IV.by_point(p, v.limit(0), "date", "a", "b", facts, merge).count()
+    times = spark.range(40).selectExpr("timestamp_micros(id * 777777) AS t")
+    w = spark.range(30).selectExpr("id", "timestamp_micros(id * 1000000) AS a", "IF(id % 5 > 0, timestamp_micros(id * 1500000), NULL) AS b")
+    of = lambda **more: sorted(map(tuple, IV.by_point(times, w, "t", "a", "b", {"n": F.count(F.lit(1))}, **more).collect()))
+    assert of(merge={"n": F.sum}) == of()

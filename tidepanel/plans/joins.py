@@ -118,7 +118,8 @@ def jn_window_table(t):
     """Windows of a table that grows with the data, on every row of the panel."""
     p = t.table_a().select("key", "date")
     facts = {"n_open": F.count(F.lit(1)), "first_id": F.min("id"), "n_ending": F.count("b")}
-    d = fr.attach(p, IV.by_point(p, order_windows(t), "date", "a", "b", facts), ["date"])
+    merge = {"n_open": F.sum, "first_id": F.min, "n_ending": F.sum}
+    d = fr.attach(p, IV.by_point(p, order_windows(t), "date", "a", "b", facts, merge), ["date"])
     return d.select("key", "date", F.coalesce("n_open", F.lit(0).cast("long")).alias("n_open"), "first_id", F.coalesce("n_ending", F.lit(0).cast("long")).alias("n_ending"))
 
 

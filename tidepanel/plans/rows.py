@@ -51,7 +51,8 @@ def flt_validity(t):
 def flt_validity_range(t):
     """The rows that are valid on each day of a calendar."""
     days = t.lineitem.select(F.to_date("l_shipdate").alias("date"))
-    return IV.by_point(days, validity_spans(t), "date", "a", "b", {"n_valid": F.count(F.lit(1)), "first_id": F.min("id")})
+    facts = {"n_valid": F.count(F.lit(1)), "first_id": F.min("id")}
+    return IV.by_point(days, validity_spans(t), "date", "a", "b", facts, {"n_valid": F.sum, "first_id": F.min})
 
 
 LAGGED_SQL = f"WITH {PANEL_A}, l AS (SELECT *, lag(x) OVER (PARTITION BY key ORDER BY date) AS lx FROM pa)"
