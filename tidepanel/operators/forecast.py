@@ -54,10 +54,11 @@ def design(panel: DataFrame, x: str = "x", max_gap_days: int | None = None) -> D
 
 
 def walk_forward(d: DataFrame, features: list[str], start: str, least_key: int = 100, least_all: int = 500,
-                 lam: float = 0.0, out: str = "har") -> DataFrame:
+                 lam: float = 0.0, out: str = "har", shared: bool = True) -> DataFrame:
     """Expanding-window fits per (key, quarter) without a loop: sums per quarter,
     running sums over quarters, one small solve each. A row trains the quarters
-    that start after its target's date. Keys with few rows use pooled fits."""
+    that start after its target's date. Keys with few rows use pooled fits; without
+    ``shared`` they get no forecast, and all rows from ``start`` on stay."""
     p = len(features)
     t = d.withColumn("q", quarter_of("ydate"))
     g = G.sums(t, ["key", "q"], features, "y")
@@ -67,6 +68,9 @@ def walk_forward(d: DataFrame, features: list[str], start: str, least_key: int =
     filled = wanted.join(g, ["key", "q"], "full").fillna(zero)
     own = G.solve(G.cumulative(filled, ["key"], "q", p), p, lam, out="own").withColumn(
         "own", F.when(F.col("n_train") >= least_key, F.col("own"))).select("key", "q", "own")
+    if not shared:
+        beta = own.filter(F.col("own").isNotNull()).withColumnRenamed("own", "beta")
+        return attach(test, beta, ["key", "q"]).withColumn(out, G.predict(features)).drop("beta", "q")
     pooled = filled.groupBy("q").agg(*[F.sum(c).alias(c) for c in zero]).withColumn("_all", F.lit(0))
     all_ = G.solve(G.cumulative(pooled, ["_all"], "q", p), p, lam, out="shared").withColumn(
         "shared", F.when(F.col("n_train") >= 1, F.col("shared"))).select("q", "shared")

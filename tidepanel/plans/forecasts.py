@@ -47,7 +47,7 @@ HAR_FIT = (f"hq AS (SELECT DISTINCT key, CAST(date_trunc('quarter', date) AS DAT
 
 
 def har_forecasts(t, p=None):
-    return FC.walk_forward(FC.design(p if p is not None else t.table_a()), H3, START)
+    return FC.walk_forward(FC.design(p if p is not None else t.table_a()), H3, START, shared=False)
 
 
 @query("fc_har", f"{BASE}, {HAR_FIT} SELECT key, date, r4(y) AS target, r4(har) AS har FROM fcst")
