@@ -86,6 +86,23 @@ def test_adaptive_walk_is_exact_with_coarse_cells(spark, monkeypatch):
     assert np.allclose(path_of(out), brute_adaptive(pdf, pi, rates, 0.05), atol=1e-8)
 
 
+@pytest.mark.parametrize("block", [1 << 21, 1000])
+def test_long_steps_on_a_wide_cross_section(spark, monkeypatch, block):
+    """Steps far longer than the spread of the scores: one miscounted score moves all later thresholds,
+    so rounds on cells settle few dates each. In one block, or several and a date above one."""
+    monkeypatch.setattr(PO, "SPLIT", 3)
+    if hasattr(PO, "BLOCK"):
+        monkeypatch.setattr(PO, "BLOCK", block)
+    d, m, pdf, pi = rows(spark, seed=3, dates=100, keys=400, hot=1000)
+    root = lambda s: (s > 0).cast("int")
+    out, _ = PO.run_pooled(d, m, 2, {"f": PO.FixedWalk(0.1, (0.03, 0.05))}, 0.1, DAYS, root=root)
+    assert np.allclose(path_of(out), brute_fixed(pdf, pi, (0.03, 0.05), 0.05), atol=1e-8)
+    if block > 1000:
+        rates = (0.002, 0.03)
+        out, _ = PO.run_pooled(d, m, 2, {"a": PO.AdaptiveWalk(0.1, rates)}, 0.1, DAYS, root=root)
+        assert np.allclose(path_of(out), brute_adaptive(pdf, pi, rates, 0.05), atol=1e-6)
+
+
 def test_reductions(spark):
     """One rate without corrector on hard regimes is the fixed walk; averaged
     errors with a rate times n are the summed ones."""

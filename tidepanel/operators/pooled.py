@@ -10,9 +10,13 @@ which come from a digest of bounded size per date:
    a cell that holds different scores, the cell is reported.
 3. reported cells are split further from the rows and the walk repeats, until no
    threshold falls into an open cell: then all counts and sums are exact.
-4. the thresholds, one row per date, are joined back to the rows.
+4. with summed errors on wide cross-sections a step can be far longer than the scores'
+   spread, so a single miscounted score moves all later thresholds and a round settles a few
+   dates only. What is open after ``TRIES`` rounds is walked in blocks of dates, on the
+   scores of each block and from the state that the block before left.
+5. the thresholds, one row per date, are joined back to the rows.
 
-The walk sees dates x cells numbers whatever the number of rows.
+The walk sees dates x cells numbers whatever the number of rows, or the scores of one block.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .steps import weights
 from .windows import mad_scale
 
 CELLS, SPLIT = 512, 128
+#: Rounds on cells before blocks of dates, and most scores of a block of several dates.
+TRIES, BLOCK = 6, 1 << 21
 CELL = ("lo", "hi", "c", "t", "path")
 POOL_RATES = (0.0005, 0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.064)  # fixed values: candidate rates
 XS_DAYS, XS_GAMMA, XS_LOW, XS_HIGH = 5, 0.005, 1e-4, 0.499  # fixed values
@@ -284,29 +290,91 @@ def calendar_frame(rows: DataFrame, membership: DataFrame | None, alpha: float,
 OUT = "arm string, date date, warm boolean, q_lo double, q_hi double, rates array<double>, touched array<string>, state array<double>"
 
 
-def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rounds: int = 40) -> DataFrame:
-    """Walk all arms, splitting cells until every lookup is exact. ``walks`` maps
-    an arm to a function from its date frame to (q_lo, q_hi, rates, open cells[, state])."""
-    digest = first_digest(rows, root)
-    arms = F.explode(F.array(*[F.lit(a) for a in walks]))
-
+def _runner(walks: dict, states: dict, exact: bool = False):
+    """One arm on its date frame, from its state if it has one; ``exact``: each score is a cell."""
     def run(pdf):
         pdf = pdf.sort_values("date").reset_index(drop=True)
         arm = pdf["arm"].iloc[0]
-        pdf["cells"] = list(zip(*[pdf["cell_" + c] for c in CELL]))
-        res = walks[arm](pdf)
+        if exact:
+            found = [np.unique(x, return_counts=True) for x in pdf["x"]]
+            pdf["cells"] = [(v, v, c, v * c, ()) for v, c in found]
+        else:
+            pdf["cells"] = list(zip(*[pdf["cell_" + c] for c in CELL]))
+        res = walks[arm](pdf, states[arm]) if arm in states else walks[arm](pdf)
         return pd.DataFrame({"arm": arm, "date": pdf["date"], "warm": pdf["warm"], "q_lo": [r[0] for r in res], "q_hi": [r[1] for r in res],
                              "rates": [r[2] for r in res], "touched": [r[3] for r in res],
                              "state": [r[4] if len(r) > 4 else [] for r in res]})
-    for _ in range(rounds):
+    return run
+
+
+def _each_arm(walks: dict):
+    return F.explode(F.array(*[F.lit(a) for a in walks]))
+
+
+def _rounds(rows: DataFrame, cal: DataFrame, walks: dict, states: dict, root, rounds: int) -> tuple[DataFrame, bool]:
+    """The walk on cells that are split where it meets open ones, and whether it met none in the end."""
+    digest = first_digest(rows, root)
+    run = _runner(walks, states)
+    for left in range(rounds - 1, -1, -1):
         digest = written(digest)
         cells = digest.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "c", "t", "path"))).alias("x"))
         cells = cells.select("date", *[F.col(f"x.{c}").alias("cell_" + c) for c in CELL])
-        path = written(cal.join(cells, "date").withColumn("arm", arms).groupBy("arm").applyInPandas(run, OUT))
+        path = written(cal.join(cells, "date").withColumn("arm", _each_arm(walks)).groupBy("arm").applyInPandas(run, OUT))
         open_cells = path.select("date", F.explode("touched").alias("path")).distinct()
         if open_cells.isEmpty():
-            return path.drop("touched")
-        digest = split_cells(rows, digest, open_cells, root)
+            return path, True
+        if left:
+            digest = split_cells(rows, digest, open_cells, root)
+    return path, False
+
+
+def _blocks(sizes: list) -> list[tuple]:
+    """Consecutive dates (first, last, scores) of at most ``BLOCK`` scores; a larger date is alone."""
+    out = []
+    for r in sizes:
+        if out and out[-1][2] + r["n"] <= BLOCK:
+            out[-1] = (out[-1][0], r["date"], out[-1][2] + r["n"])
+        else:
+            out.append((r["date"], r["date"], r["n"]))
+    return out
+
+
+def _walk_blocks(rows: DataFrame, cal: DataFrame, walks: dict, path: DataFrame, root, rounds: int) -> DataFrame:
+    """The dates of a path from its first open one on, block by block. The driver carries the state of
+    the arms and one row per date; a date above ``BLOCK`` scores is walked on cells, all of
+    whose lookups are known from its start."""
+    first = path.filter(F.size("touched") > 0).agg(F.min("date").alias("date")).first()["date"]
+    done = path.filter(F.col("date") < F.lit(first)).drop("touched")
+    states = {r["arm"]: r["state"] for r in done.groupBy("arm").agg(F.max_by("state", "date").alias("state")).collect()}
+    left = rows.filter(F.col("date") >= F.lit(first)).select("date", "s_std")
+    sizes = left.groupBy("date").agg(F.count(F.lit(1)).alias("n")).orderBy("date").collect()  # one row per date
+    left = written(left.repartitionByRange("date", "s_std").sortWithinPartitions("date", "s_std"))
+    found = []
+    for a, b, n in _blocks(sizes):
+        of_block = F.col("date").between(F.lit(a), F.lit(b))
+        part, days = left.filter(of_block), cal.filter(of_block)
+        if n > BLOCK:
+            walked, settled = _rounds(part, days, walks, states, root, rounds)
+            if not settled:
+                raise RuntimeError("cells were still open after the last round")
+        else:
+            scores = part.groupBy("date").agg(F.collect_list("s_std").alias("x"))
+            walked = days.join(scores, "date").withColumn("arm", _each_arm(walks)).groupBy("arm").applyInPandas(_runner(walks, states, True), OUT)
+        new = walked.drop("touched").collect()
+        states = {r["arm"]: r["state"] for r in sorted(new, key=lambda r: r["date"])}
+        found += new
+    return written(done.unionByName(path.sparkSession.createDataFrame(found, done.schema)))
+
+
+def thresholds(rows: DataFrame, cal: DataFrame, walks: dict, root=root_cell, rounds: int = 40, resumable: bool = False) -> DataFrame:
+    """Walk all arms until every lookup is exact. ``walks`` maps an arm to a function from its date
+    frame to (q_lo, q_hi, rates, open cells[, state]). ``resumable``: the functions also take a state
+    to go on from, and give the state after each date."""
+    path, settled = _rounds(rows, cal, walks, {}, root, min(TRIES, rounds) if resumable else rounds)
+    if settled:
+        return path.drop("touched")
+    if resumable:
+        return _walk_blocks(rows, cal, walks, path, root, rounds)
     raise RuntimeError("cells were still open after the last round")
 
 
@@ -328,8 +396,9 @@ def run_pooled(rows: DataFrame, membership: DataFrame | None, k: int, walks: dic
     """rows: key, date, s_std, sigma_hat. Returns (issued rows, thresholds)."""
     rows = written(rows.filter(F.col("s_std").isNotNull()))
     cal = written(calendar_frame(rows, membership, alpha, k, warmup_days, one_sided))
-    named = {arm: (lambda pdf, w=w: _walk(pdf, w)) if not callable(w) else w for arm, w in walks.items()}
-    path = thresholds(rows, cal, named, root)
+    resumable = not any(callable(w) for w in walks.values())
+    named = {arm: (lambda pdf, state=None, w=w: _walk(pdf, w, state, True)) if not callable(w) else w for arm, w in walks.items()}
+    path = thresholds(rows, cal, named, root, resumable=resumable)
     return issue(rows, path, list(walks), one_sided), path
 
 

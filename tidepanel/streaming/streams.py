@@ -192,7 +192,7 @@ class PanelTracker:
         cal = dates.withColumn("pi", normalized(F.col("pi"), self.k)).withColumn("warm", F.lit(False)) \
             .withColumn("q0_hi", F.lit(float(self.start["hi"]))).withColumn("q0_lo", F.lit(float(self.start["lo"])))
         make, before = self.walk, list(state or [])
-        return PO.thresholds(ready, written(cal), {"stream": lambda pdf: PO._walk(pdf, make(), before, True)})
+        return PO.thresholds(ready, written(cal), {"stream": lambda pdf, state=None: PO._walk(pdf, make(), state or before, True)}, resumable=True)
 
     def finish(self) -> DataFrame:
         """Thresholds of all closed dates."""
