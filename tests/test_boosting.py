@@ -135,3 +135,19 @@ def test_hedge_of_har_and_trees(spark):
     assert loss["pool"] < 1.02 * min(loss["har"], loss["trees"])
     first = pool[pool["date"] == pool["date"].min()]
     assert np.allclose(first["pool"], (first["har"] + first["trees"]) / 2)
+
+
+@pytest.mark.parametrize("labels", [False, True])
+def test_grid_of_all_cells_gives_the_same_trees(monkeypatch, labels):
+    """Boxes of a grid and lists of cells: the same predictions, also for cells that are only asked for."""
+    g = np.random.default_rng(5)
+    sizes = np.array([17, 1, 23, 11])
+    bins = np.unique(np.stack([g.integers(0, s, 3000) for s in sizes], 1), axis=0)
+    n = g.integers(0, 40, len(bins)).astype(float)
+    total = g.binomial(n.astype(int), 0.2 + 0.5 * (bins[:, 0] > 8)).astype(float) if labels else n * (bins[:, 2] - 0.3 * bins[:, 0]) + g.normal(size=len(bins)) * n
+    boost = B.Boost(trees=30, rate=0.2, depth=5, least=20, labels=labels)
+    found = []
+    for share in (B.GRID_SHARE, 0):
+        monkeypatch.setattr(B, "GRID_SHARE", share)
+        found.append(B.fit_cells(bins, n, total, sizes, boost))
+    assert np.allclose(*found, rtol=1e-9, atol=1e-9) and len(np.unique(found[0])) > 20

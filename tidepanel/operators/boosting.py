@@ -75,12 +75,51 @@ def grow(bins: np.ndarray, n: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: n
             break
         own = feature_of[node]
         right = (own >= 0) & (bins[np.arange(len(node)), np.maximum(own, 0)] > cut_of[node])
-        node = np.unique(node * 2 + right, return_inverse=True)[1]
-        nodes = int(node.max()) + 1
+        node = node * 2 + right
+        held = np.bincount(node, minlength=2 * nodes) > 0  # numbered without gaps
+        node, nodes = (held.cumsum() - 1)[node], int(held.sum())
     total_g, total_h = np.bincount(node, g, nodes), np.bincount(node, h, nodes)
     return (shrunk(total_g, b.l1) / (total_h + b.l2))[node]
 
 
+def grow_grid(n: np.ndarray, g: np.ndarray, h: np.ndarray, allowed: np.ndarray, b: Boost) -> np.ndarray:
+    """As ``grow``, on arrays with an axis for each feature: a node is a box, whose counts and sums by the
+    bins of a feature are sums over its other axes."""
+    score = lambda gs, hs: shrunk(gs, b.l1) ** 2 / (hs + b.l2)
+    out, axes = np.empty(n.shape), range(n.ndim)
+    open_boxes = [tuple(slice(0, s) for s in n.shape)]
+    for level in range(b.depth + 1):
+        split = []
+        for box in open_boxes:
+            nb, gb, hb = n[box], g[box], (n if h is n else h)[box]
+            total_g, total_h = gb.sum(), hb.sum()
+            gain_of, cut_of, feature_of = 1e-12, 0, -1
+            for f in (np.flatnonzero(allowed) if level < b.depth else ()):
+                if n.shape[f] < 2 or nb.shape[f] < 2:
+                    continue
+                others = tuple(a for a in axes if a != f)
+                left_n, left_g = nb.sum(others).cumsum()[:-1], gb.sum(others).cumsum()[:-1]
+                left_h = left_n if h is n else hb.sum(others).cumsum()[:-1]
+                whole = left_n[-1] + nb.take(-1, f).sum()
+                gain = score(left_g, left_h) + score(total_g - left_g, total_h - left_h) - score(total_g, total_h)
+                gain[(left_n < b.least) | (whole - left_n < b.least)] = -1
+                cut = int(gain.argmax())
+                if gain[cut] > gain_of * (1 + 1e-9):  # near ties go to the first feature
+                    gain_of, cut_of, feature_of = gain[cut], cut, f
+            if feature_of < 0:
+                out[box] = shrunk(total_g, b.l1) / (total_h + b.l2)
+                continue
+            side = box[feature_of]
+            for part in (slice(side.start, side.start + cut_of + 1), slice(side.start + cut_of + 1, side.stop)):
+                split.append((*box[:feature_of], part, *box[feature_of + 1:]))
+        open_boxes = split
+    return out
+
+
+#: The grid of all cells is held whole where at least one in so many of its cells has rows or is asked.
+GRID_SHARE = 16
+
+
 def fit_cells(bins: np.ndarray, n: np.ndarray, total: np.ndarray, sizes: np.ndarray, b: Boost) -> np.ndarray:
     """Predictions of all cells. ``total`` is the sum of a cell's targets; cells with n = 0 are only predicted."""
     rows, ones = n.sum(), total.sum()
@@ -93,6 +132,12 @@ def fit_cells(bins: np.ndarray, n: np.ndarray, total: np.ndarray, sizes: np.ndar
     else:
         value = np.full(len(n), ones / rows)
     features = bins.shape[1]
+    dense = np.prod(sizes.astype(float)) <= min(2 * CELLS, GRID_SHARE * len(n))
+    if dense:
+        place = tuple(bins.T)
+        grid = lambda x: np.bincount(np.ravel_multi_index(place, tuple(sizes)), x, int(np.prod(sizes))).reshape(tuple(sizes))
+        n, total, value = grid(n), grid(total), np.full(tuple(sizes), value[0])
+        weight = up * total + down * (n - total) if b.labels else None
     used = max(1, int(np.ceil(b.columns * features)))
     for t in range(b.trees):
         allowed = np.zeros(features, bool)
@@ -102,7 +147,9 @@ def fit_cells(bins: np.ndarray, n: np.ndarray, total: np.ndarray, sizes: np.ndar
             g, h = up * total - weight * p, weight * p * (1 - p)
         else:
             g, h = total - n * value, n
-        value = value + b.rate * grow(bins, n, g, h, sizes, allowed, b)
+        value = value + b.rate * (grow_grid(n, g, h, allowed, b) if dense else grow(bins, n, g, h, sizes, allowed, b))
+    if dense:
+        value = value[place]
     return 1 / (1 + np.exp(-value)) if b.labels else value
 
 
@@ -156,7 +203,7 @@ def walk_forward_trees(d: DataFrame, features: list[str], start: str, boost: Boo
     cells = past.withColumn("fold", F.explode(ahead)).groupBy("fold", *names).agg(F.sum("n").alias("n"), F.sum("total").alias("total")) if folds else None
     if cells is None:
         return test.withColumn(out, F.lit(None).cast("double")).drop("fold", *names)
-    return _fitted(cells, asked, test, names, sizes, boost, least, out, "date")
+    return _fitted(cells, asked, test, names, sizes, boost, least, out, "date", len(folds))
 
 
 def split_trees(train: DataFrame, test: DataFrame, features: list[str], y: str, boost: Boost | None = None, out: str = "trees") -> DataFrame:
@@ -171,7 +218,7 @@ def split_trees(train: DataFrame, test: DataFrame, features: list[str], y: str,
     return _fitted(written(cells), written(rows.groupBy("fold", *names).count().drop("count")), rows, names, sizes, boost, 1, out, "int")
 
 
-def _fitted(cells: DataFrame, asked: DataFrame, rows: DataFrame, names: list[str], sizes: np.ndarray, boost: Boost, least: int, out: str, kind: str) -> DataFrame:
+def _fitted(cells: DataFrame, asked: DataFrame, rows: DataFrame, names: list[str], sizes: np.ndarray, boost: Boost, least: int, out: str, kind: str, folds: int = 1) -> DataFrame:
     """Fits every fold on its cells (fold, bins, n, total) and gives its prediction to the rows."""
     both = cells.select("fold", *names, "n", "total", F.lit(False).alias("asked")).unionByName(
         asked.select("fold", *names, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(True).alias("asked")))
@@ -184,5 +231,6 @@ def _fitted(cells: DataFrame, asked: DataFrame, rows: DataFrame, names: list[str
         bins, n, total, wanted = bins[order], n[order], total[order], wanted[order]
         value = fit_cells(bins, n, total, sizes, boost) if n.sum() >= least else np.full(len(n), np.nan)
         return pa.table([t["fold"].combine_chunks().take(pa.array(order[wanted])), *[pa.array(b, pa.int32()) for b in bins[wanted].T], pa.array(value[wanted], from_pandas=True)], names=["fold", *names, out])
-    found = both.groupBy("fold").applyInArrow(fit, f"fold {kind}, {', '.join(f'{c} int' for c in names)}, {out} double")
+    # folds are few rows and long work: one to a task, by ranges that are not put together again
+    found = both.repartitionByRange(folds, "fold").groupBy("fold").applyInArrow(fit, f"fold {kind}, {', '.join(f'{c} int' for c in names)}, {out} double")
     return attach(rows, found, ["fold", *names]).drop("fold", *names)
