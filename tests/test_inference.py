@@ -1,5 +1,7 @@
 """Back-tests, model confidence sets, text models."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -64,6 +66,26 @@ def test_tfidf_rows_have_unit_length_and_svd_orders(spark):
     assert np.allclose(np.linalg.norm(s, axis=0), np.linalg.svd(m, compute_uv=False)[:3], rtol=1e-3)
 
 
+def test_vocabulary_of_words_and_pairs(spark):
+    """The terms of a count over all words and pairs; a NULL text has none."""
+    g = np.random.default_rng(5)
+    texts = [" ".join(g.choice(["ax", "bx", "cx", "dx", "ex", "fx", "gx"], 12, p=[.3, .2, .15, .13, .1, .07, .05])) for _ in range(40)] + [None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = [(t or "").split() for t in texts]
+    terms = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    n, docs = Counter(t for x in terms for t in x), Counter(t for x in terms for t in set(x))
+    for features in (5, 12, 1000):
+        want = sorted((t for t in n if 2 <= docs[t] <= 0.95 * len(texts)), key=lambda t: (-n[t], t))[:features]
+        got = TM.vocabulary(spark.createDataFrame([(w,) for w in words], "w array<string>"), features, 2.0, 0.95)
+        kept = [-n[t] for t in want]
+        assert [-n[t] for t in got[0]] == kept and got[1] == [docs[t] for t in got[0]] and got[2] == len(texts)
+        assert set(got[0]) >= {t for t in want if n[t] > -kept[-1]}
+    rows = TM.tfidf(d, "text").orderBy("doc_id").collect()
+    assert len(rows) == 41 and rows[-1]["tfidf"].numNonzeros() == 0
+    s = TM.truncated_svd(TM.tfidf(d, "text"), "tfidf", 2, "svd")
+    assert s.count() == 41 and s.filter("text IS NULL").first()["svd"] == [0.0, 0.0]
+
+
 def test_pca_ignores_later_rows(spark):
     g = np.random.default_rng(3)
     x = g.normal(size=(80, 4)) * [3, 2, 1, 0.5]

@@ -256,7 +256,7 @@ def ft_novelty(t):
 @query("ft_tfidf_svd")
 def ft_tfidf_svd(t):
     from ..operators.textmodels import tfidf, truncated_svd
-    d = truncated_svd(tfidf(t.documents.select("doc_id", "text"), "text"), "tfidf", 5, "svd")
+    d = truncated_svd(tfidf(t.documents.select("doc_id", "text"), "text").drop("text"), "tfidf", 5, "svd")
     return d.select("doc_id", *[rnd(F.col("svd")[i], 4).alias(f"c{i}") for i in range(5)])
 
 
