@@ -1,6 +1,7 @@
 """Operators on texts against brute force over whole small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -212,6 +213,28 @@ def test_token_files_query(spark, rows):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in run(spark, "op7_token_files").collect()} == want
 
 
+def test_library_encoder_cuts_and_forgets(monkeypatch):
+    """Ids equal the library's whatever stands between words; words at lines' starts and ends are no parts of their own kind."""
+    monkeypatch.setattr(token_files, "KEPT", 60)
+    lib = token_files.LibraryEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert [x.tolist() for x in lib.encode([""])] == [[]] and lib.encode([]) == []
+    rng = random.Random(4)
+    words = ["abc", "it's", "é.", "e\u0301.", "...", "x,", "12.", "漢字。", "DON'T", "a\tb", "q&&&", "'s", "\u2028", "w.,", "<|endoftext|>"]
+    gaps = [" ", " ", " ", "\n", "\n", "  ", " \n", "\n\n", "\n ", "\r\n", "\u00a0", "\x1c", ""]
+    for block in range(30):
+        pool, between = (words, gaps) if block % 2 else (words[:-1], gaps[:5])
+        texts = ["".join(w for _ in range(rng.randrange(12)) for w in (rng.choice(pool), rng.choice(between))) for _ in range(40)] + ["", "\n", " a", "a\n", "a "]
+        texts += ["".join(rng.choices("abcdefgh", k=6)) + ".\n" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(20)]
+        want = [e.ids for e in lib.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in lib.encode(texts)] == want
+        assert lib.known.to_pylist().count("abc") <= 1 and len(set(lib.known.to_pylist())) == len(lib.known)
+    monkeypatch.setattr(token_files, "KEPT", 1_000)
+    lib = token_files.LibraryEncoder(lib.tokenizer.to_str())
+    lines = [f"one {a}.\n{b} two" for a in ("ab", "cd", "ef", "gh") for b in ("Ij", "Kl", "Mn", "Op")]
+    lib.encode(lines)
+    assert len(lib.known) == 4 + 4 + 4 + 2  # words, words with a full stop, line starts, both others
+
+
 def test_token_files_odd_rows(spark, odd, monkeypatch):
     json = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
     path = token_files.write(odd, json, 2, shard_ids=60)  # several shards a range

@@ -18,7 +18,6 @@ no shard and reads as an empty result; other columns are left out.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 import zlib
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder, written
 from . import elias_fano
 from .base import parts_for
-from .bpe import TextCache, as_bytes, blocks
+from .bpe import CUT, as_bytes, taken
 
 MAGIC = b"EFTOKEN1"
 HEAD = struct.Struct("<8sB3xIIQQqQ")
@@ -41,8 +41,10 @@ SHARD_IDS = 4_000_000
 DOCS_PER_RANGE = 4_000
 #: Ranges whose offsets are one running sum; a thousand million documents are fewer blocks than that.
 RANGES_PER_BLOCK = 1_000
-#: Parts of texts in one generation of what a worker keeps.
-KEPT = 400_000
+#: Parts of texts that a worker keeps, about: a table of some 50 bytes each.
+KEPT = 1_000_000
+#: Bytes of text that are cut and looked up at once.
+BLOCK = 16_000_000
 
 
 def pack(part: int, number: int, ids: list[int | None], tokens: list[np.ndarray], width: int) -> bytes:
@@ -80,65 +82,147 @@ class Shard:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. Texts are cut where the tokenizer cuts too
-    (before a blank between words, and before a full stop or comma at a word's end),
-    and each distinct part is encoded once. Words are given to the library many in
-    one text; the bytes that the ids stand for tell where a word ends. A text that
-    has the string of a special token goes to the library as it is."""
+    """Ids by the tokenizers library. Texts are cut where the tokenizer cuts too (before a blank
+    or a line feed between two characters that are no white space, and before a full stop or
+    comma at a part's end), and each distinct part is encoded once. Texts are cut, their parts looked up
+    among those known and the ids gathered in Arrow; Python sees new parts only. New parts are given to
+    the library many in one text; the bytes that the ids stand for tell where a part ends. Each text
+    is cut as the rest of a line, whose line feed is dropped from the ids. A text with other white
+    space between its parts is cut with care; one that has the string of a special token goes to the library as it is."""
 
     def __init__(self, json: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(json)
-        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(names)).search if names else lambda t: None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes: byte-level tokens have a letter for each
         for token, i in vocabulary.items():
             self.size[i] = len(token)
-        self.tails = dict(zip(".,", self._ask([".", ","])))
-        self.texts = TextCache(self._parts, KEPT)
+        full_stop, comma, feed = self._ask([".", ",", "\n"])
+        self.tails = {".": full_stop, ",": comma}
+        self.feed = len(feed) // 4
+        self.known = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
+        self.last = np.zeros(0, np.int64)  # the block that used a part last
+        self.block = 0
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return as_bytes([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """A word before a full stop or comma may be known; others are asked for."""
-        known = self.texts.after_blank
-        ids: dict[str, bytes] = {}
-        ask, tailed = set(), []
-        for p in parts:
-            if p[-1:] in self.tails and p[-2:-1].isalpha():
-                tailed.append(p)
-                p = p[:-1]
-                held = (known.young.get(p[1:]) or known.old.get(p[1:])) if p[0] == " " else None
-                if held:
-                    ids[p] = held
-                    continue
-            ask.add(p)
-        self._words(ask, ids)
-        for p in tailed:
-            ids[p] = ids[p[:-1]] + self.tails[p[-1]]
-        return [ids[p] for p in parts]
-
-    def _words(self, parts: set[str], ids: dict[str, bytes], many: int = 400) -> None:
-        plain = [p for p in parts if p[:1] == " " and p[1:].isalpha()]
-        groups = [plain[lo:lo + many] for lo in range(0, len(plain), many)]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
+    def _parts(self, parts: list[str], many: int = 400) -> pa.Array:
+        """Ids of parts, which begin with a blank or a line feed and end before another one."""
+        if not parts:
+            return pa.array([], pa.large_binary())
+        groups = [parts[lo:lo + many] for lo in range(0, len(parts), many)]
+        length = pc.binary_length(pa.array(parts, pa.large_string())).to_numpy()
+        flat, counts = [], []
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
             got = np.array(e.ids, "<u4")
-            ends = np.cumsum(list(map(len, map(str.encode, g))))
+            ends = np.cumsum(length[k * many:(k + 1) * many])
             upto = np.cumsum(self.size[got])
             last = np.searchsorted(upto, ends)
-            if len(got) and last[-1] == len(got) - 1 and (upto[last] == ends).all():  # else words were cut otherwise
-                data, cut = got.tobytes(), ((last + 1) * 4).tolist()
-                ids.update(zip(g, map(data.__getitem__, map(slice, [0, *cut], cut))))
-        rest = [p for p in parts if p not in ids]
-        ids.update(zip(rest, self._ask(rest)))
+            if len(got) and last[-1] == len(got) - 1 and (upto[last] == ends).all():
+                flat.append(got)
+                counts.append(np.diff(last, prepend=-1))
+            else:  # parts were cut otherwise
+                one = self._ask(groups[k])
+                flat.append(np.frombuffer(b"".join(one), "<u4"))
+                counts.append(np.array(list(map(len, one))) // 4)
+        return binaries(np.concatenate(flat), np.concatenate(counts))
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Takes up new parts, and returns their places. A part before a full stop or comma may be known."""
+        tailed = pc.match_substring_regex(new, r"\p{L}[.,]\z")
+        long = new.filter(tailed)
+        base = pa.concat_arrays([new.filter(pc.invert(tailed)), pc.utf8_slice_codeunits(long, 0, -1)]).dictionary_encode()
+        place = pc.index_in(base.dictionary, value_set=self.known)
+        ask = base.dictionary.filter(place.is_null())
+        held = len(self.known)
+        missing = place.is_null().to_numpy(zero_copy_only=False)
+        place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        place[missing] = held + np.arange(len(ask))
+        place = place[base.indices.to_numpy()]
+        ids = pa.concat_arrays([self.ids, self._parts([p if p[0] == "\n" else " " + p for p in ask.to_pylist()])])
+        tails = pa.array([self.tails[p] for p in pc.utf8_slice_codeunits(long, -1).to_pylist()], pa.large_binary())
+        joined = pc.binary_join_element_wise(ids.take(pa.array(place[len(new) - len(long):])), tails, pa.scalar(b"", pa.large_binary()))
+        self.known, self.ids = pa.concat_arrays([self.known, ask, long]), pa.concat_arrays([ids, joined])
+        self.last = np.r_[self.last, np.full(len(ask) + len(long), self.block)]
+        at = np.empty(len(new), np.int64)
+        where = tailed.to_numpy(zero_copy_only=False)
+        at[~where] = place[:len(new) - len(long)]
+        at[where] = held + len(ask) + np.arange(len(long))
+        return at
+
+    def _forget(self) -> None:
+        """Half of a full table stays: the parts used last."""
+        if len(self.known) > KEPT:
+            keep = np.sort(np.argsort(-self.last, kind="stable")[:KEPT // 2])
+            self.known, self.ids, self.last = self.known.take(pa.array(keep)), self.ids.take(pa.array(keep)), self.last[keep]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no NULLs), one after another, and where each text's begin and end."""
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        self._forget()
+        self.block += 1
+        feed = pa.scalar("\n", pa.large_string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
+        parts, bounds = lists.flatten(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        found = pc.index_in(parts, value_set=self.known)
+        unknown = found.is_null()
+        code = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        apart = special.copy()
+        if pc.any(unknown).as_py():
+            fresh = parts.filter(unknown).dictionary_encode()
+            where = np.flatnonzero(unknown.to_numpy(zero_copy_only=False))
+            odd = np.array([not p or p[-1].isspace() or p[p[0] == "\n"].isspace() for p in fresh.dictionary.to_pylist()], bool)
+            at = np.zeros(len(odd), np.int64)
+            at[~odd] = self._learn(fresh.dictionary.filter(pa.array(~odd)))
+            code[where] = at[fresh.indices.to_numpy()]
+            apart[np.searchsorted(bounds, where[odd[fresh.indices.to_numpy()]], "right") - 1] = True
+        if len(self.last):
+            self.last[code] = self.block
+        ids, rows = self.ids, np.flatnonzero(apart)
+        if not len(rows):
+            data, ends = taken(ids, code)
+            flat, ends = np.frombuffer(data, "<u4", int(ends[-1]) // 4), ends[bounds] // 4
+            keep = np.ones(len(flat), bool)
+            keep[(ends[:-1, None] + np.arange(self.feed)).ravel()] = False  # each text's line feed
+            return flat[keep], ends - self.feed * np.arange(len(ends))
+        near = np.flatnonzero(~apart)
+        flat, ends = self.encode_array(texts.take(pa.array(near))) if len(near) else (None, None)
+        held = {k: flat[a:b] for k, a, b in zip(near.tolist(), ends.tolist(), ends[1:].tolist())} if len(near) else {}
+        cut = {k: [t] if special[k] else CUT.split(t) for k, t in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist())}
+        cut = {k: [p if n == 0 else " " + p for n, p in enumerate(ps)] for k, ps in cut.items()}
+        wanted = list({p for ps in cut.values() for p in ps})
+        got = dict(zip(wanted, self._ask(wanted)))
+        held |= {k: np.frombuffer(b"".join(map(got.__getitem__, ps)), "<u4") for k, ps in cut.items()}
+        all_ids = [held[k] for k in range(len(texts))]
+        return np.concatenate(all_ids), np.cumsum([0, *map(len, all_ids)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        special = [bool(self.special(t)) for t in texts]
-        ids = self.texts.ids(["" if s else t for t, s in zip(texts, special)])
-        return [np.frombuffer(self._ask([t])[0], "<u4") if s else b for t, s, b in zip(texts, special, ids)]
+        if not texts:
+            return []
+        flat, ends = self.encode_array(pa.array(texts, pa.large_string()))
+        return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of 32-bit numbers as bytes."""
+    ends = np.r_[0, np.cumsum(counts)].astype(np.int64) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
+
+
+def text_blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about so many bytes of text each."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy())
+    lo = 0
+    while lo < len(texts):
+        hi = min(len(texts), int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size)) + 1)
+        yield lo, hi
+        lo = hi
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -174,8 +258,11 @@ def write(docs: DataFrame, json: str, end_id: int, id: str = "doc_id", text: str
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([pack(part, number, ids, tokens, width)], pa.binary())], names=["value"])
         for rb in rows:
-            for sub, texts in blocks(rb, 1):
-                for i, t in zip(sub.column(0).to_pylist(), encoder.encode(texts)):
+            texts = pc.fill_null(rb.column(1).cast(pa.large_string()), "")
+            for lo, hi in text_blocks(texts):
+                flat, ends = encoder.encode_array(texts.slice(lo, hi - lo))
+                for i, a, b in zip(rb.column(0).slice(lo, hi - lo).to_pylist(), ends.tolist(), ends[1:].tolist()):
+                    t = flat[a:b]
                     if tokens and size + len(t) + 1 > shard_ids:
                         yield flush()
                         number, ids, tokens, size = number + 1, [], [], 0
