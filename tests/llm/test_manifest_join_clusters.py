@@ -158,6 +158,16 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, limit, size, similarity):
     assert len({w[2] for w in want}) < len(want) * 0.8  # there are links to be found
 
 
+def test_jaccard_first_round_moves_no_tokens(spark, tmp_path):
+    """The queries of the first round are rows of the sets; nothing is joined or dealt for them."""
+    rows = [(1, 7, 7, 2, b"a"), (2, 8, 7, 2, b"b"), (3, 9, 9, 2, b"c"), (4, 8, 7, 2, b"d")]
+    spark.createDataFrame(rows, "node long, g long, first long, n long, tokens binary").write.parquet(str(tmp_path / "sets"))
+    asked = jaccard_join.to_first(spark.read.parquet(str(tmp_path / "sets")))
+    assert sorted((r.node, r.g) for r in asked.collect()) == [(2, 7), (4, 7)]
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_jaccard_odd_rows(spark, odd):
     long = " ".join(f"w{i % 5000}x{i // 7}" for i in range(400_000))
     more = [(50, long, None), (51, long + " tail", None), (None, "no id at all, five words more", None), (None, "one TWO three four five", None), (7, "other text of an id that is taken", None)]

@@ -200,21 +200,21 @@ def passing(docs: DataFrame, held: np.ndarray) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, active: DataFrame, id: str, text: str, size: int) -> DataFrame:
-    """(node, g, n, tokens): the sets of the nodes that share a part, from their texts."""
+    """(node, g, first, n, tokens): the sets of the nodes that share a part, from their texts."""
     key = F.xxhash64(F.col(id).cast("long"), F.xxhash64(text))
     held = row_filter(active.select(F.xxhash64("rep", "k1").alias("k")))
     places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)).alias(f"b{i}") for i in range(2)]
     src = passing(docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("k1"), *places, F.col(text).alias("text")), held).drop("b0", "b1")
     # sorted and merged at every size, so that its cost is known from small tables
-    joined = src.join(active.select("node", "g", "rep", F.col("k1").alias("_k1")).hint("merge"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("k1") == F.col("_k1")))
+    joined = src.join(active.select("node", "g", "first", "rep", F.col("k1").alias("_k1")).hint("merge"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("k1") == F.col("_k1")))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
-            sets = [token_set(t.as_py(), size) for t in rb.column(2)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             names=["node", "g", "n", "tokens"])
+            sets = [token_set(t.as_py(), size) for t in rb.column(3)]
+            yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["node", "g", "first", "n", "tokens"])
     # rows equal in id and text are several for one node; the filter on the digest is exact
-    return joined.select("node", "g", "text").mapInArrow(batches, "node long, g long, n long, tokens binary")
+    return joined.select("node", "g", "first", "text").mapInArrow(batches, "node long, g long, first long, n long, tokens binary")
 
 
 # --- opening groups ----------------------------------------------------------------
@@ -269,12 +269,17 @@ class Group:
         return [(node, self.nodes[i]) for i in found[first].tolist()]
 
 
-def opened(sets: DataFrame, meets: DataFrame, p: int, q: int, inside: bool) -> DataFrame:
-    """(a, b): links of the queries in ``meets`` (node, g) with members of those groups, and
+def to_first(sets: DataFrame) -> DataFrame:
+    """The queries of the first round: sets outside the first group of their class meet that group.
+    The sets' own rows tell, so their tokens are not moved to be joined."""
+    return sets.filter("g <> first").select("node", F.col("first").alias("g"), "n", "tokens")
+
+
+def opened(sets: DataFrame, asked: DataFrame, p: int, q: int, inside: bool) -> DataFrame:
+    """(a, b): links of the queries ``asked`` (node, g, n, tokens) with members of those groups, and
     links inside these groups (``inside``: inside all). A group's queries are cut into slices,
     each of which gets the members."""
-    asked = meets.join(sets.select("node", "n", "tokens"), "node")
-    slices = written(meets.join(sets.select("node", "n"), "node").groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / LIMIT)).cast("int").alias("slices")))
+    slices = written(asked.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / LIMIT)).cast("int").alias("slices")))
     queries = asked.join(slices, "g").select("g", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("s"), F.lit(1).alias("role"), "node", "tokens")
     last = F.coalesce("slices", F.lit(1)) - 1
     members = sets.join(slices, "g", "left" if inside else "inner").select("g", F.explode(F.sequence(F.lit(0), last)).alias("s"), F.lit(0).alias("role"), "node", "tokens")
@@ -332,7 +337,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     active = written(sized.join(large, "class", "left").withColumn("block", F.when(F.col("pieces").isNotNull(), F.pmod("d1", "pieces")).otherwise(F.lit(0)).cast("int"))
                      .withColumn("g", F.xxhash64("class", "block")).withColumn("first", F.xxhash64("class", F.lit(0))))
     sets = written(member_sets(docs, active, id, text, size))
-    edges = written(opened(sets, active.filter("g <> first").select("node", F.col("first").alias("g")), p, q, True))
+    edges = written(opened(sets, to_first(sets), p, q, True))
     named = components(edges).select("node", "component")
     # parts that lie in several groups may still join nodes of different components
     placed = shared.select("part", "node").join(active.filter("pieces IS NOT NULL").select("node", "g", "first"), "node").join(named, "node", "left")
@@ -342,7 +347,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     cells = left.groupBy("part", "g").agg(F.min("c").alias("x"), F.max("c").alias("y")).select("part", F.col("g").alias("to"), "x", "y")
     # of two groups one asks the other; what has met the first group need not ask it again
     more = left.join(cells, "part").filter("g < to AND g <> first AND to <> first AND NOT (x = c AND y = c)").select("node", F.col("to").alias("g")).distinct()
-    edges = edges.unionByName(opened(sets, written(more), p, q, False))
+    edges = edges.unionByName(opened(sets, written(more).join(sets.select("node", "n", "tokens"), "node"), p, q, False))
     named = components(edges)
     found = nodes.select("node", "d1", "d2", "rep", "copies").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = written(found.filter("copies > 1 OR component <> node OR rep IS NULL").unionByName(found.filter("copies = 1 AND component = node AND rep IS NOT NULL").join(
