@@ -235,6 +235,35 @@ def test_library_encoder_cuts_and_forgets(monkeypatch):
     assert len(lib.known) == 4 + 4 + 4 + 2  # words, words with a full stop, line starts, both others
 
 
+def test_library_encoder_looks_up_once(monkeypatch):
+    """A block asks the table of known parts once, which is built anew each time; odd parts are those of str.isspace."""
+    lib = token_files.LibraryEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    calls, index_in = [], token_files.pc.index_in
+    monkeypatch.setattr(token_files.pc, "index_in", lambda *a, **k: calls.append(1) or index_in(*a, **k))
+    blocks = [["one two, three.", "four\nfive. six"], ["two three, four. one.", "seven, seven eight, eight.\nnine."], ["one two,"]]
+    for n, texts in enumerate(blocks, 1):
+        assert [x.tolist() for x in lib.encode(texts)] == [e.ids for e in lib.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(calls) == n
+    known = lib.known.to_pylist()
+    assert len(set(known)) == len(known) and {"two", "three", "seven", "eight"} < set(known)
+    parts = [f.format(c) for c in map(chr, [*range(1, 0x3100), 0xfeff, 0x1f600]) for f in ("{}", "{}a", "a{}", "a{}b", "\n{}", "\n{}a")] + [""]
+    got = token_files.pc.match_substring_regex(token_files.pa.array(parts, "large_string"), token_files.ODD).to_pylist()
+    assert got == [not p or p[-1].isspace() or p[p[0] == "\n"].isspace() for p in parts]
+
+
+def test_token_encoder_stays_in_its_worker(spark):
+    """Later tasks of a worker find the encoder, and with it the parts known, of those before."""
+    def held(batches):
+        import pyarrow as pa
+        from tidepanel.llm import token_files
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.known) for e in token_files._ENCODERS.values())], pa.int64())], names=["parts"])
+    docs = spark.createDataFrame([(i, "one two three") for i in range(8)], "doc_id long, text string")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        token_files.write(docs, f.read(), 2)
+    assert spark.range(0, 8, 1, 8).mapInArrow(held, "parts long").agg({"parts": "max"}).first()[0] >= 3
+
+
 def test_token_files_odd_rows(spark, odd, monkeypatch):
     json = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
     path = token_files.write(odd, json, 2, shard_ids=60)  # several shards a range

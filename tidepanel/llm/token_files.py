@@ -42,7 +42,10 @@ DOCS_PER_RANGE = 4_000
 #: Ranges whose offsets are one running sum; a thousand million documents are fewer blocks than that.
 RANGES_PER_BLOCK = 1_000
 #: Parts of texts that a worker keeps, about: a table of some 50 bytes each.
-KEPT = 1_000_000
+KEPT = 400_000
+#: White space (of str.isspace) at a part's end, at its begin or after its line feed, or nothing at all.
+_SPACE = r"\t\x0b-\r\x1c-\x20\x{85}\p{Zs}\x{2028}\x{2029}"
+ODD = rf"\A\z|\A\n?[{_SPACE}]|\A\n\n|[\n{_SPACE}]\z"
 #: Bytes of text that are cut and looked up at once.
 BLOCK = 16_000_000
 
@@ -99,7 +102,7 @@ class LibraryEncoder:
         for token, i in vocabulary.items():
             self.size[i] = len(token)
         full_stop, comma, feed = self._ask([".", ",", "\n"])
-        self.tails = {".": full_stop, ",": comma}
+        self.tails = full_stop, comma
         self.feed = len(feed) // 4
         self.known = pa.array([], pa.large_string())
         self.ids = pa.array([], pa.large_binary())
@@ -109,48 +112,47 @@ class LibraryEncoder:
     def _ask(self, texts: list[str]) -> list[bytes]:
         return as_bytes([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def _parts(self, parts: list[str], many: int = 400) -> pa.Array:
+    def _parts(self, parts: pa.Array, many: int = 400) -> pa.Array:
         """Ids of parts, which begin with a blank or a line feed and end before another one."""
-        if not parts:
+        if not len(parts):
             return pa.array([], pa.large_binary())
-        groups = [parts[lo:lo + many] for lo in range(0, len(parts), many)]
-        length = pc.binary_length(pa.array(parts, pa.large_string())).to_numpy()
+        starts = np.r_[np.arange(0, len(parts), many), len(parts)]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts), parts), pa.scalar("", pa.large_string()))
+        upto = np.cumsum(pc.binary_length(parts).to_numpy())
         flat, counts = [], []
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
+        for e, lo, hi in zip(self.tokenizer.encode_batch_fast(joined.to_pylist(), add_special_tokens=False), starts.tolist(), starts[1:].tolist()):
             got = np.array(e.ids, "<u4")
-            ends = np.cumsum(length[k * many:(k + 1) * many])
-            upto = np.cumsum(self.size[got])
-            last = np.searchsorted(upto, ends)
-            if len(got) and last[-1] == len(got) - 1 and (upto[last] == ends).all():
+            ends = upto[lo:hi] - (upto[lo - 1] if lo else 0)
+            told = np.cumsum(self.size[got])
+            last = np.searchsorted(told, ends)
+            if len(got) and last[-1] == len(got) - 1 and (told[last] == ends).all():
                 flat.append(got)
                 counts.append(np.diff(last, prepend=-1))
             else:  # parts were cut otherwise
-                one = self._ask(groups[k])
+                one = self._ask(parts.slice(lo, hi - lo).to_pylist())
                 flat.append(np.frombuffer(b"".join(one), "<u4"))
                 counts.append(np.array(list(map(len, one))) // 4)
         return binaries(np.concatenate(flat), np.concatenate(counts))
 
-    def _learn(self, new: pa.Array) -> np.ndarray:
-        """Takes up new parts, and returns their places. A part before a full stop or comma may be known."""
+    def _learn(self, new: pa.Array, base_at: np.ndarray) -> np.ndarray:
+        """Takes up new parts, and returns their places. ``base_at`` is the place of the part without its last
+        character, below zero if it is not known; one before a full stop or comma may be."""
         tailed = pc.match_substring_regex(new, r"\p{L}[.,]\z")
-        long = new.filter(tailed)
-        base = pa.concat_arrays([new.filter(pc.invert(tailed)), pc.utf8_slice_codeunits(long, 0, -1)]).dictionary_encode()
-        place = pc.index_in(base.dictionary, value_set=self.known)
-        ask = base.dictionary.filter(place.is_null())
-        held = len(self.known)
-        missing = place.is_null().to_numpy(zero_copy_only=False)
-        place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
-        place[missing] = held + np.arange(len(ask))
-        place = place[base.indices.to_numpy()]
-        ids = pa.concat_arrays([self.ids, self._parts([p if p[0] == "\n" else " " + p for p in ask.to_pylist()])])
-        tails = pa.array([self.tails[p] for p in pc.utf8_slice_codeunits(long, -1).to_pylist()], pa.large_binary())
-        joined = pc.binary_join_element_wise(ids.take(pa.array(place[len(new) - len(long):])), tails, pa.scalar(b"", pa.large_binary()))
-        self.known, self.ids = pa.concat_arrays([self.known, ask, long]), pa.concat_arrays([ids, joined])
-        self.last = np.r_[self.last, np.full(len(ask) + len(long), self.block)]
+        long, where = new.filter(tailed), tailed.to_numpy(zero_copy_only=False)
+        place, held, none = base_at[where], len(self.known), pa.scalar("", pa.large_string())
+        unknown = place < 0
+        ask = pa.concat_arrays([new.filter(pc.invert(tailed)), pc.utf8_slice_codeunits(long.filter(pa.array(unknown)), 0, -1)]).dictionary_encode()
+        codes = ask.indices.to_numpy()
+        place[unknown] = held + codes[len(new) - len(long):]
+        asked = pc.binary_join_element_wise(pc.if_else(pc.starts_with(ask.dictionary, "\n"), none, pa.scalar(" ", pa.large_string())), ask.dictionary, none)
+        ids = pa.concat_arrays([self.ids, self._parts(asked)])
+        tails = pc.if_else(pc.ends_with(long, "."), *(pa.scalar(t, pa.large_binary()) for t in self.tails))
+        joined = pc.binary_join_element_wise(ids.take(pa.array(place)), tails, pa.scalar(b"", pa.large_binary()))
+        self.known, self.ids = pa.concat_arrays([self.known, ask.dictionary, long]), pa.concat_arrays([ids, joined])
+        self.last = np.r_[self.last, np.full(len(ask.dictionary) + len(long), self.block)]
         at = np.empty(len(new), np.int64)
-        where = tailed.to_numpy(zero_copy_only=False)
-        at[~where] = place[:len(new) - len(long)]
-        at[where] = held + len(ask) + np.arange(len(long))
+        at[~where] = held + codes[:len(new) - len(long)]
+        at[where] = held + len(ask.dictionary) + np.arange(len(long))
         return at
 
     def _forget(self) -> None:
@@ -159,28 +161,43 @@ class LibraryEncoder:
             keep = np.sort(np.argsort(-self.last, kind="stable")[:KEPT // 2])
             self.known, self.ids, self.last = self.known.take(pa.array(keep)), self.ids.take(pa.array(keep)), self.last[keep]
 
-    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (no NULLs), one after another, and where each text's begin and end."""
-        special = np.zeros(len(texts), bool)
-        for s in self.special:
-            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        self._forget()
-        self.block += 1
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each part among those known, first part of each text, texts with an odd part)."""
         feed = pa.scalar("\n", pa.large_string())
         lists = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
         parts, bounds = lists.flatten(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
-        found = pc.index_in(parts, value_set=self.known)
+        tailed = pc.or_(pc.ends_with(parts, "."), pc.ends_with(parts, ","))
+        both = pa.concat_arrays([parts, pc.utf8_slice_codeunits(parts.filter(tailed), 0, -1)])
+        found = pc.index_in(both, value_set=self.known)  # builds a table of all known parts, so once
+        base_found, found = found.slice(len(parts)), found.slice(0, len(parts))
         unknown = found.is_null()
         code = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-        apart = special.copy()
+        apart = np.zeros(len(texts), bool)
         if pc.any(unknown).as_py():
             fresh = parts.filter(unknown).dictionary_encode()
+            numbers = fresh.indices.to_numpy()
             where = np.flatnonzero(unknown.to_numpy(zero_copy_only=False))
-            odd = np.array([not p or p[-1].isspace() or p[p[0] == "\n"].isspace() for p in fresh.dictionary.to_pylist()], bool)
+            row = np.empty(len(fresh.dictionary), np.int64)
+            row[numbers] = where  # a row that has the part
+            tailed = tailed.to_numpy(zero_copy_only=False)
+            base_at = np.full(len(row), -1)
+            base_at[tailed[row]] = pc.fill_null(base_found, -1).to_numpy()[np.cumsum(tailed)[row[tailed[row]]] - 1]
+            odd = pc.match_substring_regex(fresh.dictionary, ODD).to_numpy(zero_copy_only=False)
             at = np.zeros(len(odd), np.int64)
-            at[~odd] = self._learn(fresh.dictionary.filter(pa.array(~odd)))
-            code[where] = at[fresh.indices.to_numpy()]
-            apart[np.searchsorted(bounds, where[odd[fresh.indices.to_numpy()]], "right") - 1] = True
+            at[~odd] = self._learn(fresh.dictionary.filter(pa.array(~odd)), base_at[~odd])
+            code[where] = at[numbers]
+            apart[np.searchsorted(bounds, where[odd[numbers]], "right") - 1] = True
+        return code, bounds, apart
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no NULLs), one after another, and where each text's begin and end."""
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        self._forget()
+        self.block += 1
+        code, bounds, apart = self._coded(texts)
+        apart |= special
         if len(self.last):
             self.last[code] = self.block
         ids, rows = self.ids, np.flatnonzero(apart)
@@ -228,6 +245,15 @@ def text_blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
+def _encoder(json: str) -> LibraryEncoder:
+    """One encoder per worker process and tokenizer. Tasks call it by name: a table that their own
+    function names would be sent with it, empty, to each task."""
+    key = hashlib.sha256(json.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = LibraryEncoder(json)
+    return _ENCODERS[key]
+
+
 def id_width(json: str, end_id: int) -> int:
     from tokenizers import Tokenizer
     most = max([end_id, *Tokenizer.from_str(json).get_vocab(with_added_tokens=True).values()])
@@ -251,8 +277,7 @@ def write(docs: DataFrame, json: str, end_id: int, id: str = "doc_id", text: str
     def shards(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = hashlib.sha256(shared.value.encode()).hexdigest()
-        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, LibraryEncoder(shared.value))
+        encoder = _encoder(shared.value)
         part, number, ids, tokens, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
