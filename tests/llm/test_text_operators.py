@@ -261,7 +261,8 @@ def test_token_encoder_stays_in_its_worker(spark):
     docs = spark.createDataFrame([(i, "one two three") for i in range(8)], "doc_id long, text string")
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         token_files.write(docs, f.read(), 2)
-    assert spark.range(0, 8, 1, 8).mapInArrow(held, "parts long").agg({"parts": "max"}).first()[0] >= 3
+    tasks = spark.range(0, 300, 1, 300)  # many, since idle workers take turns
+    assert tasks.mapInArrow(held, "parts long").agg({"parts": "max"}).first()[0] >= 3
 
 
 def test_token_files_odd_rows(spark, odd, monkeypatch):
