@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tidepanel.llm import decontaminate, line_dedup, near_documents, simhash, suffix_dedup, url_filter, warc
 from tidepanel.llm.queries import RULES
+from tidepanel.operators import frames
 
 from .conftest import FOLDER
 
@@ -440,6 +441,28 @@ def test_url_labels_odd_rows(spark):
     assert url_filter.labelled_by_documents(pages, labels.limit(0), "address").count() == 0
 
 
+def test_url_labels_are_not_broadcast_beyond_the_limit(spark):
+    n = frames.BROADCAST_ROWS + 1
+    labels = spark.range(n).selectExpr("id doc_id", "int(id % 3 > 0) quality", "0 toxic")
+    pages = spark.createDataFrame([(i, f"http://a.org/en/{i * 7}.html") for i in [*range(50), 3, 3, n]], "page_id long, url string")
+    got = url_filter.labelled_by_documents(pages, labels)
+    assert sorted((r.url, r.label) for r in got.collect()) == sorted((f"http://a.org/en/{i * 7}.html", int(i * 7 % 3 == 0)) for i in [*range(50), 3, 3])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_url_sections_are_broadcast_by_digest(spark):
+    """Texts of any length stay out of the driver, for training and for scores, and sections that differ at their end only are told apart."""
+    data = [(f"http://h{i}.{('org', 'net')[i // 2 % 2]}/{'s' * 4000}{i % 40:02}/{i}", i % 2) for i in range(800)]
+    df = url_filter.with_parts(spark.createDataFrame(data, "url string, label int"), "url")
+    model = url_filter.train(df)
+    scored = model.score(df)
+    assert all((r.score > 0) == bool(r.label) for r in scored.collect())
+    for d in (model.fitted[1], scored):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastMode(List(input[0, bigint" in plan and "BroadcastMode(List(input[0, string" not in plan
+
+
 def test_url_rates_do_not_tell_labels(spark):
     """Labels drawn by chance, a host for each url: no rate of the training rows belongs to one label, and nothing is learned."""
     rng = random.Random(9)

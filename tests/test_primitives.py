@@ -90,6 +90,16 @@ def test_salted_join_equals_broadcast_join(skewed, spark):
     assert len(a) == len(pdf)
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_join_is_not_broadcast(skewed, spark, how):
+    """More facts than are broadcast are small files, of which Spark would broadcast all repeats."""
+    d = skewed[1]
+    got = fr.attach(d, d.groupBy("key").agg(F.avg("x").alias("m")), ["key"], how, most=0)
+    assert got.count() == len(got.collect()) == len(skewed[0])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("include", [False, True])
 def test_scan_over_pieces(skewed, include):
     pdf, d = skewed

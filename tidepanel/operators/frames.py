@@ -37,7 +37,8 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", s
     The facts are written once (unless ``stored`` already) and counted. Up to ``most`` rows they are broadcast,
     so the rows are not shuffled at all. Beyond that the rows of a group are spread
     over ``salts`` hash buckets and the facts are repeated that often, so no task
-    receives a whole group.
+    receives a whole group. That is a merge join by hint: from the small files of many plain
+    rows Spark would conclude that it can broadcast them, repeated, from the driver.
     """
     facts, n = (small, small.count()) if stored else measured(small)
     if n <= most:
@@ -45,7 +46,7 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", s
     plain = [c for c in big.columns if not big.schema[c].dataType.simpleString().startswith("map")]
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     right = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, on + ["_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), on + ["_salt"], how).drop("_salt")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame, name: str = "_g") -> DataFrame:
